@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, quality, sharding
+from millrace.llm import bpe, decontaminate, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, words=1, bits=64, budget=2, max_bits=2)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_good")
 
@@ -59,7 +64,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_roundtrip, op6_quality_rules, op7_decontaminate, op8_shards)
+    f.__name__: f for f in (op2_bpe_roundtrip, op4_simhash_neardup, op6_quality_rules, op7_decontaminate, op8_shards)
 }
 
 ORACLES: dict[str, str] = {}

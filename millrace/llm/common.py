@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +79,49 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType | None = No
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text falls on the remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "utf-8")) % modulus == remainder, F.lit(False))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 1) -> Iterator[pa.Table]:
+    """Tables of about so many rows that begin and end with a value of by; the rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) > rows:
+            table = pa.Table.from_batches(held)
+            new = np.zeros(table.num_rows - 1, bool)
+            for name in by:
+                values = table.column(name).to_numpy()
+                new |= values[1:] != values[:-1]
+            ends = np.nonzero(new)[0] + 1
+            done = 0
+            for end in ends.tolist():
+                if end - done >= rows:
+                    yield table.slice(done, end - done).combine_chunks()
+                    done = end
+            held = table.slice(done).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + n[0] - 1, first[1], ..."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def merged_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that half-open spans cover; runs that touch are one."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order].astype(np.int64), np.maximum.accumulate(end[order]).astype(np.int64)
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    return start[new], end[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(end) - 1]])]
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

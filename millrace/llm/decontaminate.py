@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import id_and_text, lists, texts_of
+from millrace.llm.common import id_and_text, lists, merged_runs, texts_of
 
 #: Bytes that are not part of a word become spaces, A-Z become a-z.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -133,7 +133,7 @@ def _marked(docs: DataFrame, block: Windows) -> DataFrame:
             for text in texts_of(batch):
                 words = words_of(text)
                 window, start = block.within(block.numbers(words))
-                begin, end = _merged(start, start + block.length[window])
+                begin, end = merged_runs(start, start + block.length[window])
                 n_words.append(len(words))
                 starts.append(begin)
                 ends.append(end)
@@ -145,16 +145,6 @@ def _marked(docs: DataFrame, block: Windows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs that the spans cover."""
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(start, kind="stable")
-    start, end = start[order].astype(np.int64), np.maximum.accumulate(end[order]).astype(np.int64)
-    new = np.concatenate([[True], start[1:] > end[:-1]])
-    return start[new], end[np.concatenate([np.nonzero(new)[0][1:] - 1, [len(end) - 1]])]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, starts, ends, items for every row of docs.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import column, id_and_text, release, stage, texts_of
+from millrace.llm.common import column, id_and_text, ranges, release, stage, texts_of, whole_groups
 from millrace.llm.components import connected_components
 
 HOT, SPLIT = 200_000, 8
@@ -85,20 +85,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
     return slim.mapInArrow(run, schema)
 
 
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0], ..., first[0] + n[0] - 1, first[1], ..."""
-    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-
-
 def _products(alo: np.ndarray, na: np.ndarray, blo: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of each range with its partner, FRONTIER or so at a time."""
     rows_lo, rows_n = np.repeat(blo, na), np.repeat(nb, na)
-    rows = _ranges(alo, na)
+    rows = ranges(alo, na)
     ends = np.cumsum(rows_n)
     at = 0
     while at < len(rows):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FRONTIER, "right")))
-        yield np.repeat(rows[at:upto], rows_n[at:upto]), _ranges(rows_lo[at:upto], rows_n[at:upto])
+        yield np.repeat(rows[at:upto], rows_n[at:upto]), ranges(rows_lo[at:upto], rows_n[at:upto])
         at = upto
 
 
@@ -263,7 +258,7 @@ def links(nodes: DataFrame, bits: int, budget: int, max_bits: int, words: int =
     dealt = _tries(nodes, bits, budget, words, frozenset(r["key"] for r in busy)).repartition("key", "split").sortWithinPartitions("key", "split")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches, ["key", "split"], 200_000):
             keys, split, code, child, node = (table.column(c).to_numpy() for c in ("key", "split", "code", "child", "node"))
             full = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
             a, b = linked(keys, split.astype(np.int64), code.view(np.uint64), child, full, bits, budget, max_bits)
@@ -272,23 +267,6 @@ def links(nodes: DataFrame, bits: int, budget: int, max_bits: int, words: int =
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
-    """Tables of about so many rows that begin and end with a (key, split); the rows come sorted."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            table = pa.Table.from_batches(held)
-            key, split = table.column("key").to_numpy(), table.column("split").to_numpy()
-            ends = np.nonzero((key[1:] != key[:-1]) | (split[1:] != split[:-1]))[0]
-            if len(ends):
-                yield table.slice(0, int(ends[-1]) + 1).combine_chunks()
-                held = table.slice(int(ends[-1]) + 1).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, fp, component_id, group for every row.
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, quality, sharding, simhash, suffix
+from millrace.llm import bpe, decontaminate, langid, licenses, quality, sharding, simhash, suffix, token_counts, toxicity
+from millrace.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree, source/thousand/doc_id.txt; each thousandth is its folder's LICENSE."""
+    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
+    name = F.when(F.col("doc_id") % 1000 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), thousand, name))
+    return licenses.scan(docs, keep=("doc_id",)).select("doc_id", "licence", F.round("cosine", 6).alias("cosine"), "origin", "inherited_from")
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
     coded = bpe.encode(_table(spark, sf_dir, "documents"), path)
@@ -35,6 +44,12 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predictions(docs, langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, words=1, bits=64, budget=2, max_bits=2)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -69,8 +84,18 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_roundtrip, op4_simhash_neardup, op5_suffix_dedup, op6_quality_rules, op7_decontaminate, op8_shards)
+    f.__name__: f for f in (op1_license_scan, op2_bpe_roundtrip, op3_language_id, op4_simhash_neardup, op5_suffix_dedup, op6_quality_rules, op7_decontaminate, op8_shards, op9_token_counts, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -31,10 +31,10 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: No pre-token reaches from a visible character into the white space behind it, so a text may be
 #: cut there and the pieces looked up whole.
 PIECE = regex.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Pieces that a worker remembers; then it starts anew. Bounds memory, changes no result.
-MEMO = 200_000
+#: Entries of a generation of what a worker remembers. Bounds memory, changes no result.
+MEMO = 100_000
 #: Tokens per batch that a worker passes on.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,9 +65,12 @@ class Vocabulary:
         self.halves = [(i, i) for i in range(len(single))] + [(age[a], age[b]) for a, b in merges]
         self.size = [len(t) for t in self.tokens]
         self.shorter = [next((self.by_bytes[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.by_bytes), -1) for t in self.tokens]
+        self.single = bytes(self.by_bytes[bytes([b])] for b in range(256))
+        self.fits: dict[int, bool] = {}
         self.longest = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, t in enumerate(self.tokens):  # reversed: a match that ends at a byte then starts there
-            self.longest.add_word(t[::-1].decode("latin-1"), i)
+            if len(t) > 1:
+                self.longest.add_word(t[::-1].decode("latin-1"), i)
         self.longest.make_automaton()
 
     def compatible(self, left: int, right: int) -> bool:
@@ -96,25 +99,35 @@ class Vocabulary:
 
     def encode(self, data: bytes) -> list[int]:
         """Token numbers of one pre-token."""
-        n, size = len(data), self.size
-        starting = [-1] * n
+        if data in self.by_bytes:
+            return [self.by_bytes[data]]
+        n, size, fits, width = len(data), self.size, self.fits, self.width
+        starting, before = list(data.translate(self.single)), -1
         for end, token in self.longest.iter(data[::-1].decode("latin-1")):
-            at = n - 1 - end
-            if starting[at] < 0 or size[token] > size[starting[at]]:
-                starting[at] = token
+            if end != before:  # the longest that ends here comes first
+                starting[n - 1 - end] = token
+                before = end
+        starting.append(-1)
         out: list[int] = []
-        open_at, at, token = bytearray(b"\x01" * (n + 1)), 0, starting[0] if n else -1
+        open_at, at, token, left = bytearray(b"\x01" * (n + 1)), 0, starting[0], -1
         while at < n:
             end = at + size[token]
-            if open_at[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = starting[at] if at < n else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
-            else:  # nothing that starts here fits: give the position up and shorten the one before
+            if open_at[end]:
+                pair = left * width + token
+                fit = left < 0 or fits.get(pair)
+                if fit is None:
+                    if len(fits) >= MEMO:
+                        fits.clear()
+                    fit = fits[pair] = self.compatible(left, token)
+                if fit:
+                    out.append(token)
+                    at, left, token = end, token, starting[end]
+                    continue
+            token = self.shorter[token]
+            if token < 0:  # nothing that starts here fits: give the position up and shorten the one before
                 open_at[at] = 0
                 token = out.pop()
+                left = out[-1] if out else -1
                 at -= size[token]
         return out
 
@@ -124,27 +137,39 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Pieces(dict):
-    """piece -> its ids as packed 32-bit integers."""
+class Memo(dict):
+    """What has been computed of late. Two generations: when the young one is full it becomes the
+    old one, and what is asked for again moves back."""
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab = vocab
+    def __init__(self, compute: Callable[[str], bytes]) -> None:
+        self.compute, self.old = compute, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids, encode = self.vocab.ids, self.vocab.encode
-        packed = array("i", [ids[t] for part in PRETOKEN.findall(piece) for t in encode(part.encode())]).tobytes()
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        self[piece] = packed
-        return packed
+        self[key] = value
+        return value
+
+
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Memo:
+    """piece -> its ids as packed 32-bit integers; kept by a worker from task to task."""
+    vocab = vocabulary(path)
+    ids, encode = vocab.ids, vocab.encode
+    parts = Memo(lambda part: array("i", [ids[t] for t in encode(part.encode())]).tobytes())
+    return Memo(lambda piece: b"".join(map(parts.__getitem__, PRETOKEN.findall(piece))))
 
 
-def encode_text(text: str, vocab: Vocabulary, pieces: Pieces) -> bytes:
+def encode_text(text: str, path: str) -> bytes:
     """Packed ids of a whole text; a special token's own string gets its id."""
-    for name, number in vocab.special.items():
+    for name, number in vocabulary(path).special.items():
         if name in text:
-            return array("i", [number]).tobytes().join(encode_text(part, vocab, pieces) for part in text.split(name))
-    return b"".join(map(pieces.__getitem__, PIECE.findall(text)))
+            return array("i", [number]).tobytes().join(encode_text(part, path) for part in text.split(name))
+    return b"".join(map(pieces(path).__getitem__, PIECE.findall(text)))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,13 +178,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no tokens. path is the tokenizer file; every executor must have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        pieces = Pieces(vocab)
         for batch in batches:
             ids, start, held = batch.column("doc_id"), 0, 0
             packed: list[bytes] = []
             for k, text in enumerate(batch.column("text")):
-                packed.append(encode_text(text.as_py() or "", vocab, pieces))
+                packed.append(encode_text(text.as_py() or "", path))
                 held += len(packed[-1]) // 4
                 if held >= BATCH_TOKENS or k == batch.num_rows - 1:
                     values = np.frombuffer(b"".join(packed), np.int32)

@@ -31,8 +31,9 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: No pre-token reaches from a visible character into the white space behind it, so a text may be
 #: cut there and the pieces looked up whole.
 PIECE = regex.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_MARKS = frozenset(".,;:!?")
 #: Entries of a generation of what a worker remembers. Bounds memory, changes no result.
-MEMO = 100_000
+MEMO = 60_000
 #: Tokens per batch that a worker passes on.
 BATCH_TOKENS = 500_000
 
@@ -44,7 +45,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Vocabulary:
+class Tokens:
     """Tokens of a byte-level BPE file. Inside, a token's number is its age: the 256 bytes, then
     each merge in order; `ids` translates to the file's ids."""
 
@@ -53,16 +54,25 @@ class Vocabulary:
             spec = json.load(f)
         alphabet, names = byte_alphabet(), spec["model"]["vocab"]
         single = sorted((name for name in names if len(name) == 1 and name in alphabet), key=names.get)
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        order = [*single, *(a + b for a, b in merges)]
-        age = {name: i for i, name in enumerate(order)}
-        self.ids = [names[name] for name in order]
-        self.tokens = [bytes(alphabet[c] for c in name) for name in order]
+        self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        self.order = [*single, *(a + b for a, b in self.merges)]
+        self.ids = [names[name] for name in self.order]
+        self.tokens = [bytes(alphabet[c] for c in name) for name in self.order]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+
+
+class Vocabulary(Tokens):
+    """What the encoder needs besides: merges, prefixes and the automaton."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        age = {name: i for i, name in enumerate(self.order)}
+        bytes_only = len(self.order) - len(self.merges)
         self.by_bytes = {t: i for i, t in enumerate(self.tokens)}
-        self.width = len(order)
-        self.pairs = {age[a] * self.width + age[b]: len(single) + i for i, (a, b) in enumerate(merges)}
-        self.halves = [(i, i) for i in range(len(single))] + [(age[a], age[b]) for a, b in merges]
+        self.width = len(self.order)
+        self.pairs = {age[a] * self.width + age[b]: bytes_only + i for i, (a, b) in enumerate(self.merges)}
+        self.halves = [(i, i) for i in range(bytes_only)] + [(age[a], age[b]) for a, b in self.merges]
+        del self.order, self.merges
         self.size = [len(t) for t in self.tokens]
         self.shorter = [next((self.by_bytes[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.by_bytes), -1) for t in self.tokens]
         self.single = bytes(self.by_bytes[bytes([b])] for b in range(256))
@@ -109,10 +119,11 @@ class Vocabulary:
                 before = end
         starting.append(-1)
         out: list[int] = []
-        open_at, at, token, left = bytearray(b"\x01" * (n + 1)), 0, starting[0], -1
+        closed: set[int] = set()
+        at, token, left = 0, starting[0] if n else -1, -1
         while at < n:
             end = at + size[token]
-            if open_at[end]:
+            if end not in closed:
                 pair = left * width + token
                 fit = left < 0 or fits.get(pair)
                 if fit is None:
@@ -125,7 +136,7 @@ class Vocabulary:
                     continue
             token = self.shorter[token]
             if token < 0:  # nothing that starts here fits: give the position up and shorten the one before
-                open_at[at] = 0
+                closed.add(at)
                 token = out.pop()
                 left = out[-1] if out else -1
                 at -= size[token]
@@ -141,27 +152,38 @@ class Memo(dict):
     """What has been computed of late. Two generations: when the young one is full it becomes the
     old one, and what is asked for again moves back."""
 
-    def __init__(self, compute: Callable[[str], bytes]) -> None:
-        self.compute, self.old = compute, {}
+    def __init__(self, compute: Callable[[str], object], size: int = MEMO) -> None:
+        self.compute, self.old, self.size = compute, {}, size
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> object:
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
 
+def pretokens(piece: str) -> list[str]:
+    """The pre-tokens of a piece; of the commonest shape, a word with at most a mark behind it,
+    without the pattern."""
+    word = piece[1:] if piece[0] == " " else piece
+    if word.isalpha():
+        return [piece]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [piece[:-1], word[-1]]
+    return PRETOKEN.findall(piece)
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Memo:
     """piece -> its ids as packed 32-bit integers; kept by a worker from task to task."""
     vocab = vocabulary(path)
     ids, encode = vocab.ids, vocab.encode
-    parts = Memo(lambda part: array("i", [ids[t] for t in encode(part.encode())]).tobytes())
-    return Memo(lambda piece: b"".join(map(parts.__getitem__, PRETOKEN.findall(piece))))
+    parts = Memo(lambda part: array("i", [ids[t] for t in encode(part.encode())]).tobytes(), 3 * MEMO)
+    return Memo(lambda piece: b"".join(map(parts.__getitem__, pretokens(piece))))
 
 
 def encode_text(text: str, path: str) -> bytes:
@@ -197,7 +219,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 class OffsetTable:
     """All token bytes in one blob, and where each id's begin."""
 
-    def __init__(self, vocab: Vocabulary) -> None:
+    def __init__(self, vocab: Tokens) -> None:
         by_id = dict(zip(vocab.ids, vocab.tokens, strict=True)) | {i: name.encode() for name, i in vocab.special.items()}
         table = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.blob = np.frombuffer(b"".join(table), np.uint8)
@@ -213,7 +235,7 @@ class OffsetTable:
 
 @lru_cache(maxsize=2)
 def offset_table(path: str) -> OffsetTable:
-    return OffsetTable(vocabulary(path))
+    return OffsetTable(Tokens(path))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import PIECE, PRETOKEN, Memo
+from millrace.llm.bpe import PIECE, Memo, pretokens
 from millrace.llm.common import id_and_text
 
 
@@ -82,7 +82,7 @@ def _counted(path: str) -> Memo:
     trie = Trie(Unigram.load(path))
 
     def count(piece: str) -> tuple[int, int]:
-        parts = PRETOKEN.findall(piece)
+        parts = pretokens(piece)
         return len(parts), sum(trie.insert(p.encode()) for p in parts)
 
     return Memo(count)

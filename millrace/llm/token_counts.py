@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import PIECE, Memo, pretokens
+from millrace.llm.bpe import Memo, pretokens
 from millrace.llm.common import id_and_text
 
 
@@ -78,14 +78,9 @@ class Trie:
 
 @lru_cache(maxsize=2)
 def _counted(path: str) -> Memo:
-    """piece of text -> its pre-tokens and their tokens; kept by a worker from task to task."""
+    """pre-token -> its count; kept by a worker from task to task."""
     trie = Trie(Unigram.load(path))
-
-    def count(piece: str) -> tuple[int, int]:
-        parts = pretokens(piece)
-        return len(parts), sum(trie.insert(p.encode()) for p in parts)
-
-    return Memo(count)
+    return Memo(lambda token: trie.insert(token.encode()))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,9 +95,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             parts, tokens = [], []
             for text in batch.column("text"):
-                found = list(map(look_up, PIECE.findall(text.as_py() or "")))
-                parts.append(sum(f[0] for f in found))
-                tokens.append(sum(f[1] for f in found))
+                found = pretokens(text.as_py() or "")
+                parts.append(len(found))
+                tokens.append(sum(map(look_up, found)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(parts, pa.int64()), pa.array(tokens, pa.int64())], schema.names)
 
     return slim.mapInArrow(run, schema)

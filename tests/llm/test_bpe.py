@@ -79,3 +79,18 @@ def test_query(spark, tmp_path, library):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_both_patterns_split_latin_texts_alike():
+    import random
+    import unicodedata
+
+    letters = [chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)]
+    assert all(unicodedata.category(c)[0] == "L" for c in letters)
+    r = random.Random(8)
+    marks = [chr(c) for c in [*range(0x2010, 0x2028), *range(0x2030, 0x203F)]]
+    for _ in range(3000):
+        t = "".join(r.choice(r.choice([letters, "abc XYZ", " \n\t\x0b\x1c\x00", "0123", "'sdtmrevl", ".,!?_", marks])) for _ in range(r.randrange(30)))
+        assert bpe.LATIN_TEXT.fullmatch(t)
+        assert bpe.LATIN_PRETOKEN.findall(t) == bpe.PRETOKEN.findall(t)
+    assert not bpe.LATIN_TEXT.fullmatch("½") and not bpe.LATIN_TEXT.fullmatch("×") and not bpe.LATIN_TEXT.fullmatch("\xa0")

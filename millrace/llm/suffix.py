@@ -17,6 +17,9 @@ global rounds are two:
 What repeats within a batch of documents is combined before it is dealt out: a name goes out once
 for each batch, and equal surroundings of a name go out for the smallest document only. A name that
 still has more than HOT surroundings is resolved by its windows, each a key of its own.
+
+Names of all positions, ranked by a sort in each round, would put 16 bytes for every byte of text
+through a shuffle in every round; the anchors put through half a byte.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import column, lists, merged_runs, ranges, release, stage, unstage, whole_groups
 
 #: Surroundings of one name that one task compares; more are dealt out by window.
-HOT = 20_000
+HOT = 50_000
 #: Bytes of text that a task handles at a time.
 CHUNK = 1 << 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -290,21 +294,54 @@ def _again(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(values) else np.zeros(0, bool)
 
 
-def _resolved_by_window(rows: DataFrame, length: int) -> DataFrame:
-    """As _resolved, for hot names: every window is a key of its own, its least document is found
-    with partial sums in each task, and joins with a hot key split."""
+def _resolved_by_window(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """As _resolved, for hot names: every window is a key of its own and goes to the bucket of its
+    low bits. Of equal windows in a batch only the smallest document's goes out, packed; the others
+    are covered at once."""
+    names_of = ["bucket", "doc", "text_key", "packed", "starts", "ends"]
+    ints = pa.list_(pa.int32())
+    entry = np.dtype([("window", np.int64), ("doc", np.int64), ("key", np.int64), ("start", np.int32)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, window = _windows(batch, np.arange(batch.num_rows), length)
-            n, start = batch.column("n").to_numpy().astype(np.int64), batch.column("start").to_numpy().astype(np.int64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("name").take(take), pa.array(window), batch.column("doc").take(take), batch.column("text_key").take(take), pa.array(ranges(start, n).astype(np.int32))], ["name", "window", "doc", "text_key", "start"])
+            name, doc, key, start, n = (batch.column(c).to_numpy() for c in ("name", "doc", "text_key", "start", "n"))
+            made = np.zeros(len(row), entry)
+            made["window"] = _pair(name[row].view(np.uint64), window.view(np.uint64)).view(np.int64)
+            made["doc"], made["key"], made["start"] = doc[row], key[row], ranges(start.astype(np.int64), n.astype(np.int64))
+            made = made[np.lexsort((made["doc"], made["window"]))]
+            gone = _above_least(made["window"], made["doc"])
+            yield _span_rows(made[gone], length)
+            made = made[~gone]
+            made = made[np.lexsort((made["doc"], made["window"] & (buckets - 1)))]
+            bucket = made["window"] & (buckets - 1)
+            first = _starts(bucket)
+            packed = [made[a:b].tobytes() for a, b in zip(first, _ends(first, len(made)), strict=True)]
+            none = [pa.nulls(len(packed), k) for k in (pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *none, pa.array(packed, pa.binary()), pa.nulls(len(packed), ints), pa.nulls(len(packed), ints)], names_of)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket"]):
+            packed = table.column("packed").to_pylist()
+            ready = table.filter(pa.compute.is_null(table.column("packed")))
+            yield from ready.select(names_of[1:3] + names_of[4:]).to_batches()
+            made = np.frombuffer(b"".join(p for p in packed if p), entry)
+            made = made[np.lexsort((made["doc"], made["window"]))]
+            yield _span_rows(made[_above_least(made["window"], made["doc"])], length).select(names_of[1:3] + names_of[4:])
+
+    def _span_rows(made: np.ndarray, length: int) -> pa.RecordBatch:
+        start = made["start"].astype(np.int64)
+        d, k, s, e = _spans(made["doc"], made["key"], start, start + length)
+        return pa.RecordBatch.from_arrays([pa.array((d & (buckets - 1)).astype(np.int32)), pa.array(d), pa.array(k), pa.nulls(len(d), pa.binary()), pa.array(s, ints), pa.array(e, ints)], names_of)
+
+    sent = rows.mapInArrow(send, "bucket int, doc long, text_key long, packed binary, starts array<int>, ends array<int>")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, text_key long, starts array<int>, ends array<int>")
+
 
-    windows = rows.mapInArrow(run, "name long, window long, doc long, text_key long, start int")
-    least = windows.groupBy("name", "window").agg(F.min("doc").alias("least"))
-    gone = windows.join(least, ["name", "window"]).filter("doc > least")
-    return gone.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts")).withColumn("ends", F.transform("starts", lambda s: s + F.lit(length)))
+def _above_least(sorted_key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows of a key have a larger document than its first row."""
+    first = _starts(sorted_key)
+    return doc > np.repeat(doc[first], np.diff(np.append(first, len(doc))))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     hot = [r["name"] for r in hot.filter(F.col("count") > max(HOT, n // 10_000)).collect()]  # ten thousand at most
     spans = _resolved(open_.filter(~F.col("name").isin(hot)) if hot else open_, length)
     if hot:
-        spans = spans.union(_resolved_by_window(open_.filter(F.col("name").isin(hot)), length))
+        spans = spans.union(_resolved_by_window(open_.filter(F.col("name").isin(hot)), length, buckets))
     spans = spans.union(around.filter("kind = 0").select("doc", "text_key", "starts", "ends"))
     spans = spans.union(copies.select("doc", "text_key", F.array(F.lit(0)), F.array("size")))
     whole = stage(spans.groupBy("doc", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "spans")

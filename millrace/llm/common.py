@@ -30,9 +30,10 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns that an operator reads, as doc_id and text."""
-    return docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """The two columns that an operator reads, as doc_id and text; with carry the whole row as row."""
+    row = [F.struct(*[column(c) for c in docs.columns]).alias("row")] if carry else []
+    return docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), *row)
 
 
 def shared_dir(spark: SparkSession) -> str:

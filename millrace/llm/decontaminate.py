@@ -124,7 +124,8 @@ def _counted(docs: DataFrame, block: Windows) -> np.ndarray:
 
 def _marked(docs: DataFrame, block: Windows) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("text_key long, n_words long, starts array<long>, ends array<long>, items array<string>").fields])
+    kept = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([docs.schema[c] for c in kept] + [*T.StructType.fromDDL("n_words long, starts array<long>, ends array<long>, items array<string>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -140,19 +141,20 @@ def _marked(docs: DataFrame, block: Windows) -> DataFrame:
                 items.append(sorted({name for w in set(window.tolist()) for name in block.items[w]}))
             runs = np.fromiter(map(len, starts), np.int64, len(starts))
             spans = [lists(np.concatenate(x) if len(x) else np.zeros(0, np.int64), runs) for x in (starts, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n_words, pa.int64()), *spans, pa.array(items, pa.list_(pa.string()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(n_words, pa.int64()), *spans, pa.array(items, pa.list_(pa.string()))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, starts, ends, items for every row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, starts, ends, items for every row of docs; with carry also row, a struct of
+    the input's columns.
 
     starts and ends are the maximal runs of words inside occurrences of windows; items the ids, as
     sorted text, of items with a window that occurs. An item of fewer than width words is one window.
     Null texts, and items without words, have none; a null item id reads 'None'. Repeated items count
     once. Without items nothing is contaminated."""
-    slim, items = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")), id_and_text(benchmark, item_col, item_text_col)
+    slim, items = id_and_text(docs, id_col, text_col, carry).withColumn("text_key", F.xxhash64("text")), id_and_text(benchmark, item_col, item_text_col)
     found = []
     for block in _blocks(items, width, block_words):
         block.order(_counted(slim, block))
@@ -166,9 +168,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
 def _joined(found: list[DataFrame]) -> DataFrame:
     """Merges what the passes of several blocks found. Only rows with hits meet, by id and text."""
-    union = found[0]
+    union = found[0].drop("row")
     for df in found[1:]:
-        union = union.unionByName(df)
+        union = union.unionByName(df.drop("row"))
     key, every = ["doc_id", "text_key"], found[0]
     merged = union.filter(F.size("items") > 0).groupBy(*key).agg(
         F.array_sort(F.flatten(F.collect_set(F.arrays_zip("starts", "ends")))).alias("spans"),
@@ -187,7 +189,7 @@ def _joined(found: list[DataFrame]) -> DataFrame:
     none = F.expr("cast(array() as array<bigint>)")
     same = F.col("e.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("e.text_key") == F.col("m.text_key"))
     return every.alias("e").join(merged.alias("m"), same, "left").select(
-        "e.doc_id", "e.text_key", "e.n_words",
+        *[f"e.{c}" for c in every.columns if c not in ("starts", "ends", "items")],
         F.coalesce("grown.starts", none).alias("starts"), F.coalesce("grown.ends", none).alias("ends"),
         F.coalesce("all_items", F.expr("cast(array() as array<string>)")).alias("items"),
     )

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import column, lists, merged_runs, ranges, release, stage, unstage, whole_groups
+from millrace.llm.common import column, id_and_text, lists, merged_runs, ranges, release, stage, unstage, whole_groups
 
 #: Surroundings of one name that one task compares; more are dealt out by window.
 HOT = 50_000
@@ -384,19 +384,19 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     return whole
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep, n_bytes, kept (binary), starts, ends for every row of docs.
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, kept (binary), starts, ends for every row of docs; with carry also row, a
+    struct of the input's columns, and kept_text, without characters that lost some of their bytes.
 
     starts and ends are the maximal runs removed, in bytes of the text. Null and empty texts have no
     bytes. A null id counts as larger than any other, and rows of one id take nothing from each
     other. Strings are told apart by names of 128 bits together."""
     spans = repeated_spans(docs, length, id_col, text_col)
-    text = column(text_col).cast("string")
-    doc = F.coalesce(column(id_col).cast("long"), F.lit(2**63 - 1))
-    full = docs.select(doc.alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), column(id_col).alias("doc_id"), text.alias("text"), *[column(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    doc = F.coalesce(column("doc_id").cast("long"), F.lit(2**63 - 1))
+    full = id_and_text(docs, id_col, text_col, carry).withColumns({"doc": doc, "text_key": F.xxhash64(F.coalesce("text", F.lit("")))})
     joined = full.join(spans.hint("shuffle_hash"), ["doc", "text_key"], "left").drop("doc", "text_key")
-    carried = ["doc_id", *[f"keep_{i}" for i in range(len(keep))]]
-    schema = T.StructType([joined.schema[c] for c in carried] + T.StructType.fromDDL("n_bytes long, kept binary, starts array<long>, ends array<long>").fields)
+    carried = ["doc_id", "row"] if carry else ["doc_id"]
+    schema = T.StructType([joined.schema[c] for c in carried] + T.StructType.fromDDL("n_bytes long, kept binary, starts array<long>, ends array<long>" + ", kept_text string" * carry).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,7 +410,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 ends.append(last)
             runs = np.fromiter(map(len, starts), np.int64, len(starts))
             both = [lists(np.concatenate(x) if x else np.zeros(0, np.int64), runs, pa.int64()) for x in (starts, ends)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(size, pa.int64()), pa.array(kept, pa.binary()), *both], schema.names)
+            as_text = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] if carry else []
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(size, pa.int64()), pa.array(kept, pa.binary()), *both, *as_text], schema.names)
 
-    made = joined.mapInArrow(run, schema)
-    return made.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
+    return joined.mapInArrow(run, schema)

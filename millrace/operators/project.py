@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEPS = ("filter", "select", "rename", "cast", "drop", "with", "order", "limit", "repartition")
@@ -33,7 +33,7 @@ def apply_step(df: DataFrame, step: Mapping[str, Any]) -> DataFrame:
         case "with":
             return df.withColumns({name: F.expr(e) for name, e in step["columns"].items()})
         case "order":
-            return df.orderBy(*[F.expr(c) if isinstance(c, str) and not c.startswith("-") else F.col(c[1:]).desc() for c in step["columns"]])
+            return df.orderBy(*[sort_key(c) for c in step["columns"]])
         case "limit":
             return df.limit(int(step["n"]))
         case "repartition":
@@ -42,6 +42,16 @@ def apply_step(df: DataFrame, step: Mapping[str, Any]) -> DataFrame:
             raise ValueError(f"unknown step {other!r}; one of {', '.join(STEPS)}")
 
 
+def sort_key(key: str | Column) -> Column:
+    """An expression to sort by; text may end in ASC or DESC, or begin with - for DESC."""
+    if not isinstance(key, str):
+        return key
+    text, _, way = key.strip().rpartition(" ")
+    if way.upper() in ("ASC", "DESC") and text:
+        return F.expr(text).desc() if way.upper() == "DESC" else F.expr(text).asc()
+    return F.expr(key[1:]).desc() if key.startswith("-") else F.expr(key).asc()
+
+
 def cast_columns(df: DataFrame, mapping: Mapping[str, str], strict: bool = False) -> DataFrame:
     """Casts; what cannot be cast becomes null, or fails the job if strict."""
     return df.withColumns({c: F.col(c).cast(t) if strict else F.col(c).try_cast(t) for c, t in mapping.items()})

@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.project import sort_key
+
 FAILED = "_failed_rules"
 
 
@@ -65,7 +67,7 @@ class Rule:
             case Kind.LENGTH:
                 return between(F.length(c), p.get("min_length"), p.get("max_length"))
             case Kind.UNIQUE:
-                order = [F.expr(o) if isinstance(o, str) else o for o in p.get("order", [])] or [F.lit(1)]
+                order = [sort_key(o) for o in p.get("order", [])] or [F.lit(1)]
                 return F.row_number().over(Window.partitionBy(self.column).orderBy(*order)) == 1
         check: str | Callable[[Column], Column] = p["check"]
         return F.expr(check) if isinstance(check, str) else check(c)

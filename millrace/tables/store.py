@@ -79,7 +79,7 @@ class TableStore:
                 raise ConflictError(f"version {version - 1} came in between")
             if version != entry["base"] + 1:  # an append goes on top of what came in between
                 now = self._load(version - 1)
-                entry = entry | {"base": version - 1, "parts": now["parts"] + entry["added"]}
+                entry = entry | {"base": version - 1, "parts": now["parts"] + entry["added"], "rows": now["rows"] + entry["metrics"]["written"]}
             try:
                 out = self._fs.create(self._log(version), False)
             except Exception as e:
@@ -102,7 +102,7 @@ class TableStore:
         schema = StructType.fromJson(entry["schema"])
         if not entry["parts"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in entry["parts"]]).select(*[F.col(f"`{f.name}`") for f in schema])
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/{p}" for p in entry["parts"]]).select(*[F.col(f"`{f.name}`") for f in schema])
 
     def detail(self) -> dict:
         entry = self.manifest()
@@ -131,7 +131,7 @@ class TableStore:
 
     def _write(self, df: DataFrame, partition_by: Sequence[str], options: Mapping[str, Any] | None = None) -> tuple[str, int]:
         """Writes a new folder and counts its rows in the same job."""
-        name, seen = f"data/{uuid.uuid4().hex}", Observation()
+        name, seen = f"data/part={uuid.uuid4().hex}", Observation()
         writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.options(**(options or {}))
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}")
         return name, seen.get["n"]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sinks.base import Sink, SinkConfig
+from millrace.shipping import ship
 from millrace.sources.rest import fetch
 
 
@@ -26,6 +27,7 @@ class RestSink(Sink):
         self.config.max_retries = 0
 
     def _write(self, df: DataFrame) -> None:
+        ship(df.sparkSession)
         spec, size = self.spec, self.config.batch_size
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

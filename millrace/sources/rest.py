@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from millrace.shipping import ship
 from millrace.types import schema_of
 
 
@@ -127,6 +128,7 @@ def read(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
     if "schema" not in spec:
         raise ValueError("a REST source needs a schema")
     schema = schema_of(spec["schema"]) if isinstance(spec["schema"], Mapping) else spec["schema"]
+    ship(spark)
     spark.dataSource.register(RestSource)
     plain = {k: v for k, v in spec.items() if k != "schema"}
     return spark.read.format("millrace_rest").schema(schema).option("spec", json.dumps(plain)).load()

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import column, id_and_text, lists, merged_runs, ranges, release, stage, unstage, whole_groups
+from millrace.llm.common import column, id_and_text, lists, merged_runs, ranges, release, stage, texts_of, unstage, whole_groups
+from millrace.shipping import ship
 
 #: Surroundings of one name that one task compares; more are dealt out by window.
 HOT = 50_000
@@ -201,13 +202,18 @@ def _shared_names(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 _AROUND = "kind int, name long, doc long, text_key long, start int, n int, rel int, around binary, starts array<int>, ends array<int>"
 
 
-def _spans(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """Spans gathered by document and text."""
-    order = np.lexsort((start, key, doc))
-    doc, key, start, end = doc[order], key[order], start[order], end[order]
+def _spans(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """doc, text_key, starts, ends: spans gathered by document and text, and merged."""
+    order = np.lexsort((key, doc))
+    doc, key, start, end = doc[order], key[order], start[order].astype(np.int64), end[order].astype(np.int64)
     first = _starts(doc, key)
-    runs = [merged_runs(start[a:b], end[a:b]) for a, b in zip(first, _ends(first, len(doc)), strict=True)]
-    return doc[first], key[first], [r[0].tolist() for r in runs], [r[1].tolist() for r in runs]
+    apart = int(end.max(initial=0)) + 2  # so far apart that spans of different texts never touch
+    shift = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc)))) * apart
+    start, end = merged_runs(start + shift, end + shift)
+    group = start // apart
+    n = np.bincount(group, minlength=len(first))
+    both = [lists((x - group * apart).astype(np.int32), n, pa.int32()) for x in (start, end)]
+    return [pa.array(doc[first]), pa.array(key[first]), *both]
 
 
 def _surroundings(rows: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -242,7 +248,7 @@ def _surroundings(rows: DataFrame, length: int, buckets: int) -> DataFrame:
             )
             d, k, s, e = _spans(doc[covered], key[covered], start[covered], (start + n - 1 + length)[covered])
             empty = [pa.nulls(len(d), t) for t in kinds[4:8]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int32)), pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(k), *empty, pa.array(s, kinds[8]), pa.array(e, kinds[9])], names_of)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int32)), pa.nulls(len(d), pa.int64()), d, k, *empty, s, e], names_of)
 
     return rows.mapInArrow(run, _AROUND)
 
@@ -282,10 +288,10 @@ def _resolved(rows: DataFrame, length: int) -> DataFrame:
             gone[order] = doc[r] > np.repeat(doc[r[first]], np.diff(np.append(first, len(r))))
             at = ranges(start[open_], n[open_])[gone]
             out = [np.concatenate([doc[covered], doc[row[gone]]]), np.concatenate([key[covered], key[row[gone]]]), np.concatenate([start[covered], at]), np.concatenate([(start + n - 1)[covered], at]) + length]
-            d, k, s, e = _spans(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(s, pa.list_(pa.int32())), pa.array(e, pa.list_(pa.int32()))], ["doc", "text_key", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays(_spans(*out), ["doc", "text_key", "starts", "ends"])
 
-    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(run, "doc long, text_key long, starts array<int>, ends array<int>")
+    slim = rows.select("name", "doc", "text_key", "start", "n", "rel", "around")
+    return slim.repartition("name").sortWithinPartitions("name").mapInArrow(run, "doc long, text_key long, starts array<int>, ends array<int>")
 
 
 def _again(values: np.ndarray) -> np.ndarray:
@@ -318,7 +324,7 @@ def _resolved_by_window(rows: DataFrame, length: int, buckets: int) -> DataFrame
             first = _starts(bucket)
             packed = [made[a:b].tobytes() for a, b in zip(first, _ends(first, len(made)), strict=True)]
             none = [pa.nulls(len(packed), k) for k in (pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *none, pa.array(packed, pa.binary()), pa.nulls(len(packed), ints), pa.nulls(len(packed), ints)], names_of)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *none, pa.array(packed, pa.binary()), pa.array([[]] * len(packed), ints), pa.array([[]] * len(packed), ints)], names_of)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket"]):
@@ -332,9 +338,9 @@ def _resolved_by_window(rows: DataFrame, length: int, buckets: int) -> DataFrame
     def _span_rows(made: np.ndarray, length: int) -> pa.RecordBatch:
         start = made["start"].astype(np.int64)
         d, k, s, e = _spans(made["doc"], made["key"], start, start + length)
-        return pa.RecordBatch.from_arrays([pa.array((d & (buckets - 1)).astype(np.int32)), pa.array(d), pa.array(k), pa.nulls(len(d), pa.binary()), pa.array(s, ints), pa.array(e, ints)], names_of)
+        return pa.RecordBatch.from_arrays([pa.array((d.to_numpy() & (buckets - 1)).astype(np.int32)), d, k, pa.nulls(len(d), pa.binary()), s, e], names_of)
 
-    sent = rows.mapInArrow(send, "bucket int, doc long, text_key long, packed binary, starts array<int>, ends array<int>")
+    sent = rows.select("name", "doc", "text_key", "start", "n", "rel", "around").mapInArrow(send, "bucket int, doc long, text_key long, packed binary, starts array<int>, ends array<int>")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, text_key long, starts array<int>, ends array<int>")
 
 
@@ -344,10 +350,25 @@ def _above_least(sorted_key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc > np.repeat(doc[first], np.diff(np.append(first, len(doc))))
 
 
+def _gathered(spans: DataFrame) -> DataFrame:
+    """One row for each document and text, its spans merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["doc", "text_key"], 20_000):
+            starts, ends = table.column("starts").combine_chunks(), table.column("ends").combine_chunks()
+            n = starts.value_lengths().to_numpy(zero_copy_only=False)
+            flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, ends)]
+            made = _spans(np.repeat(table.column("doc").to_numpy(), n), np.repeat(table.column("text_key").to_numpy(), n), *flat)
+            yield pa.RecordBatch.from_arrays(made, ["doc", "text_key", "starts", "ends"])
+
+    return spans.repartition("doc").sortWithinPartitions("doc", "text_key").mapInArrow(run, "doc long, text_key long, starts array<int>, ends array<int>")
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, text_key, starts, ends: spans of bytes (not yet merged) that a string of `length` bytes in
+    """doc, text_key, starts, ends: the runs of bytes that a string of `length` bytes in
     a smaller document covers. doc is the id, a null one as the largest number."""
     spark = docs.sparkSession
+    ship(spark)
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(column(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text")).filter(F.octet_length("text") >= length)
@@ -378,7 +399,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         spans = spans.union(_resolved_by_window(open_.filter(F.col("name").isin(hot)), length, buckets))
     spans = spans.union(around.filter("kind = 0").select("doc", "text_key", "starts", "ends"))
     spans = spans.union(copies.select("doc", "text_key", F.array(F.lit(0)), F.array("size")))
-    whole = stage(spans.groupBy("doc", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "spans")
+    whole = stage(_gathered(spans), "spans")
     unstage(around)
     release(spark)
     return whole
@@ -393,16 +414,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     other. Strings are told apart by names of 128 bits together."""
     spans = repeated_spans(docs, length, id_col, text_col)
     doc = F.coalesce(column("doc_id").cast("long"), F.lit(2**63 - 1))
-    full = id_and_text(docs, id_col, text_col, carry).withColumns({"doc": doc, "text_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    full = id_and_text(docs, id_col, text_col, carry)
+    text = F.col("row")[text_col] if carry else F.col("text")
+    full = full.withColumns({"doc": doc, "text_key": F.xxhash64(F.coalesce(text, F.lit("")))})
     joined = full.join(spans.hint("shuffle_hash"), ["doc", "text_key"], "left").drop("doc", "text_key")
+    # null lists would make Spark's Arrow writer fill all offsets anew for each row
+    none = F.expr("cast(array() as array<int>)")
+    joined = joined.withColumns({"starts": F.coalesce("starts", none), "ends": F.coalesce("ends", none)})
     carried = ["doc_id", "row"] if carry else ["doc_id"]
     schema = T.StructType([joined.schema[c] for c in carried] + T.StructType.fromDDL("n_bytes long, kept binary, starts array<long>, ends array<long>" + ", kept_text string" * carry).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, size, starts, ends = [], [], [], []
-            for text, s, e in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
-                text = text or b""
+            for text, s, e in zip(texts_of(batch), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
                 first, last = merged_runs(np.array(s or [], np.int64), np.array(e or [], np.int64))
                 kept.append(b"".join(text[a:b] for a, b in zip([0, *last.tolist()], [*first.tolist(), len(text)], strict=True)) if len(first) else text)
                 size.append(len(text))

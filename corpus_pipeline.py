@@ -55,18 +55,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Drops documents with a window of ten words of a benchmark item, or a whole shorter item. Null
     and empty texts have none and stay."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
-    return found.filter(F.size("items") == 0).select("row.*")
+    return found.filter(F.size("items") == 0).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with token_ids, n_tokens and round_trip: whether decoding gives the text back.
     Columns that had these names give way to them. Null texts have no tokens."""
-    path = tokenizer("byte_bpe_50k.json")
-    back = bpe.decode(bpe.encode(docs, path, carry=True), path, keep=("token_ids", "row"))
+    back = bpe.encode(docs, tokenizer("byte_bpe_50k.json"), carry=True, decoded=True)
     made = {
         "token_ids": F.col("token_ids"),
         "n_tokens": F.size("token_ids").cast("long"),
-        "round_trip": F.col("text") == F.coalesce(F.col("row.text"), F.lit("")),
+        "round_trip": F.col("decoded") == F.coalesce(F.col("row.text"), F.lit("")),
     }
     rest = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in made]
     return back.select(*rest, *[v.alias(k) for k, v in made.items()])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import id_and_text, lists
+from millrace.llm.common import id_and_text, lists, text_of
 
 #: The split pattern of the byte-level pre-tokenizer (a fixed value).
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -189,30 +189,6 @@ def encode_text(text: str, path: str) -> bytes:
     return b"".join(map(packed_ids(path).__getitem__, pretokens(text)))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, token_ids array<int> of every whole text, one row for each input row; with carry also
-    row, a struct of the input's columns.
-
-    Null and empty texts have no tokens. path is the tokenizer file; every executor must have it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start, held = 0, 0
-            packed: list[bytes] = []
-            for k, text in enumerate(batch.column("text")):
-                packed.append(encode_text(text.as_py() or "", path))
-                held += len(packed[-1]) // 4
-                if held >= BATCH_TOKENS or k == batch.num_rows - 1:
-                    values = np.frombuffer(b"".join(packed), np.int32)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(start, len(packed)) for c in kept], lists(values, np.fromiter(map(len, packed), np.int64) // 4)], [*kept, "token_ids"])
-                    packed, start, held = [], k + 1, 0
-
-    slim = id_and_text(docs, id_col, text_col, carry)
-    kept = ["doc_id", "row"] if carry else ["doc_id"]
-    schema = T.StructType([slim.schema[c] for c in kept] + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return slim.mapInArrow(run, schema)
-
-
 class OffsetTable:
     """All token bytes in one blob, and where each id's begin."""
 
@@ -230,32 +206,64 @@ class OffsetTable:
         return self.blob[np.repeat(self.start[ids] - before, size) + np.arange(int(size.sum()))], size
 
 
+    def texts(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
+        """The texts of consecutive runs of n ids each, BATCH_TOKENS or so at a time."""
+        out: list[str] = []
+        ends, row, done = np.cumsum(n), 0, 0
+        while row < len(n):
+            upto = max(row + 1, int(np.searchsorted(ends, done + BATCH_TOKENS, "right")))
+            data, size = self.decode(ids[done : ends[upto - 1]])
+            cut = np.concatenate([[0], np.cumsum(size)])[ends[row:upto] - done].tolist()
+            whole = data.tobytes()
+            out += [whole[a:b].decode("utf-8", "replace") for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+            row, done = upto, int(ends[upto - 1])
+        return out
+
+
 @lru_cache(maxsize=2)
 def offset_table(path: str) -> OffsetTable:
     return OffsetTable(Tokens(path))
 
 
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, token_ids array<int> of every whole text, one row for each input row.
+
+    With decoded also decoded, what the offset table makes of the ids again, in the same pass. With
+    carry also row, a struct of the input's columns. Null and empty texts have no tokens. path is the
+    tokenizer file; every executor must have it."""
+    slim = id_and_text(docs, id_col, text_col, carry)
+    kept = ["doc_id", "row"] if carry else ["doc_id"]
+    more = [T.StructField("decoded", T.StringType())] if decoded else []
+    schema = T.StructType([*[slim.schema[c] for c in kept], T.StructField("token_ids", T.ArrayType(T.IntegerType())), *more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held = 0, 0
+            packed: list[bytes] = []
+            for k, text in enumerate(text_of(batch)):
+                packed.append(encode_text(text.as_py() or "", path))
+                held += len(packed[-1]) // 4
+                if held >= BATCH_TOKENS or k == batch.num_rows - 1:
+                    ids, n = np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64) // 4
+                    again = [pa.array(offset_table(path).texts(ids, n), pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(start, len(packed)) for c in kept], lists(ids, n), *again], schema.names)
+                    packed, start, held = [], k + 1, 0
+
+    return slim.mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of keep, text: the bytes of the ids as UTF-8, each invalid part as U+FFFD.
 
     A null list decodes to an empty text."""
+    kept = ["doc_id", *keep]
+    slim = encoded.select(F.col(id_col).alias("doc_id"), *keep, F.col(ids_col).alias("_ids"))
+    schema = T.StructType([slim.schema[n] for n in kept] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = offset_table(path)
         for batch in batches:
             column = batch.column("_ids")
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            texts, row, done = [], 0, 0
-            while row < batch.num_rows:
-                upto = max(row + 1, int(np.searchsorted(ends, done + BATCH_TOKENS, "right")))
-                data, size = table.decode(flat[done : ends[upto - 1]])
-                cut = np.concatenate([[0], np.cumsum(size)])[ends[row:upto] - done].tolist()
-                whole = data.tobytes()
-                texts += [whole[a:b].decode("utf-8", "replace") for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-                row, done = upto, int(ends[upto - 1])
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [pa.array(texts, pa.string())], [*kept, "text"])
+            texts = offset_table(path).texts(column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(texts, pa.string())], schema.names)
 
-    kept = ["doc_id", *keep]
-    slim = encoded.select(F.col(id_col).alias("doc_id"), *keep, F.col(ids_col).alias("_ids"))
-    schema = T.StructType([slim.schema[n] for n in kept] + [T.StructField("text", T.StringType())])
     return slim.mapInArrow(run, schema)

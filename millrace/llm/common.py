@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.shipping import ship
+
 #: ASCII white space, as the word definitions of the operators use it: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,9 +33,18 @@ def column(name: str) -> Column:
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """The two columns that an operator reads, as doc_id and text; with carry the whole row as row."""
-    row = [F.struct(*[column(c) for c in docs.columns]).alias("row")] if carry else []
-    return docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), *row)
+    """The two columns that an operator reads, as doc_id and text. With carry the text comes inside
+    row, a struct of all columns in which it is the first and the others follow in their order."""
+    ship(docs.sparkSession)
+    if not carry:
+        return docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
+    rest = [column(c) for c in docs.columns if c != text_col]
+    return docs.select(column(id_col).alias("doc_id"), F.struct(column(text_col).cast("string").alias(text_col), *rest).alias("row"))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column of what id_and_text selected."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,7 +78,7 @@ def release(spark: SparkSession) -> None:
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
     """The text column as UTF-8, null as empty."""
-    return [v or b"" for v in batch.column("text").cast(pa.binary()).to_pylist()]
+    return [v or b"" for v in text_of(batch).cast(pa.binary()).to_pylist()]
 
 
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:

@@ -154,10 +154,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     sorted text, of items with a window that occurs. An item of fewer than width words is one window.
     Null texts, and items without words, have none; a null item id reads 'None'. Repeated items count
     once. Without items nothing is contaminated."""
-    slim, items = id_and_text(docs, id_col, text_col, carry).withColumn("text_key", F.xxhash64("text")), id_and_text(benchmark, item_col, item_text_col)
-    found = []
+    slim, items = id_and_text(docs, id_col, text_col, carry).withColumn("text_key", F.xxhash64(F.col("row")[text_col] if carry else F.col("text"))), id_and_text(benchmark, item_col, item_text_col)
+    texts, found = id_and_text(docs, id_col, text_col), []
     for block in _blocks(items, width, block_words):
-        block.order(_counted(slim, block))
+        block.order(_counted(texts, block))
         found.append(_marked(slim, block))
     if not found:
         empty = Windows([], width)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import column, held_out, id_and_text
+from millrace.shipping import ship
 
 # Language families. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -153,6 +154,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Reads a sample: of each language about PER_LANGUAGE rows, fewer if there are so many languages
     that all would be over IN_ALL; which ones, a hash of the id tells."""
+    ship(docs.sparkSession)
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
     n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(IN_ALL // 2).collect()

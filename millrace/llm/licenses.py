@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import column, stage, texts_of
 from millrace.llm.decontaminate import words_of
+from millrace.shipping import ship
 
 # Headers that announce a licence, by SPDX identifier.
 TEMPLATES = [
@@ -113,6 +114,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, pat
     is ''. Of several licence files in a directory the greatest cosine counts, then the least path.
     A null text is empty; a null path has no directory and inherits nothing. licence_file: which rows
     are licence files, if not by base name."""
+    ship(files.sparkSession)
     path = column(path_col).cast("string")
     named = licence_file if licence_file is not None else F.coalesce(F.regexp_extract(path, "([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False))
     rows = files.select(path.alias("path"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"), named.alias("is_file"), *[column(c).alias(f"keep_{i}") for i, c in enumerate(keep)])

@@ -34,13 +34,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.json")
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), path)
-    return bpe.decode(coded, path, keep=("token_ids",)).select(
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), decoded=True)
+    return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         _sha256(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        _sha256(F.col("text")).alias("decoded_sha256"),
+        _sha256(F.col("decoded")).alias("decoded_sha256"),
     )
 
 
@@ -98,4 +97,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_bpe_roundtrip, op3_language_id, op4_simhash_neardup, op5_suffix_dedup, op6_quality_rules, op7_decontaminate, op8_shards, op9_token_counts, op10_toxicity)
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM b WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, k, l, array_to_string(w[k:k + l - 1], ' ') AS s
+        FROM (SELECT doc_id, w, l, unnest(generate_series(1, len(w) - l + 1)) AS k FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)),
+    h AS (SELECT doc_id, k, l, item_id FROM dw JOIN bw USING (l, s)),
+    n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + l - 1)) AS p FROM h) GROUP BY 1),
+    i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM h GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""",
+}

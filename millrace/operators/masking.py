@@ -79,6 +79,17 @@ def mask(df: DataFrame, rules: Mapping[str, Mapping[str, Any]] | Sequence[Mappin
     return df.withColumns(made)
 
 
+def metrics(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    """rows, and for each masked column the values that are there and those that the mask changes, in
+    one job."""
+    made = [F.count(F.lit(1)).alias("rows")]
+    for c, rule in rules.items():
+        if c in df.columns:
+            changed = ~mask_column(F.col(c), rule).eqNullSafe(F.col(c).cast("string"))
+            made += [F.count(c).alias(f"{c}_values"), F.count_if(changed).alias(f"{c}_masked")]
+    return df.agg(*made)
+
+
 def grow_vault(values: DataFrame, column: str, vault: DataFrame | None = None, prefix: str = "TOKEN") -> DataFrame:
     """value, token, number: the vault with tokens PREFIX_00000001, ... for values that it has not yet.
 

@@ -40,3 +40,9 @@ def neighbours(df: DataFrame, partition: Sequence[str], order: Sequence[str | Co
     """Adds <column>_lag and <column>_lead."""
     w = over(partition, order)
     return df.select("*", F.lag(column, steps).over(w).alias(f"{column}_lag"), F.lead(column, steps).over(w).alias(f"{column}_lead"))
+
+
+def nth_values(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column], column: str, at: Sequence[int]) -> DataFrame:
+    """Adds <column>_nth<n>: the n-th value of the whole partition in the order, null if it has fewer."""
+    w = over(partition, order, rows=(Window.unboundedPreceding, Window.unboundedFollowing))
+    return df.select("*", *[F.nth_value(column, n).over(w).alias(f"{column}_nth{n}") for n in at])

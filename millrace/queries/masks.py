@@ -84,6 +84,11 @@ def mask_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.mask(_people(spark, sf_dir), [{"column": "card", "strategy": "pattern", "pattern": "XXXX-$4"}]).select("c_custkey", "card")
 
 
+@query(f"SELECT count(*) AS rows, count(email) AS email_values, count(*) FILTER (contains(email, '@')) AS email_masked, count(phone) AS phone_values, count(*) AS phone_masked FROM {_PEOPLE}")
+def mask_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.metrics(_people(spark, sf_dir), {"email": {"strategy": "partial_mask", "preserve_domain": True}, "phone": {"strategy": "redact"}})
+
+
 def _vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grown in two steps, and kept as files between."""
     people, path = _people(spark, sf_dir), scratch(spark, "vault")

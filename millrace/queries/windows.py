@@ -53,6 +53,14 @@ def win_range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window.window_aggregates(table(spark, sf_dir, "customer"), ["c_mktsegment"], {"count": ["c_custkey"]}, ["c_nationkey"], range_=(-2, 2)).select("c_custkey", "c_custkey_count_window")
 
 
+@query(
+    """SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS o_orderkey_nth2
+    FROM (SELECT *, o_orderkey AS k FROM orders)"""
+)
+def win_nth_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window.nth_values(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", [2]).select("o_orderkey", "o_orderkey_nth2")
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def dedup_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(table(spark, sf_dir, "events").select("event_type", "user_id"))

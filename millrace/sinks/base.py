@@ -124,7 +124,7 @@ def sink_for(spark, spec: Mapping[str, Any]) -> Sink:
     """type: file, table (or delta), jdbc, kafka, api; the other entries are the sink's and SinkConfig's."""
     from millrace.sinks import files, jdbc, kafka, rest, table
 
-    kinds = {"file": files.FileSink, "table": table.TableSink, "delta": table.TableSink, "jdbc": jdbc.JdbcSink, "kafka": kafka.KafkaSink, "api": rest.RestSink}
+    kinds = {"file": files.FileSink, "table": table.TableSink, "delta": table.DeltaSink, "jdbc": jdbc.JdbcSink, "kafka": kafka.KafkaSink, "api": rest.RestSink}
     kind = spec.get("type", "table")
     if kind not in kinds:
         raise ValueError(f"unknown sink {kind!r}; one of {', '.join(kinds)}")

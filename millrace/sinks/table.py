@@ -1,4 +1,4 @@
-"""Versioned tables."""
+"""Versioned tables, and those of Delta where its jar is there."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sinks.base import Sink, SinkConfig
+from millrace.tables import delta
 from millrace.tables.store import TableStore
 
 
@@ -34,3 +35,23 @@ class TableSink(Sink):
 
     def count(self, df: DataFrame) -> int | None:
         return self.store.manifest()["rows"]
+
+
+class DeltaSink(TableSink):
+    """The same spec for a Delta table; without the jar it is a versioned table."""
+
+    def __init__(self, spark: SparkSession, spec: Mapping[str, Any], config: SinkConfig | None = None) -> None:
+        super().__init__(spark, spec, config)
+        self.spark = spark
+
+    def _write(self, df: DataFrame) -> None:
+        if not delta.available(self.spark):
+            super()._write(df)
+            return
+        c = self.config
+        delta.write(df, self.spec["path"], c.mode, c.partition_by, c.merge_schema, c.merge_keys, self.spec, c.options)
+
+    def count(self, df: DataFrame) -> int | None:
+        if not delta.available(self.spark):
+            return super().count(df)
+        return delta.read(self.spark, {"path": self.spec["path"]}).count()

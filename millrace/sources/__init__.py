@@ -18,11 +18,15 @@ REGISTRY: dict[str, Callable[[SparkSession, Mapping[str, Any]], DataFrame]] = {
 
 
 def read(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
-    """Reads by the spec's type; `table` (or `delta`) is a versioned table."""
+    """Reads by the spec's type; `table` is a versioned table, and `delta` one of
+    Delta where its jar is there, else a versioned table too."""
     kind = spec.get("type", "jdbc")
     if kind in ("table", "delta"):
+        from millrace.tables import delta
         from millrace.tables.store import TableStore
 
+        if kind == "delta" and delta.available(spark):
+            return delta.read(spark, spec)
         return TableStore(spark, spec["path"]).read(spec.get("version"), spec.get("timestamp"))
     if kind not in REGISTRY:
         raise ValueError(f"unknown source {kind!r}; one of table, {', '.join(REGISTRY)}")

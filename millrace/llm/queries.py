@@ -97,9 +97,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_bpe_roundtrip, op3_language_id, op4_simhash_neardup, op5_suffix_dedup, op6_quality_rules, op7_decontaminate, op8_shards, op9_token_counts, op10_toxicity)
 }
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _words(text: str) -> str:
+    """SQL for the words that licence scans and decontamination look at."""
+    return rf"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+_WORDS = _words("coalesce(text, '')")
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": f"""WITH t(k, name, txt) AS (VALUES {_TEMPLATES}),
+    d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 1000 = 0 AS is_file, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR)) AS dir FROM documents),
+    n AS (SELECT count(*) AS n FROM d),
+    tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({_words('txt')}) AS term FROM t) GROUP BY 1, 2),
+    held AS (SELECT term, count(*) AS h FROM (SELECT DISTINCT doc_id, unnest({_words('text')}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY 1),
+    idf AS (SELECT term, coalesce(h, 0) AS h, ln((1 + n) / (1 + coalesce(h, 0))) + 1 AS idf, n FROM (SELECT DISTINCT term FROM tt) LEFT JOIN held USING (term), n),
+    tv AS (SELECT k, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS y FROM tt JOIN idf USING (term)),
+    lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)
+        UNION ALL SELECT doc_id, 1000000000, text FROM d WHERE is_file),
+    tf AS (SELECT doc_id, i, term, count(*) AS tf FROM (SELECT doc_id, i, unnest({_words('line')}) AS term FROM lines) GROUP BY 1, 2, 3),
+    kept AS (SELECT DISTINCT doc_id, i FROM tf JOIN idf USING (term) WHERE h * 10 < n),
+    v AS (SELECT doc_id, i, term, tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) AS x FROM tf JOIN kept USING (doc_id, i) LEFT JOIN idf USING (term)),
+    u AS (SELECT doc_id, i, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, i)) AS x FROM v),
+    c AS (SELECT doc_id, i, k, sum(x * y) AS c FROM u JOIN tv USING (term) GROUP BY 1, 2, 3),
+    best AS (SELECT doc_id, c, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, i, k) AS r FROM c) WHERE r = 1),
+    own AS (SELECT d.doc_id, dir, is_file, coalesce(c, 0.0) AS c, CASE WHEN c >= 0.75 THEN name END AS own FROM d LEFT JOIN best USING (doc_id) LEFT JOIN t USING (k)),
+    g AS (SELECT dir, own AS granted FROM own WHERE is_file AND own IS NOT NULL)
+    SELECT doc_id, coalesce(own, granted) AS licence, round(c, 6) AS cosine,
+    CASE WHEN own IS NOT NULL AND is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN granted IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+    CASE WHEN own IS NULL AND granted IS NOT NULL THEN dir END AS inherited_from FROM own LEFT JOIN g USING (dir)""",
+    "op5_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+    w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+    m AS (SELECT k, min(doc_id) AS least FROM w GROUP BY 1),
+    g AS (SELECT doc_id, i FROM w JOIN m USING (k) WHERE doc_id > least),
+    f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM g),
+    runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f) GROUP BY doc_id, run),
+    p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM runs),
+    k AS (SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS x, max(b) AS e, sum(b - a) AS gone, count(*) AS spans FROM p JOIN d USING (doc_id) GROUP BY 1)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN e IS NULL THEN h ELSE x || substr(h, 2 * e + 1) END)) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)""",
     "op7_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
     bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s
         FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM b WHERE len(w) > 0)),

@@ -1,6 +1,7 @@
-"""Versioned tables on Parquet: immutable data folders, and a manifest file for each version.
+"""Versioned tables on Parquet: immutable data files, and a manifest file for each version.
 
-A version names the folders that make it up. A commit creates the file of the next number, which
+A version names the folders and files that make it up. A merge writes anew only the files that hold
+a matched key; the others are named again. A commit creates the file of the next number, which
 fails if another writer has been first, so writers cannot overwrite each other; an append then tries
 the next number, anything else is an error. Readers see a version or do not. Everything goes through
 Spark and Hadoop's file systems, so a table can lie wherever Spark can write.
@@ -110,17 +111,23 @@ class TableStore:
         return {
             "version": entry["version"],
             "timestamp": datetime.fromtimestamp(entry["time"], timezone.utc),
-            "numFiles": sum(self._count(p) for p in entry["parts"]),
+            "numFiles": sum(len(self._files(p)) for p in entry["parts"]),
             "sizeInBytes": sum(s.getLength() for s in sizes),
             "partitionColumns": entry["partition_by"],
             "numRows": entry["rows"],
         }
 
-    def _count(self, part: str) -> int:
-        files, n = self._fs.listFiles(self._path(f"{self.path}/{part}"), True), 0
+    def _files(self, part: str) -> list[str]:
+        """The data files of a folder or file of a version."""
+        root, found = self._path(f"{self.path}/{part}"), []
+        if not self._fs.exists(root):
+            return []
+        files = self._fs.listFiles(root, True)
         while files.hasNext():
-            n += files.next().getPath().getName().endswith(".parquet")
-        return n
+            name = files.next().getPath().toString()
+            if name.endswith(".parquet"):
+                found.append("data/part=" + name.partition("/data/part=")[2])
+        return found
 
     def history(self, limit: int = 20) -> DataFrame:
         """The last versions, newest first."""
@@ -218,7 +225,10 @@ class TableStore:
         have = StructType.fromJson(base["schema"])
         added = [f for f in source.schema if f.name not in have.fieldNames() and f.name not in hidden]
         schema = StructType([*have.fields, *added])
-        target = self._frame(base).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+        touched = self._touched(base, source, keys)
+        within = base if touched is None else base | {"parts": touched}
+        before = Observation()
+        target = self._frame(within).observe(before, F.count(F.lit(1)).alias("n")).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
         both = target.withColumn("_in", F.lit(True)).alias("target").join(source.withColumn("_in", F.lit(True)).alias("source"), key_condition("target", "source", keys), "full_outer")
         in_target, in_source = F.col("target._in").isNotNull(), F.col("source._in").isNotNull()
         matched = in_target & in_source
@@ -233,7 +243,29 @@ class TableStore:
             new = F.expr(insert_values[name]) if insert_values and name in insert_values else F.lit(None) if insert_values or theirs is None else theirs
             return F.when(~in_target, new).when(updated, set_to).otherwise(own).cast(schema[name].dataType).alias(name)
 
-        return self._rewrite(both.filter(kept).select(*[value(f.name) for f in schema]), base, "merge", transaction=transaction, schema=schema)
+        merged = both.filter(kept).select(*[value(f.name) for f in schema])
+        if touched is None:
+            return self._rewrite(merged, base, "merge", transaction=transaction, schema=schema)
+        name, n = self._write(merged, base["partition_by"])
+        rest = [f for p in base["parts"] for f in self._files(p) if f not in set(touched)]
+        gone = before.get["n"] if touched else 0
+        more: dict[str, Any] = {"metrics": {"written": n, "files_rewritten": len(touched)}}
+        if transaction:
+            more["transactions"] = base["transactions"] | {transaction[0]: transaction[1]}
+        return self._commit(self._entry(base, "merge", schema, base["partition_by"], [*rest, name], base["rows"] - gone + n, **more))
+
+    def _touched(self, base: dict, source: DataFrame, keys: Sequence[str]) -> list[str] | None:
+        """The files with a key of the source; None if that is so many that the whole table may as well
+        be written anew."""
+        files = [f for p in base["parts"] for f in self._files(p)]
+        if len(files) < 4:
+            return None
+        schema = StructType.fromJson(base["schema"])
+        named = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/{p}" for p in base["parts"]])
+        rows = named.select(*[F.col(f"`{k}`") for k in keys], F.col("_metadata.file_path").alias("_file"))
+        hit = rows.join(source.select(*[F.col(f"`{k}`") for k in keys]), list(keys), "left_semi").select("_file").distinct().collect()  # names of files
+        found = ["data/part=" + r["_file"].partition("/data/part=")[2] for r in hit]
+        return None if len(found) * 2 > len(files) else found
 
     def replace_where(self, df: DataFrame, condition: str) -> int:
         """Replaces the rows that meet the condition; new rows that do not meet it are an error."""
@@ -265,16 +297,19 @@ class TableStore:
         return self._rewrite(df, base, "optimize", {"z_order": list(z_order)})
 
     def vacuum(self, hours: float = 168.0) -> list[str]:
-        """Deletes data folders that no version of the last hours uses, and manifests of older ones."""
+        """Deletes data files that no version of the last hours uses, and manifests of older ones that
+        did. Returns the files."""
         known, limit = self.versions(), time.time() - hours * 3600
         entries = {v: self._load(v) for v in known}
         kept = {v for v in known if v == known[-1] or entries[v]["time"] >= limit}
-        used = {p for v in kept for p in entries[v]["parts"]}
-        gone = sorted({p for v in known for p in entries[v]["parts"]} - used)
-        for p in gone:
-            self._fs.delete(self._path(f"{self.path}/{p}"), True)
+        listed = {p: set(self._files(p)) for p in {p for e in entries.values() for p in e["parts"]}}
+        files = {v: {f for p in entries[v]["parts"] for f in listed[p]} for v in known}
+        used = {f for v in kept for f in files[v]}
+        gone = sorted({f for v in known for f in files[v]} - used)
+        for f in gone:
+            self._fs.delete(self._path(f"{self.path}/{f}"), False)
         for v in known:
-            if v not in kept and not set(entries[v]["parts"]) <= used:
+            if v not in kept and not files[v] <= used:
                 self._fs.delete(self._log(v), False)
         return gone
 

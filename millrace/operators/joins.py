@@ -42,18 +42,29 @@ def key_condition(left: str, right: str, keys: Sequence[str], null_safe: bool =
     return condition
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, columns: Sequence[str], prefix: str = "asof_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, columns: Sequence[str], prefix: str = "asof_", every: float | None = None) -> DataFrame:
     """For each row of left the latest row of right with the key and no later time.
 
     One shuffle: both sides meet in one sorted stream for each key, and the last right row is carried
-    forward. Of right rows of one time the greatest columns count."""
+    forward. Of right rows of one time the greatest columns count. With every, a key's stream is cut
+    into slices of so many seconds (or units of a numeric time), so a key with many rows is shared out;
+    each slice begins with the last right row of those before it."""
     values = F.struct(F.col(right_ts).alias(f"{prefix}{right_ts}"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
     row = F.struct(*[F.col(c) for c in left.columns])
     none = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
-    r = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), values.alias("_right"))
-    l = left.select(F.col(key).alias("_k"), F.col(left_ts).cast(right.schema[right_ts].dataType).alias("_t"), F.lit(1).alias("_side"), row.alias("_left"))  # noqa: E741
+    kind = right.schema[right_ts].dataType
+    at = F.col("_t").cast("timestamp").cast("double") if kind.typeName() in ("timestamp", "timestamp_ntz", "date") else F.col("_t").cast("double")
+    slot = F.floor(at / every) if every else F.lit(0).cast("long")
+    r = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), values.alias("_right")).withColumn("_slot", slot)
+    l = left.select(F.col(key).alias("_k"), F.col(left_ts).cast(kind).alias("_t"), F.lit(1).alias("_side"), row.alias("_left")).withColumn("_slot", slot)  # noqa: E741
     both = l.withColumn("_right", none(r, "_right")).unionByName(r.withColumn("_left", none(l, "_left")))
-    w = Window.partitionBy("_k").orderBy("_t", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    if every:
+        last = r.groupBy("_k", "_slot").agg(F.max(F.struct("_t", "_right")).alias("_m"))
+        slots = l.select("_k", "_slot").union(last.select("_k", "_slot")).distinct()
+        earlier = Window.partitionBy("_k").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        carried = slots.join(last, ["_k", "_slot"], "left").select("_k", "_slot", F.last("_m", ignorenulls=True).over(earlier).alias("_m")).filter("_m IS NOT NULL")
+        both = both.unionByName(carried.select("_k", "_slot", "_m._t", "_m._right", F.lit(0).alias("_side"), none(l, "_left").alias("_left")))
+    w = Window.partitionBy("_k", "_slot").orderBy("_t", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("_last", F.last("_right", ignorenulls=True).over(w)).filter("_side = 1").select("_left.*", "_last.*")
 
 

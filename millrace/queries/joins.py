@@ -82,7 +82,7 @@ def join_theta_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def join_asof_orders_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + F.expr("INTERVAL 30 YEAR")).alias("at"))
-    return ops.asof_join(orders, table(spark, sf_dir, "events"), "user_id", "at", "ts", ["event_id"]).select("o_orderkey", "asof_event_id")
+    return ops.asof_join(orders, table(spark, sf_dir, "events"), "user_id", "at", "ts", ["event_id"], every=86_400.0).select("o_orderkey", "asof_event_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")

@@ -110,6 +110,14 @@ def test_asof_and_range(spark):
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (1, 6, "c")], "k int, t int, y string")
     out = joins.asof_join(left, right, "k", "t", "t", ["y"])
     assert rows(out.select("x", "asof_y", "asof_t")) == [("l1", "b", 5), ("l2", None, None), ("l3", None, None)]
+    import random
+
+    rnd = random.Random(1)
+    many = [(rnd.randrange(3), rnd.randrange(200), i) for i in range(120)]
+    a, b = (spark.createDataFrame(m, "k int, t int, x int") for m in (many[:60], many[60:]))
+    want = rows(joins.asof_join(a, b.withColumnRenamed("x", "y"), "k", "t", "t", ["y"]))
+    for every in (7, 50, 1000):
+        assert rows(joins.asof_join(a, b.withColumnRenamed("x", "y"), "k", "t", "t", ["y"], every=every)) == want
     points = spark.createDataFrame([(0.0,), (9.9,), (10.0,), (-3.0,), (None,)], "p double")
     spans = spark.createDataFrame([("u", 0.0, 10.0), ("v", 9.95, 30.0), ("w", -5.0, -2.0), ("none", 5.0, 1.0)], "n string, a double, b double")
     assert rows(joins.range_join(points, spans, "p", "a", "b", 4.0).select("p", "n")) == [(-3.0, "w"), (0.0, "u"), (10.0, "u"), (10.0, "v"), (9.9, "u")]

@@ -34,7 +34,7 @@ _LATIN, _SPACE = "A-Za-zÀ-ÖØ-öø-\u024f", "\t-\r "
 LATIN_TEXT = re.compile(f"[\\x00-\\x7f{_LATIN}\u2010-\u2027\u2030-\u203e]*")
 LATIN_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^{_SPACE}{_LATIN}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Entries of a generation of what a worker remembers. Bounds memory, changes no result.
-MEMO = 200_000
+MEMO = 100_000
 #: Pairs of tokens whose check a worker remembers.
 PAIRS = 60_000
 #: Tokens per batch that a worker passes on.
@@ -248,6 +248,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     again = [pa.array(offset_table(path).texts(ids, n), pa.string())] if decoded else []
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(start, len(packed)) for c in kept], lists(ids, n), *again], schema.names)
                     packed, start, held = [], k + 1, 0
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it remembers alone
 
     return slim.mapInArrow(run, schema)
 

@@ -38,7 +38,8 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
-        _sha256(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        # the JSON of a list of numbers, without its brackets, is the numbers joined by commas
+        _sha256(F.expr("trim(BOTH '[]' FROM to_json(token_ids))")).alias("ids_sha256"),
         _sha256(F.col("decoded")).alias("decoded_sha256"),
     )
 

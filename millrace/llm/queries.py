@@ -62,7 +62,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_good")
+    return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,44 @@ def _words(text: str) -> str:
 _WORDS = _words("coalesce(text, '')")
 _TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
 
+
+
+def _quality_sql(rounds: int = 100, prior: float = 0.9, strength: float = 0.01) -> str:
+    """The counts, the votes, expectation-maximisation as a recursive query over the vote patterns (w
+    holds three weights of each rule, for bad, none and good), and the posterior."""
+    ratios = [("n_symbols", "n_words", 0.02, 0.1), ("n_symbols", "word_chars", 0.005, 0.02), ("n_repeat_words", "n_words", 0.2, 0.4), ("n_dup_lines", "n_lines", 0.2, 0.4), ("word_chars", "n_words", 8.0, 13.0), ("word_chars", "n_words", 3.0, 2.0)]
+    votes = []
+    for k, (a, b, good, bad) in enumerate(ratios):
+        low, high = ("<=", ">=") if bad > good else (">=", "<=")
+        ratio = f"({a} / nullif({b}, 0)::DOUBLE)"
+        votes.append(f"CASE WHEN {ratio} {high} {bad} THEN -1 WHEN {ratio} {low} {good} THEN 1 ELSE 0 END AS v{k}")
+    names = [f"v{k}" for k in range(len(ratios))]
+    odds = "base + " + " + ".join(f"w[{3 * k} + {v} + 2]" for k, v in enumerate(names))
+    good, bad = quality.START
+    clip = {-1: "least(0, {})", 0: "{}", 1: "greatest(0, {})"}
+    start = ", ".join(clip[v].format(f"ln({good[v + 1]} / {bad[v + 1]})") for _ in names for v in (-1, 0, 1))
+    share = lambda y, k, v: f"(held * {(good, bad)[y][v + 1]} + coalesce(sum(n * {('g', '(1 - g)')[y]}) FILTER (v{k} = {v}), 0)) / (held + sum(n * {('g', '(1 - g)')[y]}))"
+    weights = ", ".join(clip[v].format(f"ln(({share(0, k, v)}) / ({share(1, k, v)}))") for k in range(len(names)) for v in (-1, 0, 1))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, i, w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+    dup AS (SELECT doc_id, s FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN dup USING (doc_id, s)) GROUP BY 1),
+    li AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+    f AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(li.r, 0)::BIGINT AS n_dup_lines, coalesce(rep.r, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+        FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN li USING (doc_id)),
+    v AS (SELECT *, {', '.join(votes)} FROM f),
+    p AS (SELECT {', '.join(names)}, count(*) AS n, (SELECT count(*) FROM v)::DOUBLE AS total, greatest(1.0, {strength} * (SELECT count(*) FROM v)) AS held FROM v GROUP BY {', '.join(names)}),
+    em AS (SELECT 0 AS r, ln({prior} / (1 - {prior})) AS base, [{start}]::DOUBLE[] AS w
+        UNION ALL SELECT r + 1, ln(pr / (1 - pr)), w FROM (SELECT r, least(0.99, greatest(0.5, (sum(n * g) + {prior} * held) / (total + held))) AS pr, [{weights}]::DOUBLE[] AS w
+            FROM (SELECT r, p.*, 1 / (1 + exp(-({odds}))) AS g FROM em, p WHERE r < {rounds}) GROUP BY r, total, held)),
+    m AS (SELECT * FROM em WHERE r = {rounds}),
+    j AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({odds}))) AS p FROM v, m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS p_good FROM j"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_quality_rules": _quality_sql(),
     "op1_license_scan": f"""WITH t(k, name, txt) AS (VALUES {_TEMPLATES}),
     d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 1000 = 0 AS is_file, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR)) AS dir FROM documents),
     n AS (SELECT count(*) AS n FROM d),

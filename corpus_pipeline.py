@@ -22,8 +22,9 @@ PASSAGE_BYTES = 100
 
 #: Near-duplicates: five-word shingles and a similarity of 0.8. Two texts of Jaccard similarity 0.8
 #: differ in about 0.15 of their SimHash bits: 78 of 512, with a standard error of 8. Links are taken
-#: up to one standard error beyond. Each of the 16 bands of 32 bits is searched within 2 bits.
-NEAR = {"shingle": 5, "words": 8, "bits": 32, "budget": 2, "max_bits": 86}
+#: up to one and a half standard errors beyond. Each of the 16 bands of 32 bits is searched within 3
+#: bits: of pairs of that similarity 99 in 100 meet in some band.
+NEAR = {"shingle": 5, "words": 8, "bits": 32, "budget": 3, "max_bits": 90}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

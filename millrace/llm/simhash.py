@@ -31,7 +31,7 @@ from millrace.llm.components import connected_components
 
 HOT, SPLIT = 200_000, 8
 #: Node pairs handled at a time; pairs of subtrees with so few pairs of codes are compared at once.
-FRONTIER, SMALL = 1_000_000, 32
+FRONTIER, SMALL = 200_000, 32
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -258,11 +258,12 @@ def links(nodes: DataFrame, bits: int, budget: int, max_bits: int, words: int =
     dealt = _tries(nodes, bits, budget, words, frozenset(r["key"] for r in busy)).repartition("key", "split").sortWithinPartitions("key", "split")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key", "split"], 200_000):
+        for table in whole_groups(batches, ["key", "split"], 100_000):
             keys, split, code, child, node = (table.column(c).to_numpy() for c in ("key", "split", "code", "child", "node"))
             full = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
             a, b = linked(keys, split.astype(np.int64), code.view(np.uint64), child, full, bits, budget, max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -1,9 +1,18 @@
+import os
 import random
 
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from millrace.llm.common import stage
+from millrace.llm.queries import tokenizer
+from tests.llm import test_decontaminate, test_quality, test_suffix
 from tests.llm.fixtures import documents, empty, texts
 
+DATA = "/root/testdata/sf0.001"
+
 
 def prose(r, n):
     return " ".join("".join(r.choice(["ra", "te", "lo", "mi", "sun", "ket", "é"]) for _ in range(r.randrange(1, 5))) for _ in range(n))
@@ -79,3 +88,36 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, tmp_path):
                 assert got.columns == docs.columns, name
             n = got.count()
             assert n <= docs.count() and (n > 0 or docs is not awkward)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_stages_equal_brute_force_on_the_smallest_tables(spark):
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, apply in corpus_pipeline.STAGES:
+        docs = stage(apply(spark, docs, DATA), name)
+        now = {r["doc_id"]: r for r in docs.collect()}
+        if name == "quality_rules":
+            for i, text in before.items():
+                n, _, symbols, _, repeats = test_quality.brute(text)
+                bad = n < 50 or 100 * repeats > 50 * n or symbols > 0.1 * n
+                assert (i not in now) >= bad
+        elif name == "simhash_near_dedup":
+            sets = {i: shingles(t) for i, t in before.items()}
+            like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+            ids = sorted(before)
+            assert not [(a, b) for a in now for b in now if a < b and like(a, b) >= 0.85]
+            assert all(any(like(i, k) >= 0.65 for k in ids if k != i) for i in set(before) - set(now))
+        elif name == "suffix_array_dedup":
+            rows = [(i, t.encode()) for i, t in sorted(before.items())]
+            for (i, data), gone in zip(rows, test_suffix.brute(rows, corpus_pipeline.PASSAGE_BYTES), strict=True):
+                left = bytes(np.frombuffer(data, np.uint8)[~gone]).decode("utf-8", "ignore")
+                assert (now[i]["text"] == left) if i in now else not left.strip()
+        elif name == "benchmark_decontamination":
+            hit = test_decontaminate.brute(list(before.values()), items)
+            assert set(now) == {i for k, i in enumerate(before) if not hit[k][2]}
+        else:
+            assert all(r["round_trip"] and r["token_ids"] == library.encode(r["text"], add_special_tokens=False).ids for r in now.values())
+        before = {i: r["text"] for i, r in now.items()}

@@ -117,7 +117,7 @@ def test_keep_one(spark):
     values = base + base + near + [None, "", None]
     docs = documents(spark, values)
     docs = docs.union(docs.filter("doc_id = 3"))
-    kept = simhash.keep_one(docs, shingle=5, words=8, bits=32, budget=2, max_bits=86)
+    kept = simhash.keep_one(docs, shingle=5, words=8, bits=32, budget=3, max_bits=90)
     assert kept.columns == docs.columns
     assert sorted(x["doc_id"] for x in kept.collect()) == [*range(20), 60]
     nulls = spark.createDataFrame([(None, "only one here"), (None, "quite another text"), (5, "only one here")], "doc_id long, text string")

@@ -12,7 +12,9 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -69,11 +71,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now and not at the driver's next GC."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished jobs now and not at the driver's next GC. Twice,
+    since Python lets go of its handles in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:

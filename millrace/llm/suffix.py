@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -329,7 +329,7 @@ def _resolved_by_window(rows: DataFrame, length: int, buckets: int) -> DataFrame
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket"]):
             packed = table.column("packed").to_pylist()
-            ready = table.filter(pa.compute.is_null(table.column("packed")))
+            ready = table.filter(pc.is_null(table.column("packed")))
             yield from ready.select(names_of[1:3] + names_of[4:]).to_batches()
             made = np.frombuffer(b"".join(p for p in packed if p), entry)
             made = made[np.lexsort((made["doc"], made["window"]))]

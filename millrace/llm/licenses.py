@@ -1,9 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-Every line of a whole text is a candidate header; in a licence file the whole text is one more. Only
-candidates that share a telling term with a template are looked at, through an index from terms to
-templates, and a candidate's cosine is summed over the shared terms alone. How rare a term is counts
-over all files. A file without a licence of its own takes that of the licence file in its nearest
+Every line of a whole text is a candidate header; in a licence file the whole text is one more. All
+candidates that share a term with a template are scored, through an index from terms to templates,
+unless the length of the shared part bounds the cosine below the best so far; a candidate's cosine is
+summed over the shared terms alone. How rare a term is counts over all files. A file without a licence of its own takes that of the licence file in its nearest
 ancestor directory, by a join of directory paths: each distinct directory once, not each file.
 """
 
@@ -56,37 +56,40 @@ class Index:
     """Templates as unit vectors, by term. holding: how many of so many files hold each term."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], files: int, holding: dict[bytes, int]) -> None:
-        self.files, self.holding = files, holding
         self.names = [name for name, _ in templates]
+        counts = [Counter(words_of(text.encode())) for _, text in templates]
+        self.rarity = {t: math.log((1 + files) / (1 + holding.get(t, 0))) + 1 for c in counts for t in c}
+        self.other = math.log(1 + files) + 1  # terms of no template count as held by no file
         self.by_term: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        for k, (_, text) in enumerate(templates):
-            for t, v in self.vector(words_of(text.encode())).items():
-                self.by_term[t].append((k, v))
-        # terms that a tenth of all files hold tell nothing by themselves
-        self.telling = {t for t in self.by_term if holding.get(t, 0) * 10 < files} or set(self.by_term)
-
-    def vector(self, words: list[bytes]) -> dict[bytes, float]:
-        v = {t: n * (math.log((1 + self.files) / (1 + self.holding.get(t, 0))) + 1) for t, n in Counter(words).items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {t: x / norm for t, x in v.items()}
-
-    def best(self, words: list[bytes]) -> tuple[float, str]:
-        """The greatest cosine and its licence; of equals the first template."""
+        for k, c in enumerate(counts):
+            norm = math.sqrt(sum((n * self.rarity[t]) ** 2 for t, n in c.items())) or 1.0
+            for t, n in c.items():
+                self.by_term[t].append((k, n * self.rarity[t] / norm))
+
+    def best(self, words: list[bytes], least: float = 0.0) -> tuple[float, str]:
+        """The greatest cosine and its licence; of equals the first template. Nothing if the cosine
+        is surely below least: it is at most the share that the terms of templates have of the length."""
+        counts = Counter(words)
+        shared = {t: counts[t] * self.rarity[t] for t in counts.keys() & self.rarity.keys()}
+        part = sum(x * x for x in shared.values())
+        norm = math.sqrt(part + self.other**2 * sum(n * n for t, n in counts.items() if t not in shared)) or 1.0
+        if math.sqrt(part) / norm < least - 1e-9:
+            return 0.0, ""
         found: dict[int, float] = defaultdict(float)
-        for t, x in self.vector(words).items():
-            for k, y in self.by_term.get(t, ()):
-                found[k] += x * y
+        for t in sorted(shared):  # in a fixed order, so that sums are the same everywhere
+            for k, y in self.by_term[t]:
+                found[k] += shared[t] / norm * y
         return max(((c, self.names[k]) for k, c in sorted(found.items())), key=lambda m: round(m[0], 9), default=(0.0, ""))
 
     def scan(self, text: bytes, whole: bool) -> tuple[float, str]:
         """The best of all lines, and of the whole text if it is a licence file."""
         words, found = words_of(text), (0.0, "")
-        if not self.telling.isdisjoint(words):
+        if not self.rarity.keys().isdisjoint(words):
             for line in map(words_of, text.split(b"\n")):
-                if not self.telling.isdisjoint(line):
-                    found = max(found, self.best(line), key=lambda m: m[0])
+                if not self.rarity.keys().isdisjoint(line):
+                    found = max(found, self.best(line, found[0]), key=lambda m: m[0])
             if whole:
-                found = max(found, self.best(words), key=lambda m: m[0])
+                found = max(found, self.best(words, found[0]), key=lambda m: m[0])
         return found
 
 

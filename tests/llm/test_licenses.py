@@ -64,6 +64,19 @@ def test_root_licence_ties_and_repeats(spark):
     assert {r["inherited_from"] for r in got if r["origin"] == "inherited"} == {""}
 
 
+def test_headers_that_many_files_carry_count(spark):
+    common = [("all/LICENSE", MIT), *((f"all/{k}.txt", PROSE + "\n" + MIT) for k in range(40)), ("all/sub/none.txt", PROSE)]
+    third = [("x/LICENSE", MIT), *((f"x/{k}.txt", (MIT if k % 3 == 0 else PROSE)) for k in range(60))]
+    few = [("y/LICENSE", MIT), ("y/a.txt", MIT), ("y/b.txt", PROSE)]
+    for rows in (common, third, few):
+        want = brute(rows)
+        for r in licenses.scan(files(spark, rows)).collect():
+            c, name = want[r["path"]]
+            assert abs(r["cosine"] - c) < 1e-9
+            own = r["path"].endswith("LICENSE")
+            assert (r["licence"], r["origin"]) == ((name, "file" if own else "header") if c >= licenses.COSINE else ("MIT", "inherited"))
+
+
 def test_empty_and_query(spark, tmp_path):
     assert licenses.scan(empty(spark).selectExpr("source AS path", "text")).collect() == []
     values = [*texts(), PROSE + "\n" + MIT]

@@ -10,6 +10,10 @@ A subtree of more than HOT codes is dealt out further, as the pairs of its child
 that are within the budget.
 
 What is linked in a task leaves it as a spanning star, never as all pairs.
+
+Where a similarity is asked for, fingerprints count each distinct shingle once and only propose: within
+each group that they link, the sets of shingles are compared exactly, and only pairs whose Jaccard
+similarity reaches it link. A group of many shingles is dealt out as the pairs of its blocks.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from millrace.llm.common import column, id_and_text, ranges, release, stage, tex
 from millrace.llm.components import connected_components
 
 HOT, SPLIT = 200_000, 8
+#: Shingles, and sets of them, in a block of a group whose sets are compared.
+BLOCK, BLOCK_SETS = 2_000_000, 4_000
 #: Node pairs handled at a time; pairs of subtrees with so few pairs of codes are compared at once.
 FRONTIER, SMALL = 200_000, 32
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -70,17 +76,28 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return np.packbits(total * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (a hash of the text), fp (binary, 8 * words bytes) of every whole text.
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """doc_id, text_key (a hash of the text), fp (binary, 8 * words bytes) of every whole text; with
+    distinct each shingle of a text counts once, and set_key (a hash of the set) and n_set (its size) follow.
 
     A null, empty or blank text has no shingles and the fingerprint zero."""
     slim = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     schema = T.StructType([slim.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("fp", T.BinaryType())])
+    if distinct:
+        schema = schema.add("set_key", "long").add("n_set", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(shingle_hashes(t, shingle), words) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fp, pa.binary())], schema.names)
+            fp, key, n = [], [], []
+            for t in texts_of(batch):
+                hashes = shingle_hashes(t, shingle)
+                if distinct:
+                    hashes = np.unique(hashes)
+                    key.append(_hash(hashes.tobytes()))
+                    n.append(len(hashes))
+                fp.append(fingerprint(hashes, words))
+            more = [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(n, pa.int64())] if distinct else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fp, pa.binary()), *more], schema.names)
 
     return slim.mapInArrow(run, schema)
 
@@ -268,25 +285,113 @@ def links(nodes: DataFrame, bits: int, budget: int, max_bits: int, words: int =
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set (sorted hashes) the first one of its class: sets link if their Jaccard similarity
+    is similarity or more.
+
+    Two such sets of sizes n and m share at least similarity * max(n, m) hashes, and so one of the
+    n - ceil(similarity * n) + 1 smallest of the one with those of the other: only sets that share one
+    there are compared, and only while they are apart."""
+    labels = list(range(len(sets)))
+    tested: set[tuple[int, int]] = set()
+
+    def find(i: int) -> int:
+        while labels[i] != i:
+            labels[i] = i = labels[labels[i]]
+        return i
+
+    def compare(i: int, j: int) -> None:
+        x, y = find(i), find(j)
+        i, j = min(i, j), max(i, j)
+        if x == y or (i, j) in tested:
+            return
+        tested.add((i, j))
+        a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+        if len(a) < similarity * len(b) - 1e-6:
+            return
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        if both >= similarity * (len(a) + len(b) - both) - 1e-6:
+            labels[max(x, y)] = min(x, y)
+
+    heads = [a[: len(a) - math.ceil(similarity * len(a) - 1e-6) + 1] for a in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    if not len(owner):
+        return np.array(labels, np.int64)
+    value = np.concatenate(heads)
+    order = np.lexsort((owner, value))
+    owner, value = owner[order], value[order]
+    first = np.nonzero(np.concatenate([[True], value[1:] != value[:-1]]))[0]
+    n = np.diff(np.append(first, len(value)))
+    for i, j in np.unique(np.stack([np.repeat(owner[first], n), owner], axis=1), axis=0).tolist():
+        compare(i, j)
+    for at, size in zip(first[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+        classes: dict[int, list[int]] = {}
+        for i in owner[at : at + size].tolist():
+            classes.setdefault(find(i), []).append(i)
+        for one, other in combinations(classes.values(), 2):
+            for i in one:
+                for j in other:
+                    compare(i, j)
+    return np.array([find(i) for i in range(len(sets))], np.int64)
+
+
+def _alike_links(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """a, b: set_keys of one group of members (doc_id, text_key, set_key, n_set, group) that link by
+    exact similarity, as spanning stars. Each set is made again from one text that has it."""
+    carrier = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("by")
+    sets = members.groupBy("group", "set_key").agg(F.max("n_set").alias("n_set"), carrier)
+    blocks = F.least(F.greatest(F.ceil(F.sum("n_set") / BLOCK), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)), F.count(F.lit(1))).cast("int")
+    open_ = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1")
+    block = F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")
+    wanted = sets.join(open_, "group").select("group", "set_key", F.col("by.doc_id").alias("_id"), F.col("by.text_key").alias("_key"), "blocks", block.alias("block"))
+    slim = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    found = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    mates = found.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = mates.select("group", F.least("block", "mate").alias("u"), F.greatest("block", "mate").alias("v"), "set_key", "text")
+    dealt = dealt.repartition("group", "u", "v").sortWithinPartitions("group", "u", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["group", "u", "v"]):
+            keys, at = np.unique(table.column("set_key").to_numpy(), return_index=True)
+            texts = table.column("text").cast(pa.binary())
+            hashes = [np.unique(shingle_hashes(texts[int(i)].as_py() or b"", shingle)) for i in at]
+            labels = alike(hashes, similarity)
+            other = np.nonzero(labels != np.arange(len(keys)))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[other]), pa.array(keys[labels[other]])], ["a", "b"])
+        pa.default_memory_pool().release_unused()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """doc_id, text_key, fp, component_id, group for every row.
 
     Fingerprints of 64 * words bits link if they differ in max_bits bits or fewer and, in at least
     one band of `bits` bits, in budget bits or fewer (with one band of all bits: exactly max_bits).
+    With similarity, what they link are candidates, and texts link if the Jaccard similarity of their
+    sets of shingles is that or more; sets count as equal if their hashes of 64 bits are.
     group: one number for all that links, directly or not. component_id: its smallest doc_id; null
     ids count only where a group has no other."""
-    found = stage(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    found = stage(fingerprints(docs, shingle, words, id_col, text_col, similarity is not None), "fingerprints")
     first = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
     nodes = stage(first.select(node.alias("node"), "fp", "first"), "nodes")
     joined = connected_components(links(nodes, bits, budget, max_bits, words))
     release(docs.sparkSession)
     rooted = nodes.join(joined, "node", "left").select("fp", F.coalesce("root", "node").alias("group"), "first")
+    if similarity is None:
+        smallest = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
+        return found.join(rooted.join(smallest, "group").select("fp", "component_id", "group"), "fp").select("doc_id", "text_key", "fp", "component_id", "group")
+    members = stage(found.join(rooted.select("fp", "group"), "fp"), "members")
+    exact = connected_components(_alike_links(docs, members, shingle, similarity, id_col, text_col))
+    release(docs.sparkSession)
+    sets = members.groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    rooted = sets.join(exact, sets["set_key"] == exact["node"], "left").select("set_key", F.coalesce("root", "set_key").alias("group"), "first")
     smallest = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
-    return found.join(rooted.join(smallest, "group").select("fp", "component_id", "group"), "fp").select("doc_id", "text_key", "fp", "component_id", "group")
+    return members.drop("group").join(rooted.join(smallest, "group").select("set_key", "component_id", "group"), "set_key").select("doc_id", "text_key", "fp", "component_id", "group")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """docs with one row of each group: that of the smallest id (a null id stays only if alone)."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from millrace.llm import simhash
 from millrace.llm.components import connected_components
 from millrace.llm.queries import op4_simhash_neardup
@@ -124,6 +125,66 @@ def test_keep_one(spark):
     assert sorted((x["doc_id"] or -1, x["text"]) for x in simhash.keep_one(nulls).collect()) == [(-1, "quite another text"), (5, "only one here")]
 
 
+def shingle_set(text, size=5):
+    w = text.split()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def prose(r, n):
+    return [f"w{r.randrange(50_000)}" for _ in range(n)]
+
+
+def test_a_repeated_shingle_does_not_make_copies(spark):
+    r = random.Random(6)
+    values = [" ".join([*prose(r, 500), *["rule"] * 70, *prose(r, 430)]) for _ in range(8)]
+    assert max(jaccard(a, b) for a in values for b in values if a is not b) < 0.01
+    assert simhash.keep_one(documents(spark, values), **corpus_pipeline.NEAR).count() == len(values)
+
+
+def altered(r, n, share):
+    """A text and one that differs in words of its end, at about that similarity."""
+    words = prose(r, n)
+    k = round(n * (1 - share) / (1 + share))
+    return " ".join(words), " ".join(words[: n - k] + prose(r, k))
+
+
+@pytest.mark.parametrize("block", [None, 50])
+def test_links_are_of_the_exact_similarity(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(8)
+    pairs = [altered(r, 300, 0.7 + 0.001 * k) for k in range(95)] + [altered(r, 300, 0.9) for _ in range(20)]
+    values = [t for p in pairs for t in p]
+    rows = {x["doc_id"]: x["group"] for x in simhash.near_duplicates(documents(spark, values), **corpus_pipeline.NEAR).collect()}
+    linked = [rows[2 * k] == rows[2 * k + 1] for k in range(len(pairs))]
+    like = [jaccard(*p) for p in pairs]
+    assert not [c for c, hit in zip(like, linked, strict=True) if hit and c < 0.8]
+    assert all(hit for c, hit in zip(like, linked, strict=True) if c >= 0.88)
+    assert len(set(rows.values())) == len(values) - sum(linked)
+
+
+def test_alike_equals_all_pairs():
+    r = np.random.default_rng(3)
+    sets = [np.zeros(0, np.uint64), np.array([5], np.uint64)]
+    for _ in range(12):
+        base = r.integers(0, 2**63, int(r.integers(5, 60)), dtype=np.uint64)
+        for _ in range(8):
+            keep = base[r.random(len(base)) < r.choice([0.85, 0.95, 1.0])]
+            sets.append(np.unique(np.concatenate([keep, r.integers(0, 2**63, int(r.integers(0, 6)), dtype=np.uint64), [np.uint64(1)]])))
+    n = len(sets)
+    near = np.array([[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9 for b in sets] for a in sets])
+    want = np.arange(n)
+    for _ in range(n):
+        want = np.array([want[near[i]].min() for i in range(n)])
+    assert np.array_equal(simhash.alike(sets, 0.8), want)
+    assert 20 < len(set(want.tolist())) < n
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
     assert simhash.keep_one(empty(spark)).collect() == []

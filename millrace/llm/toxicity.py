@@ -42,7 +42,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 12_000
 STEM = range(4, 9)
 #: How surely a word must go with the label (G-test), and how much likelier than without.
 SURE, LIKELIER = 25.0, 6.0
-#: Words that a worker remembers.
+#: Words that a worker remembers from text to text; beyond, only those of the text at hand.
 MEMO = 100_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}']+")
 _END = frozenset(".,;:!?\n")
@@ -160,9 +160,6 @@ class Matcher:
         self.harmful: set[str] = set()
 
     def _look_up(self, token: str) -> tuple:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-            self.harmful.clear()
         found = self.memo[token] = self.lexicon.look_up(token)
         if any(w for _, w in found):
             self.harmful.add(token)
@@ -175,6 +172,9 @@ class Matcher:
         if not self.lexicon.harm:
             return x
         memo = self.memo
+        if len(memo) >= MEMO:  # never within a text, whose harmful words must all be known
+            memo.clear()
+            self.harmful.clear()
         lines = [line.split() for line in text.lower().split("\n")]
         for words in lines:
             for w in words:

@@ -77,6 +77,16 @@ def test_grammar_reads_clauses():
     assert (events["+I"], events["i"], events["I"], events["H"]) == (3.0, 3.0, 2.0, 4.0)
 
 
+def test_a_full_memo_does_not_change_profiles(monkeypatch):
+    lexicon = toxicity.Lexicon({"idiot$": 3.0, "scum$": 2.0, "kill$": 4.0})
+    values = ["you idiot\nplain words follow here\nand many more of them", "no harm at all in this text", "scum, they said\nothers went on\nI will kill you idiot", "idiot one two three four five six"] * 3
+    want = [toxicity.Matcher(lexicon).profile(t) for t in values]
+    for size in (1, 3, 7):
+        monkeypatch.setattr(toxicity, "MEMO", size)
+        matcher = toxicity.Matcher(lexicon)
+        assert np.array_equal([matcher.profile(t) for t in values], want)
+
+
 def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.scores(empty(spark), toxicity.fit(empty(spark), labels)).collect() == []

@@ -20,12 +20,11 @@ from millrace.llm.queries import tokenizer
 #: so all go, and shorter lines that documents rightly share, such as licence notices, stay.
 PASSAGE_BYTES = 100
 
-#: Near-duplicates: five-word shingles and a similarity of 0.8. Two texts of Jaccard similarity 0.8
-#: differ in about 0.15 of their SimHash bits: 78 of 512, with a standard error of 8. Links are taken
-#: up to one and a half standard errors beyond. Each of the 16 bands of 32 bits is searched within 3
-#: bits: of pairs of that similarity 99 in 100 meet in some band. What links so are candidates only:
-#: texts are near copies if their sets of shingles have that similarity, which is computed exactly.
-NEAR = {"shingle": 5, "words": 8, "bits": 32, "budget": 3, "max_bits": 90, "similarity": 0.8}
+#: Near-duplicates: five-word shingles and a similarity of 0.8, computed exactly of what the SimHash
+#: proposes. Two sets of Jaccard similarity 0.8 differ in about 0.15 of their bits: 78 of 512, with a
+#: standard error of 8; up to five standard errors beyond that they are proposed. Each of the 16 bands of
+#: 32 bits is searched within 3 bits: 99 in 100 pairs of that similarity meet in some band and are within.
+NEAR = {"shingle": 5, "words": 8, "bits": 32, "budget": 3, "max_bits": 120, "similarity": 0.8}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

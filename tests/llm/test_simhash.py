@@ -168,6 +168,19 @@ def test_links_are_of_the_exact_similarity(spark, monkeypatch, block):
     assert len(set(rows.values())) == len(values) - sum(linked)
 
 
+@pytest.mark.parametrize("n", [64, 204, 1004])
+def test_pairs_just_above_the_similarity_are_found(spark, n):
+    r = random.Random(n)
+    k = (n - 4) // 9  # of so many shingles the last k are replaced: (1 - 1/9) / (1 + 1/9) is 0.8
+    pairs = []
+    for _ in range(150):
+        words = prose(r, n)
+        pairs.append((" ".join(words), " ".join(words[: n - k] + prose(r, k))))
+    assert all(0.8 <= jaccard(*p) < 0.83 for p in pairs)
+    kept = simhash.keep_one(documents(spark, [t for p in pairs for t in p]), **corpus_pipeline.NEAR).count()
+    assert len(pairs) <= kept <= 1.03 * len(pairs)
+
+
 def test_alike_equals_all_pairs():
     r = np.random.default_rng(3)
     sets = [np.zeros(0, np.uint64), np.array([5], np.uint64)]

@@ -17,6 +17,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,26 +51,70 @@ def text_of(batch: pa.RecordBatch) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share. Where none is named, a temporary one in local mode,
+    as in tests; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later jobs start from these files, so a
-    lost executor costs a re-read and not the whole lineage."""
+    lost executor costs a re-read and not the whole lineage. The job's shuffle files go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_end_with_the_job(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a shuffled join gives one task; the rows of more frequent keys stay where they are.
+HOT_ROWS = 100_000
+#: Frequent keys whose partners are broadcast, at most.
+HOT_KEYS = 1_000_000
+
+
+def frequent(rows: DataFrame, on: str, limit: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of more than limit rows, or None if there are none. Up to HOT_KEYS of them are marked for
+    broadcast; if there are more, no key holds much of the table, and joins with them are shuffled."""
+    often = stage(rows.groupBy(on).count().filter((F.col("count") > limit) & F.col(on).isNotNull()).select(on), "frequent")
+    n = often.count()
+    return None if not n else F.broadcast(often) if n <= HOT_KEYS else often
+
+
+def join_one(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a key once at most; left is a staged table, how inner or left.
+
+    Rows of a key of more than HOT_ROWS do not meet in one task: they stay where they are, and the
+    partner, if not too many keys are like that, is broadcast."""
+    often = frequent(left, on) if left.count() > HOT_ROWS else None
+    if often is None:
+        return left.join(right, on, how)
+    partners = right.join(often, on, "left_semi")
+    if often.count() <= HOT_KEYS:
+        partners = F.broadcast(partners)
+    hot = left.join(often, on, "left_semi").join(partners, on, how)
+    return hot.unionByName(left.join(often, on, "left_anti").join(right, on, how))
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Deletes all that this application staged; results that were not written yet cannot be read then."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stage/{spark.sparkContext.applicationId}")

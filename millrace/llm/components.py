@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage
+from millrace.llm.common import HOT_ROWS, join_one, stage
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,16 +25,18 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state[0] == 0 or state == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v").distinct())
         before = state
-        pairs = _small_star(_large_star(pairs))
+        hung = _large_star(pairs)
+        pairs = _small_star(stage(hung, "hung") if state[0] > HOT_ROWS else hung, state[0])
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_one(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, rows: int) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    hung = pairs.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = join_one(pairs, least, "u") if rows > HOT_ROWS else pairs.join(least, "u")
+    hung = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()

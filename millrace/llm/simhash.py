@@ -13,7 +13,9 @@ What is linked in a task leaves it as a spanning star, never as all pairs.
 
 Where a similarity is asked for, fingerprints count each distinct shingle once and only propose: within
 each group that they link, the sets of shingles are compared exactly, and only pairs whose Jaccard
-similarity reaches it link. A group of many shingles is dealt out as the pairs of its blocks.
+similarity reaches it link. A group of many shingles is dealt out in blocks. What the blocks by themselves
+and one pivot set that goes to each of them do not bring together with most of the group, and that alone,
+meets all of it in a second round.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import column, id_and_text, ranges, release, stage, texts_of, whole_groups
+from millrace.llm.common import column, id_and_text, join_one, ranges, stage, texts_of, whole_groups
 from millrace.llm.components import connected_components
 
 HOT, SPLIT = 200_000, 8
@@ -38,6 +40,8 @@ HOT, SPLIT = 200_000, 8
 BLOCK, BLOCK_SETS = 2_000_000, 4_000
 #: Node pairs handled at a time; pairs of subtrees with so few pairs of codes are compared at once.
 FRONTIER, SMALL = 200_000, 32
+#: Links that a task holds to send each once.
+LINKS = 2_000_000
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -229,7 +233,7 @@ def _widths(bits: int, budget: int) -> list[int]:
     return [min(lead, bits - k * lead) for k in range(budget + 1)]
 
 
-def _tries(nodes: DataFrame, bits: int, budget: int, words: int, hot: frozenset[int] | None) -> DataFrame:
+def _tries(nodes: DataFrame, bits: int, budget: int, words: int, hot: np.ndarray | None) -> DataFrame:
     """key, split, code, child, node, fp: each fingerprint once for each band and rotation, in hot
     subtrees once for each pair of children that it can take part in. Without hot, key alone."""
     widths = _widths(bits, budget)
@@ -238,7 +242,7 @@ def _tries(nodes: DataFrame, bits: int, budget: int, words: int, hot: frozenset[
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, busy = np.uint64(2**bits - 1), np.array(sorted(hot or ()), np.int64)
+        mask = np.uint64(2**bits - 1)
         for batch in batches:
             full = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
             for band in range(64 * words // bits):
@@ -252,7 +256,7 @@ def _tries(nodes: DataFrame, bits: int, budget: int, words: int, hot: frozenset[
                         yield pa.RecordBatch.from_arrays([pa.array(key)], names)
                         continue
                     child = (turned >> np.uint64(bits - width - SPLIT)).astype(np.int64) & (2**SPLIT - 1)
-                    much = np.isin(key, busy)
+                    much = np.isin(key, hot)
                     row = np.concatenate([np.nonzero(~much)[0], np.repeat(np.nonzero(much)[0], len(near))])
                     split = np.full(len(row), -1, np.int64)
                     cold = len(key) - int(much.sum())
@@ -265,34 +269,62 @@ def _tries(nodes: DataFrame, bits: int, budget: int, words: int, hot: frozenset[
     return nodes.select("node", "fp").mapInArrow(run, schema)
 
 
+def _starred(member: np.ndarray, root: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes, given as rows and the first row of each one's class, as links of each node with the smallest
+    of the class: so the classes that many tasks find of one group hang on one node, by the same links."""
+    heads, at = np.unique(root, return_inverse=True)
+    least = node[heads]
+    np.minimum.at(least, at, node[member])
+    a, b = np.concatenate([node[member], node[heads]]), np.concatenate([least[at], least])
+    return a[a != b], b[a != b]
+
+
+def _once(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """a, b: the links of a task, each once as far as LINKS of them are held at a time."""
+    held: list[np.ndarray] = []
+    for a, b in links:
+        held.append(np.stack([a, b], axis=1))
+        if sum(map(len, held)) > LINKS:
+            held = [np.unique(np.concatenate(held), axis=0)]
+            if len(held[0]) > LINKS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[0][:, k])) for k in (0, 1)], ["a", "b"])
+                held = []
+    if held:
+        found = np.unique(np.concatenate(held), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
+    pa.default_memory_pool().release_unused()
+
+
 def links(nodes: DataFrame, bits: int, budget: int, max_bits: int, words: int = 1) -> DataFrame:
     """a, b: nodes (node long, fp binary, each fingerprint once) that link, as spanning stars.
 
-    A subtree is hot from HOT rows on, and from a ten-thousandth of all rows on: so the list of hot
-    ones that goes to the executors never has more than ten thousand entries."""
-    rows = nodes.count() * (64 * words // bits) * (budget + 1)
-    busy = _tries(nodes, bits, budget, words, None).groupBy("key").count().filter(F.col("count") > max(HOT, rows // 10_000)).collect()
-    dealt = _tries(nodes, bits, budget, words, frozenset(r["key"] for r in busy)).repartition("key", "split").sortWithinPartitions("key", "split")
+    A subtree is hot from HOT rows on. There are no more subtrees than leading blocks of bits, so the list
+    of hot ones that goes to the executors is bounded by the fingerprint, whatever the number of rows."""
+    busy = _tries(nodes, bits, budget, words, None).groupBy("key").count().filter(F.col("count") > HOT).collect()
+    hot = np.array(sorted(r["key"] for r in busy), np.int64)
+    dealt = _tries(nodes, bits, budget, words, hot).repartition("key", "split").sortWithinPartitions("key", "split")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for table in whole_groups(batches, ["key", "split"], 100_000):
             keys, split, code, child, node = (table.column(c).to_numpy() for c in ("key", "split", "code", "child", "node"))
             full = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
             a, b = linked(keys, split.astype(np.int64), code.view(np.uint64), child, full, bits, budget, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
-        pa.default_memory_pool().release_unused()
+            yield _starred(a, b, node)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: _once(found(batches)), "a long, b long")
 
 
-def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def alike(sets: list[np.ndarray], similarity: float, known: np.ndarray | None = None) -> np.ndarray:
     """For each set (sorted hashes) the first one of its class: sets link if their Jaccard similarity
-    is similarity or more.
+    is similarity or more, or if they are of one class of known.
 
     Two such sets of sizes n and m share at least similarity * max(n, m) hashes, and so one of the
     n - ceil(similarity * n) + 1 smallest of the one with those of the other: only sets that share one
     there are compared, and only while they are apart."""
     labels = list(range(len(sets)))
+    if known is not None:
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        labels = first[of].tolist()
     tested: set[tuple[int, int]] = set()
 
     def find(i: int) -> int:
@@ -335,32 +367,60 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return np.array([find(i) for i in range(len(sets))], np.int64)
 
 
-def _alike_links(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """a, b: set_keys of one group of members (doc_id, text_key, set_key, n_set, group) that link by
-    exact similarity, as spanning stars. Each set is made again from one text that has it."""
-    carrier = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("by")
-    sets = members.groupBy("group", "set_key").agg(F.max("n_set").alias("n_set"), carrier)
-    blocks = F.least(F.greatest(F.ceil(F.sum("n_set") / BLOCK), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)), F.count(F.lit(1))).cast("int")
-    open_ = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1")
-    block = F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int")
-    wanted = sets.join(open_, "group").select("group", "set_key", F.col("by.doc_id").alias("_id"), F.col("by.text_key").alias("_key"), "blocks", block.alias("block"))
-    slim = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    found = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    mates = found.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = mates.select("group", F.least("block", "mate").alias("u"), F.greatest("block", "mate").alias("v"), "set_key", "text")
+def _alike_links(slim: DataFrame, wanted: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: set_keys that link by exact similarity, as spanning stars.
+
+    slim: doc_id, text_key, text of all rows. wanted: the sets to compare, each under the row that it is
+    made of again, with the task (group, u, v) and the class that is known of it."""
+    dealt = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    dealt = dealt.withColumn("task", F.explode("tasks")).select("group", "task.u", "task.v", "set_key", "class", "text")
     dealt = dealt.repartition("group", "u", "v").sortWithinPartitions("group", "u", "v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for table in whole_groups(batches, ["group", "u", "v"]):
             keys, at = np.unique(table.column("set_key").to_numpy(), return_index=True)
             texts = table.column("text").cast(pa.binary())
             hashes = [np.unique(shingle_hashes(texts[int(i)].as_py() or b"", shingle)) for i in at]
-            labels = alike(hashes, similarity)
+            labels = alike(hashes, similarity, table.column("class").to_numpy()[at])
             other = np.nonzero(labels != np.arange(len(keys)))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[other]), pa.array(keys[labels[other]])], ["a", "b"])
-        pa.default_memory_pool().release_unused()
+            yield _starred(other, labels[other], keys)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: _once(found(batches)), "a long, b long")
+
+
+def _alike_components(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """node, root: set_keys that reach each other within a group of members (doc_id, text_key, set_key,
+    n_set, group) by exact similarity.
+
+    First each block of a group by itself, with the group's pivot, its smallest set_key, in all of
+    them. Then, of groups of several blocks, the sets outside the largest class so found, the rest,
+    against the whole group: as that class is linked already, no pair is left out."""
+    carrier = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("by")
+    sets = stage(members.groupBy("group", "set_key").agg(F.max("n_set").alias("n_set"), carrier), "sets")
+    room = F.greatest(F.ceil(F.sum("n_set") / BLOCK), F.ceil(F.count(F.lit(1)) / BLOCK_SETS))
+    groups = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.least(room, F.count(F.lit(1))).cast("int").alias("blocks"), F.min("set_key").alias("pivot")).filter("n > 1")
+    block = F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("blocks")).cast("int").alias("block")
+    named = [F.col("by.doc_id").alias("_id"), F.col("by.text_key").alias("_key")]
+    open_ = stage(join_one(sets, groups, "group").select("group", "set_key", "n_set", *named, "blocks", block, (F.col("set_key") == F.col("pivot")).alias("pivot")), "open")
+    slim = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    task = lambda u, v: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: task(k, F.lit(0)))
+    first = open_.withColumn("tasks", F.when(F.col("pivot"), everywhere).otherwise(F.array(task(F.col("block"), F.lit(0))))).withColumn("class", F.col("set_key"))
+    found = stage(_alike_links(slim, first, shingle, similarity), "alike")
+    several = open_.filter("blocks > 1")
+    if not several.head(1):
+        return connected_components(found)
+    classes = several.join(connected_components(found), several["set_key"] == F.col("node"), "left").drop("node").withColumn("class", F.coalesce("root", "set_key")).drop("root")
+    classes = stage(classes, "classes")
+    sizes = classes.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_set").alias("size"))
+    room = F.greatest(F.ceil((F.sum("size") - F.max_by("size", F.struct("n", "class"))) / BLOCK), F.ceil((F.sum("n") - F.max("n")) / BLOCK_SETS)).cast("int")
+    rest = sizes.groupBy("group").agg(F.max_by("class", F.struct("n", "class")).alias("main"), room.alias("rests")).filter("rests > 0")
+    mixed = join_one(classes, rest, "group")
+    own = F.pmod(F.xxhash64("set_key", F.lit("rest")), F.col("rests")).cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: task(F.col("block"), k))
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: task(k, own))
+    second = mixed.withColumn("tasks", F.when(F.col("class") == F.col("main"), as_member).otherwise(F.array_union(as_member, as_rest)))
+    return connected_components(found.union(_alike_links(slim, second, shingle, similarity)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
@@ -377,25 +437,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
     nodes = stage(first.select(node.alias("node"), "fp", "first"), "nodes")
     joined = connected_components(links(nodes, bits, budget, max_bits, words))
-    release(docs.sparkSession)
     rooted = nodes.join(joined, "node", "left").select("fp", F.coalesce("root", "node").alias("group"), "first")
+    columns = ["doc_id", "text_key", "fp", "component_id", "group"]
     if similarity is None:
+        rooted = stage(rooted, "rooted")
         smallest = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
-        return found.join(rooted.join(smallest, "group").select("fp", "component_id", "group"), "fp").select("doc_id", "text_key", "fp", "component_id", "group")
-    members = stage(found.join(rooted.select("fp", "group"), "fp"), "members")
-    exact = connected_components(_alike_links(docs, members, shingle, similarity, id_col, text_col))
-    release(docs.sparkSession)
+        return join_one(found, join_one(rooted, smallest, "group").select("fp", "component_id", "group"), "fp").select(*columns)
+    members = stage(join_one(found, rooted.select("fp", "group"), "fp"), "members")
+    exact = _alike_components(docs, members, shingle, similarity, id_col, text_col)
     sets = members.groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    rooted = sets.join(exact, sets["set_key"] == exact["node"], "left").select("set_key", F.coalesce("root", "set_key").alias("group"), "first")
+    rooted = stage(sets.join(exact, sets["set_key"] == exact["node"], "left").select("set_key", F.coalesce("root", "set_key").alias("group"), "first"), "rooted")
     smallest = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
-    return members.drop("group").join(rooted.join(smallest, "group").select("set_key", "component_id", "group"), "set_key").select("doc_id", "text_key", "fp", "component_id", "group")
+    return join_one(members.drop("group"), join_one(rooted, smallest, "group").select("set_key", "component_id", "group"), "set_key").select(*columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
-    """docs with one row of each group: that of the smallest id (a null id stays only if alone)."""
+    """docs with one row of each group: that of the smallest id (a null id stays only if alone).
+
+    Rows that repeat an id and text are one; which of them stays, if they differ in other columns, is open."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key")).distinct()
-    keyed = docs.select(*[column(c) for c in docs.columns], F.xxhash64(column(text_col).cast("string")).alias("_text_key"))
-    same = column(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    return keyed.join(keep, same, "left_semi").dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    keep = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.text_key").alias("text_key")).distinct()
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(id_col).alias("id"), F.xxhash64(column(text_col).cast("string")).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")

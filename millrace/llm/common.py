@@ -12,9 +12,7 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -121,15 +119,6 @@ def clear_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now and not at the driver's next GC. Twice,
-    since Python lets go of its handles in the background."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.25)
-
-
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
     """The text column as UTF-8, null as empty."""
     return [v or b"" for v in text_of(batch).cast(pa.binary()).to_pylist()]

@@ -16,7 +16,8 @@ global rounds are two:
 
 What repeats within a batch of documents is combined before it is dealt out: a name goes out once
 for each batch, and equal surroundings of a name go out for the smallest document only. A name that
-still has more than HOT surroundings is resolved by its windows, each a key of its own.
+still has more than HOT surroundings is resolved by its windows, each a key of its own. What a task
+finds covered leaves it merged, as one row for each bucket of documents.
 
 Names of all positions, ranked by a sort in each round, would put 16 bytes for every byte of text
 through a shuffle in every round; the anchors put through half a byte.
@@ -28,19 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import column, id_and_text, lists, merged_runs, ranges, release, stage, texts_of, unstage, whole_groups
+from millrace.llm.common import column, frequent, id_and_text, join_one, lists, merged_runs, ranges, stage, texts_of, unstage, whole_groups
 from millrace.shipping import ship
 
 #: Surroundings of one name that one task compares; more are dealt out by window.
 HOT = 50_000
-#: Bytes of text that a task handles at a time.
-CHUNK = 1 << 22
+#: Bytes of text that a task handles at a time, and spans that it holds to merge them.
+CHUNK, SPANS = 1 << 22, 2_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -199,29 +199,64 @@ def _shared_names(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(send, schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, names binary")
 
 
-_AROUND = "kind int, name long, doc long, text_key long, start int, n int, rel int, around binary, starts array<int>, ends array<int>"
+_AROUND = "kind int, bucket int, name long, doc long, text_key long, start int, n int, rel int, around binary"
+_SPAN = np.dtype([("doc", np.int64), ("key", np.int64), ("start", np.int32), ("end", np.int32)])
 
 
-def _spans(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
-    """doc, text_key, starts, ends: spans gathered by document and text, and merged."""
-    order = np.lexsort((key, doc))
-    doc, key, start, end = doc[order], key[order], start[order].astype(np.int64), end[order].astype(np.int64)
-    first = _starts(doc, key)
-    apart = int(end.max(initial=0)) + 2  # so far apart that spans of different texts never touch
-    shift = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc)))) * apart
-    start, end = merged_runs(start + shift, end + shift)
+def _merged(*parts: np.ndarray) -> np.ndarray:
+    """Spans (rows of _SPAN) in order, merged within each document and text."""
+    spans = np.concatenate(parts) if parts else np.zeros(0, _SPAN)
+    spans = spans[np.lexsort((spans["key"], spans["doc"]))]
+    first = _starts(spans["doc"], spans["key"])
+    apart = int(spans["end"].max(initial=0)) + 2  # so far apart that spans of different texts never touch
+    shift = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(spans)))) * apart
+    start, end = merged_runs(spans["start"] + shift, spans["end"] + shift)
     group = start // apart
-    n = np.bincount(group, minlength=len(first))
-    both = [lists((x - group * apart).astype(np.int32), n, pa.int32()) for x in (start, end)]
-    return [pa.array(doc[first]), pa.array(key[first]), *both]
+    made = np.zeros(len(start), _SPAN)
+    made["doc"], made["key"] = spans["doc"][first[group]], spans["key"][first[group]]
+    made["start"], made["end"] = start - group * apart, end - group * apart
+    return made
+
+
+def _span_rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    made = np.zeros(len(doc), _SPAN)
+    made["doc"], made["key"], made["start"], made["end"] = doc, key, start, end
+    return made
+
+
+def _by_bucket(spans: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets of documents, and for each its spans, packed."""
+    bucket = (_pair(spans["doc"].view(np.uint64), spans["key"].view(np.uint64)) & np.uint64(buckets - 1)).astype(np.int32) if len(spans) else np.zeros(0, np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, spans = bucket[order], spans[order]
+    first = _starts(bucket)
+    return bucket[first], [spans[a:b].tobytes() for a, b in zip(first, _ends(first, len(bucket)), strict=True)]
+
+
+def _at_the_end(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket, packed: the spans that a task finds, merged as far as SPANS of them are held at a time."""
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        bucket, packed = _by_bucket(_merged(*held), buckets)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+
+    for spans in found:
+        held.append(spans)
+        if sum(map(len, held)) > SPANS:
+            held = [_merged(*held)]
+            if len(held[0]) > SPANS // 2:
+                yield out()
+                held = []
+    yield out()
 
 
 def _surroundings(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """For each anchor of a shared name (kind 1) the bytes that its windows cover, and where they
-    start; where equal bytes stand in a smaller document of the chunk, the span itself (kind 0)."""
+    start; where equal bytes stand in a smaller document of the chunk, the span itself, packed (kind 0)."""
     short = np.uint64(buckets - 1) | np.uint64(0xFFFFFFFF00000000)
     names_of = [f.split()[0] for f in _AROUND.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
@@ -242,13 +277,12 @@ def _surroundings(rows: DataFrame, length: int, buckets: int) -> DataFrame:
             covered = np.zeros(len(order), bool)
             covered[order] = doc[order] > least
             send = np.nonzero(~covered)[0]
-            none = pa.nulls(len(send), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(send), np.int32)), *[pa.array(x[send], t) for x, t in zip((name, doc, key), kinds[1:4], strict=True)], *[pa.array(x[send].astype(np.int32)) for x in (start, n, rel)], pa.array([around[i] for i in send], pa.binary()), none, none], names_of
-            )
-            d, k, s, e = _spans(doc[covered], key[covered], start[covered], (start + n - 1 + length)[covered])
-            empty = [pa.nulls(len(d), t) for t in kinds[4:8]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int32)), pa.nulls(len(d), pa.int64()), d, k, *empty, s, e], names_of)
+            columns = [np.ones(len(send)), np.zeros(len(send)), *(x[send] for x in (name, doc, key, start, n, rel))]
+            made = [pa.array(x if x.dtype == np.int64 and t == pa.int64() else x.astype(np.int32), t) for x, t in zip(columns, kinds[:-1], strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, pa.array([around[i] for i in send], pa.binary())], names_of)
+            bucket, packed = _by_bucket(_merged(_span_rows(doc[covered], key[covered], start[covered], (start + n - 1 + length)[covered])), buckets)
+            made = [pa.array(np.zeros(len(bucket), np.int32)), pa.array(bucket, pa.int32()), *(pa.nulls(len(bucket), t) for t in kinds[2:-1])]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(packed, pa.binary())], names_of)
 
     return rows.mapInArrow(run, _AROUND)
 
@@ -265,10 +299,10 @@ def _windows(table: pa.Table | pa.RecordBatch, pick: np.ndarray, length: int) ->
     return np.repeat(rows, n), _pair(full, offset.astype(np.uint64)).view(np.int64)
 
 
-def _resolved(rows: DataFrame, length: int) -> DataFrame:
-    """doc, text_key, starts, ends: what windows of the same name in smaller documents cover."""
+def _resolved(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """bucket, packed: spans of what windows of the same name in smaller documents cover."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for table in whole_groups(batches, ["name"], 50_000):
             name, doc, key = (table.column(c).to_numpy() for c in ("name", "doc", "text_key"))
             start, n = (table.column(c).to_numpy().astype(np.int64) for c in ("start", "n"))
@@ -287,11 +321,11 @@ def _resolved(rows: DataFrame, length: int) -> DataFrame:
             gone = np.zeros(len(row), bool)
             gone[order] = doc[r] > np.repeat(doc[r[first]], np.diff(np.append(first, len(r))))
             at = ranges(start[open_], n[open_])[gone]
-            out = [np.concatenate([doc[covered], doc[row[gone]]]), np.concatenate([key[covered], key[row[gone]]]), np.concatenate([start[covered], at]), np.concatenate([(start + n - 1)[covered], at]) + length]
-            yield pa.RecordBatch.from_arrays(_spans(*out), ["doc", "text_key", "starts", "ends"])
+            whole = _span_rows(doc[covered], key[covered], start[covered], (start + n - 1)[covered] + length)
+            yield _merged(whole, _span_rows(doc[row[gone]], key[row[gone]], at, at + length))
 
     slim = rows.select("name", "doc", "text_key", "start", "n", "rel", "around")
-    return slim.repartition("name").sortWithinPartitions("name").mapInArrow(run, "doc long, text_key long, starts array<int>, ends array<int>")
+    return slim.repartition("name").sortWithinPartitions("name").mapInArrow(lambda batches: _at_the_end(found(batches), buckets), "bucket int, packed binary")
 
 
 def _again(values: np.ndarray) -> np.ndarray:
@@ -302,12 +336,13 @@ def _again(values: np.ndarray) -> np.ndarray:
 
 def _resolved_by_window(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """As _resolved, for hot names: every window is a key of its own and goes to the bucket of its
-    low bits. Of equal windows in a batch only the smallest document's goes out, packed; the others
-    are covered at once."""
-    names_of = ["bucket", "doc", "text_key", "packed", "starts", "ends"]
-    ints = pa.list_(pa.int32())
+    low bits (kind 1). Of equal windows in a batch only the smallest document's goes out, packed; the
+    others are covered at once (kind 0)."""
     entry = np.dtype([("window", np.int64), ("doc", np.int64), ("key", np.int64), ("start", np.int32)])
 
+    def covers(made: np.ndarray) -> np.ndarray:
+        return _merged(_span_rows(made["doc"], made["key"], made["start"], made["start"] + length))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, window = _windows(batch, np.arange(batch.num_rows), length)
@@ -317,31 +352,25 @@ def _resolved_by_window(rows: DataFrame, length: int, buckets: int) -> DataFrame
             made["doc"], made["key"], made["start"] = doc[row], key[row], ranges(start.astype(np.int64), n.astype(np.int64))
             made = made[np.lexsort((made["doc"], made["window"]))]
             gone = _above_least(made["window"], made["doc"])
-            yield _span_rows(made[gone], length)
+            ready, spans = _by_bucket(covers(made[gone]), buckets)
             made = made[~gone]
             made = made[np.lexsort((made["doc"], made["window"] & (buckets - 1)))]
             bucket = made["window"] & (buckets - 1)
             first = _starts(bucket)
             packed = [made[a:b].tobytes() for a, b in zip(first, _ends(first, len(made)), strict=True)]
-            none = [pa.nulls(len(packed), k) for k in (pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *none, pa.array(packed, pa.binary()), pa.array([[]] * len(packed), ints), pa.array([[]] * len(packed), ints)], names_of)
+            kind = np.repeat(np.array([0, 1], np.int32), [len(ready), len(packed)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ready, bucket[first].astype(np.int32)])), pa.array(kind), pa.array(spans + packed, pa.binary())], ["bucket", "kind", "packed"])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for table in whole_groups(batches, ["bucket"]):
-            packed = table.column("packed").to_pylist()
-            ready = table.filter(pc.is_null(table.column("packed")))
-            yield from ready.select(names_of[1:3] + names_of[4:]).to_batches()
-            made = np.frombuffer(b"".join(p for p in packed if p), entry)
+            kind, packed = table.column("kind").to_numpy(), table.column("packed").to_pylist()
+            yield np.frombuffer(b"".join(p for p, k in zip(packed, kind, strict=True) if not k), _SPAN)
+            made = np.frombuffer(b"".join(p for p, k in zip(packed, kind, strict=True) if k), entry)
             made = made[np.lexsort((made["doc"], made["window"]))]
-            yield _span_rows(made[_above_least(made["window"], made["doc"])], length).select(names_of[1:3] + names_of[4:])
-
-    def _span_rows(made: np.ndarray, length: int) -> pa.RecordBatch:
-        start = made["start"].astype(np.int64)
-        d, k, s, e = _spans(made["doc"], made["key"], start, start + length)
-        return pa.RecordBatch.from_arrays([pa.array((d.to_numpy() & (buckets - 1)).astype(np.int32)), d, k, pa.nulls(len(d), pa.binary()), s, e], names_of)
+            yield covers(made[_above_least(made["window"], made["doc"])])
 
-    sent = rows.select("name", "doc", "text_key", "start", "n", "rel", "around").mapInArrow(send, "bucket int, doc long, text_key long, packed binary, starts array<int>, ends array<int>")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, text_key long, starts array<int>, ends array<int>")
+    sent = rows.select("name", "doc", "text_key", "start", "n", "rel", "around").mapInArrow(send, "bucket int, kind int, packed binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _at_the_end(found(batches), buckets), "bucket int, packed binary")
 
 
 def _above_least(sorted_key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -350,18 +379,18 @@ def _above_least(sorted_key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc > np.repeat(doc[first], np.diff(np.append(first, len(doc))))
 
 
-def _gathered(spans: DataFrame) -> DataFrame:
+def _gathered(packed: DataFrame) -> DataFrame:
     """One row for each document and text, its spans merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["doc", "text_key"], 20_000):
-            starts, ends = table.column("starts").combine_chunks(), table.column("ends").combine_chunks()
-            n = starts.value_lengths().to_numpy(zero_copy_only=False)
-            flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, ends)]
-            made = _spans(np.repeat(table.column("doc").to_numpy(), n), np.repeat(table.column("text_key").to_numpy(), n), *flat)
-            yield pa.RecordBatch.from_arrays(made, ["doc", "text_key", "starts", "ends"])
+        for table in whole_groups(batches, ["bucket"]):
+            made = _merged(np.frombuffer(b"".join(table.column("packed").to_pylist()), _SPAN))
+            first = _starts(made["doc"], made["key"])
+            n = np.diff(np.append(first, len(made)))
+            both = [lists(made[c], n, pa.int32()) for c in ("start", "end")]
+            yield pa.RecordBatch.from_arrays([pa.array(made["doc"][first]), pa.array(made["key"][first]), *both], ["doc", "text_key", "starts", "ends"])
 
-    return spans.repartition("doc").sortWithinPartitions("doc", "text_key").mapInArrow(run, "doc long, text_key long, starts array<int>, ends array<int>")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, text_key long, starts array<int>, ends array<int>")
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,35 +402,28 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     doc = F.coalesce(column(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text")).filter(F.octet_length("text") >= length)
     # whole copies first: a later copy of a text goes as a whole and need not be looked into
-    slim = stage(rows.select("doc", "text_key", F.xxhash64(F.lit("second"), "text").alias("b"), F.octet_length("text").alias("size")), "copies")
+    slim = stage(rows.select("doc", "text_key", F.concat_ws(":", "text_key", F.xxhash64(F.lit("second"), "text"), F.octet_length("text")).alias("copy"), F.octet_length("text").alias("size")), "copies")
     total = slim.agg(F.sum("size")).first()[0] or 0
-    copied = slim.groupBy("text_key", "b", "size").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    copies = stage(slim.join(copied, ["text_key", "b", "size"]).filter("doc > least").select("doc", "text_key", "size").distinct(), "copies")
+    copied = slim.groupBy("copy").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("copy", "least")
+    copies = stage(join_one(slim, copied, "copy").filter("doc > least").select("doc", "text_key", "size").distinct(), "copies")
     buckets = 16
     while buckets * (64 << 20) < total:
         buckets *= 2
     alone = rows.join(copies.select("doc", "text_key"), ["doc", "text_key"], "left_anti")
     shared = stage(_shared_names(alone, length, buckets), "names")
-    del alone
-    release(spark)
     gathered = shared.groupBy("doc").agg(F.collect_list("names").alias("names"))
     looked = rows.join(gathered.hint("shuffle_hash"), "doc").join(copies.select("doc", "text_key"), ["doc", "text_key"], "left_anti")
     around = stage(_surroundings(looked.select("doc", "text_key", "text", "names"), length, buckets), "surroundings")
-    del looked, gathered
     unstage(shared)
-    release(spark)
     open_ = around.filter("kind = 1")
-    hot = open_.groupBy("name").count()
-    n = open_.count()
-    hot = [r["name"] for r in hot.filter(F.col("count") > max(HOT, n // 10_000)).collect()]  # ten thousand at most
-    spans = _resolved(open_.filter(~F.col("name").isin(hot)) if hot else open_, length)
-    if hot:
-        spans = spans.union(_resolved_by_window(open_.filter(F.col("name").isin(hot)), length, buckets))
-    spans = spans.union(around.filter("kind = 0").select("doc", "text_key", "starts", "ends"))
-    spans = spans.union(copies.select("doc", "text_key", F.array(F.lit(0)), F.array("size")))
-    whole = stage(_gathered(spans), "spans")
+    hot = frequent(open_, "name", HOT)
+    if hot is None:
+        packed = _resolved(open_, length, buckets)
+    else:
+        packed = _resolved(open_.join(hot, "name", "left_anti"), length, buckets).union(_resolved_by_window(open_.join(hot, "name", "left_semi"), length, buckets))
+    packed = packed.union(around.filter("kind = 0").select("bucket", F.col("around").alias("packed")))
+    whole = stage(_gathered(packed).union(copies.select("doc", "text_key", F.array(F.lit(0)), F.array("size"))), "spans")
     unstage(around)
-    release(spark)
     return whole
 
 

@@ -41,7 +41,7 @@ BLOCK, BLOCK_SETS = 2_000_000, 4_000
 #: Node pairs handled at a time; pairs of subtrees with so few pairs of codes are compared at once.
 FRONTIER, SMALL = 200_000, 32
 #: Links that a task holds to send each once.
-LINKS = 2_000_000
+LINKS = 400_000
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -325,7 +325,7 @@ def alike(sets: list[np.ndarray], similarity: float, known: np.ndarray | None =
     if known is not None:
         _, first, of = np.unique(known, return_index=True, return_inverse=True)
         labels = first[of].tolist()
-    tested: set[tuple[int, int]] = set()
+    tested = bytearray(len(sets) * len(sets) // 8 + 1)  # a bit for each pair
 
     def find(i: int) -> int:
         while labels[i] != i:
@@ -335,9 +335,10 @@ def alike(sets: list[np.ndarray], similarity: float, known: np.ndarray | None =
     def compare(i: int, j: int) -> None:
         x, y = find(i), find(j)
         i, j = min(i, j), max(i, j)
-        if x == y or (i, j) in tested:
+        bit = i * len(sets) + j
+        if x == y or tested[bit >> 3] >> (bit & 7) & 1:
             return
-        tested.add((i, j))
+        tested[bit >> 3] |= 1 << (bit & 7)
         a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
         if len(a) < similarity * len(b) - 1e-6:
             return

@@ -29,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import column, frequent, id_and_text, join_one, lists, merged_runs, ranges, stage, texts_of, unstage, whole_groups
+from millrace.llm.common import column, frequent, id_and_text, join_one, lists, merged_runs, ranges, stage, text_of, texts_of, unstage, whole_groups
 from millrace.shipping import ship
 
 #: Surroundings of one name that one task compares; more are dealt out by window.
 HOT = 50_000
 #: Bytes of text that a task handles at a time, and spans that it holds to merge them.
-CHUNK, SPANS = 1 << 22, 2_000_000
+CHUNK, SPANS = 1 << 22, 400_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -116,7 +117,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of about CHUNK bytes of text."""
     for batch in batches:
         at = 0
-        size = np.cumsum(np.fromiter(map(len, batch.column("text").cast(pa.binary()).to_pylist()), np.int64, batch.num_rows))
+        size = np.cumsum(pc.fill_null(pc.binary_length(text_of(batch)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
             yield batch.slice(at, upto - at)
@@ -249,6 +250,7 @@ def _at_the_end(found: Iterator[np.ndarray], buckets: int) -> Iterator[pa.Record
                 yield out()
                 held = []
     yield out()
+    pa.default_memory_pool().release_unused()
 
 
 def _surroundings(rows: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -303,7 +305,7 @@ def _resolved(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """bucket, packed: spans of what windows of the same name in smaller documents cover."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for table in whole_groups(batches, ["name"], 50_000):
+        for table in whole_groups(batches, ["name"], 20_000):
             name, doc, key = (table.column(c).to_numpy() for c in ("name", "doc", "text_key"))
             start, n = (table.column(c).to_numpy().astype(np.int64) for c in ("start", "n"))
             seen = np.fromiter(map(xxhash.xxh64_intdigest, table.column("around").to_pylist()), np.uint64, len(name))
@@ -447,7 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     schema = T.StructType([joined.schema[c] for c in carried] + T.StructType.fromDDL("n_bytes long, kept binary, starts array<long>, ends array<long>" + ", kept_text string" * carry).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches):
             kept, size, starts, ends = [], [], [], []
             for text, s, e in zip(texts_of(batch), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
                 first, last = merged_runs(np.array(s or [], np.int64), np.array(e or [], np.int64))

@@ -1,10 +1,11 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-Every line of a whole text is a candidate header; in a licence file the whole text is one more. All
-candidates that share a term with a template are scored, through an index from terms to templates,
-unless the length of the shared part bounds the cosine below the best so far; a candidate's cosine is
-summed over the shared terms alone. How rare a term is counts over all files. A file without a licence of its own takes that of the licence file in its nearest
-ancestor directory, by a join of directory paths: each distinct directory once, not each file.
+Every line of a whole text is a candidate header, and so is every run of up to LINES lines, over which a
+header may be wrapped; in a licence file the whole text is one more. Candidates that share a term with a
+template are scored, through an index from terms to templates, unless the length of the shared part
+bounds the cosine below the best so far; a cosine is summed over the shared terms alone. How rare a term
+is counts over all files. A file without a licence of its own takes that of the licence file in its
+nearest ancestor directory, by a join of directory paths: each distinct directory once, not each file.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import column, stage, texts_of
+from millrace.llm.common import column, join_one, stage, texts_of
 from millrace.llm.decontaminate import words_of
 from millrace.shipping import ship
 
@@ -50,6 +51,8 @@ TEMPLATES = [
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-][^/]*)?$"
 #: Least cosine of a match.
 COSINE = 0.75
+#: Lines over which a header may be wrapped.
+LINES = 4
 
 
 class Index:
@@ -82,15 +85,19 @@ class Index:
         return max(((c, self.names[k]) for k, c in sorted(found.items())), key=lambda m: round(m[0], 9), default=(0.0, ""))
 
     def scan(self, text: bytes, whole: bool) -> tuple[float, str]:
-        """The best of all lines, and of the whole text if it is a licence file."""
+        """The best of all runs of lines, of equals the shortest and first, and of the whole text if it is
+        a licence file. A run that begins or ends with a line without a term is worse than without it."""
         words, found = words_of(text), (0.0, "")
-        if not self.rarity.keys().isdisjoint(words):
-            for line in map(words_of, text.split(b"\n")):
-                if not self.rarity.keys().isdisjoint(line):
-                    found = max(found, self.best(line, found[0]), key=lambda m: m[0])
-            if whole:
-                found = max(found, self.best(words, found[0]), key=lambda m: m[0])
-        return found
+        if self.rarity.keys().isdisjoint(words):
+            return found
+        lines = [words_of(line) for line in text.split(b"\n")]
+        shares = [not self.rarity.keys().isdisjoint(line) for line in lines]
+        for size in range(1, LINES + 1):
+            for k in range(len(lines) - size + 1):
+                if shares[k] and shares[k + size - 1]:
+                    run = lines[k] if size == 1 else [w for line in lines[k : k + size] for w in line]
+                    found = max(found, self.best(run, found[0]), key=lambda m: round(m[0], 9))
+        return max(found, self.best(words, found[0]), key=lambda m: round(m[0], 9)) if whole else found
 
 
 def _holding(texts: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[bytes, int]]:
@@ -115,8 +122,11 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, pat
     origin: `header` or `file` for a licence of its own, `inherited` for that of the licence file in
     directory inherited_from, `none`. A file's own directory counts as its nearest ancestor, the root
     is ''. Of several licence files in a directory the greatest cosine counts, then the least path.
-    A null text is empty; a null path has no directory and inherits nothing. licence_file: which rows
-    are licence files, if not by base name."""
+    A null text is empty; a null path has no directory and inherits nothing; repeated rows are files of
+    their own. licence_file: which rows are licence files, if not by base name. keep cannot name a
+    column that the result has of its own."""
+    if clash := {c.lower() for c in keep} & {"path", "licence", "cosine", "origin", "inherited_from"}:
+        raise ValueError(f"the result has columns {sorted(clash)} of its own")
     ship(files.sparkSession)
     path = column(path_col).cast("string")
     named = licence_file if licence_file is not None else F.coalesce(F.regexp_extract(path, "([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False))
@@ -132,7 +142,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, pat
             hit = [f if f[0] >= cosine else (f[0], None) for f in found]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("path", "is_file", *kept)], pa.array([h[1] for h in hit], pa.string()), pa.array(np.array([h[0] for h in hit], float))], schema.names)
 
-    scanned = stage(rows.mapInArrow(run, schema), "licences").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    scanned = stage(rows.mapInArrow(run, schema).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licences")
     best = F.max_by(F.struct("licence", "path"), F.struct("cosine", F.transform(F.split("path", ""), lambda c: -F.ascii(c))))
     granted = scanned.filter(F.col("is_file") & F.col("licence").isNotNull() & F.col("dir").isNotNull()).groupBy("dir").agg(best.alias("best")).select(F.col("dir").alias("ancestor"), F.col("best.licence").alias("granted"))
     dirs = scanned.filter(F.col("dir").isNotNull()).select("dir").distinct()
@@ -140,7 +150,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, pat
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(steps))), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("ancestor"))
     nearest = above.join(granted, "ancestor").groupBy("dir").agg(F.max_by(F.struct("granted", "ancestor"), F.length("ancestor")).alias("from"))
     own = F.col("licence").isNotNull()
-    return scanned.join(nearest, "dir", "left").select(
+    return join_one(scanned, nearest, "dir", "left").select(
         "path",
         *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
         F.coalesce("licence", "from.granted").alias("licence"),

@@ -26,14 +26,18 @@ def tokenizer(name: str) -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree, source/thousand/doc_id.txt; each thousandth is its folder's LICENSE."""
-    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
-    name = F.when(F.col("doc_id") % 1000 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), thousand, name))
+    """Documents as files of a tree, thousand/hundred/ten/source/doc_id.txt; each tenth is the LICENSE of the
+    folder of its ten, each hundredth of the folder above and each thousandth of that above again."""
+    n = F.col("doc_id")
+    depth = F.when(n % 1000 == 0, 1).when(n % 100 == 0, 2).when(n % 10 == 0, 3).otherwise(4)
+    folders = F.array(*[F.floor(x).cast("string") for x in (n / 1000, n / 100 % 10, n / 10 % 10)], F.coalesce("source", F.lit("none")))
+    name = F.when(n % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.slice(folders, 1, depth), name))
     return licenses.scan(docs, keep=("doc_id",)).select("doc_id", "licence", F.round("cosine", 6).alias("cosine"), "origin", "inherited_from")
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and decoded texts as digests, by the vocabulary byte_bpe_50k."""
     coded = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), decoded=True)
     return coded.select(
         "doc_id",
@@ -45,27 +49,32 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned outside the held-out third."""
     docs = _table(spark, sf_dir, "documents")
     found = langid.predictions(docs, langid.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, and components of those within two bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, words=1, bits=64, budget=2, max_bits=2)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left without strings of 50 bytes that a smaller document has too."""
     found = suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts, and the verdict of the rules as expectation-maximisation weighs them."""
     return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside ten-word windows of benchmark items."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, b: a + b)
     return found.select(
@@ -79,16 +88,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes."""
     return sharding.pack(_table(spark, sf_dir, "documents"), shards=16).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document, by the pieces of byte_bpe_50k."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores learned from the labels outside the held-out fifth."""
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
@@ -147,25 +159,27 @@ def _quality_sql(rounds: int = 100, prior: float = 0.9, strength: float = 0.01)
 ORACLES: dict[str, str] = {
     "op6_quality_rules": _quality_sql(),
     "op1_license_scan": f"""WITH t(k, name, txt) AS (VALUES {_TEMPLATES}),
-    d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 1000 = 0 AS is_file, concat_ws('/', coalesce(source, 'none'), CAST(doc_id // 1000 AS VARCHAR)) AS dir FROM documents),
+    d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 10 = 0 AS is_file, [CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 % 10 AS VARCHAR), CAST(doc_id // 10 % 10 AS VARCHAR), coalesce(source, 'none')][1:CASE WHEN doc_id % 1000 = 0 THEN 1 WHEN doc_id % 100 = 0 THEN 2 WHEN doc_id % 10 = 0 THEN 3 ELSE 4 END] AS folders FROM documents),
     n AS (SELECT count(*) AS n FROM d),
     tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({_words('txt')}) AS term FROM t) GROUP BY 1, 2),
     held AS (SELECT term, count(*) AS h FROM (SELECT DISTINCT doc_id, unnest({_words('text')}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY 1),
-    idf AS (SELECT term, coalesce(h, 0) AS h, ln((1 + n) / (1 + coalesce(h, 0))) + 1 AS idf, n FROM (SELECT DISTINCT term FROM tt) LEFT JOIN held USING (term), n),
+    idf AS (SELECT term, ln((1 + n) / (1 + coalesce(h, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN held USING (term), n),
     tv AS (SELECT k, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS y FROM tt JOIN idf USING (term)),
-    lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d)
-        UNION ALL SELECT doc_id, 1000000000, text FROM d WHERE is_file),
-    tf AS (SELECT doc_id, i, term, count(*) AS tf FROM (SELECT doc_id, i, unnest({_words('line')}) AS term FROM lines) GROUP BY 1, 2, 3),
-    kept AS (SELECT DISTINCT doc_id, i FROM tf JOIN idf USING (term) WHERE h * 10 < n),
-    v AS (SELECT doc_id, i, term, tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) AS x FROM tf JOIN kept USING (doc_id, i) LEFT JOIN idf USING (term)),
-    u AS (SELECT doc_id, i, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, i)) AS x FROM v),
-    c AS (SELECT doc_id, i, k, sum(x * y) AS c FROM u JOIN tv USING (term) GROUP BY 1, 2, 3),
-    best AS (SELECT doc_id, c, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, i, k) AS r FROM c) WHERE r = 1),
-    own AS (SELECT d.doc_id, dir, is_file, coalesce(c, 0.0) AS c, CASE WHEN c >= 0.75 THEN name END AS own FROM d LEFT JOIN best USING (doc_id) LEFT JOIN t USING (k)),
-    g AS (SELECT dir, own AS granted FROM own WHERE is_file AND own IS NOT NULL)
+    l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM d),
+    runs AS (SELECT doc_id, s, unnest(range(1, len(l) - s + 2)) AS i, l FROM l, (SELECT unnest(range(1, {licenses.LINES + 1})) AS s) WHERE len(l) >= s),
+    lines AS (SELECT doc_id, s, i, array_to_string(l[i:i + s - 1], chr(10)) AS line FROM runs UNION ALL SELECT doc_id, 1000, 0, text FROM d WHERE is_file),
+    tf AS (SELECT doc_id, s, i, term, count(*) AS tf FROM (SELECT doc_id, s, i, unnest({_words('line')}) AS term FROM lines) GROUP BY 1, 2, 3, 4),
+    v AS (SELECT doc_id, s, i, term, tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) AS x FROM tf LEFT JOIN idf USING (term)),
+    norm AS (SELECT doc_id, s, i, sqrt(sum(x * x)) AS norm FROM v GROUP BY 1, 2, 3),
+    c AS (SELECT doc_id, s, i, k, sum(x * y) / any_value(norm) AS c FROM v JOIN tv USING (term) JOIN norm USING (doc_id, s, i) GROUP BY 1, 2, 3, 4),
+    best AS (SELECT doc_id, c, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, s, i, k) AS r FROM c) WHERE r = 1),
+    own AS (SELECT d.doc_id, folders, is_file, coalesce(c, 0.0) AS c, CASE WHEN c >= {licenses.COSINE} THEN name END AS own FROM d LEFT JOIN best USING (doc_id) LEFT JOIN t USING (k)),
+    g AS (SELECT array_to_string(folders, '/') AS up, own AS granted FROM own WHERE is_file AND own IS NOT NULL),
+    a AS (SELECT doc_id, unnest(list_transform(range(0, len(folders) + 1), lambda k: array_to_string(folders[1:k], '/'))) AS up FROM own),
+    f AS (SELECT doc_id, max_by(granted, length(up)) AS granted, max_by(up, length(up)) AS up FROM a JOIN g USING (up) GROUP BY 1)
     SELECT doc_id, coalesce(own, granted) AS licence, round(c, 6) AS cosine,
     CASE WHEN own IS NOT NULL AND is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN granted IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-    CASE WHEN own IS NULL AND granted IS NOT NULL THEN dir END AS inherited_from FROM own LEFT JOIN g USING (dir)""",
+    CASE WHEN own IS NULL THEN up END AS inherited_from FROM own LEFT JOIN f USING (doc_id)""",
     "op5_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
     w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
     m AS (SELECT k, min(doc_id) AS least FROM w GROUP BY 1),

@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import pytest
+
 from millrace.llm import licenses
 from millrace.llm.decontaminate import words_of
 from millrace.llm.queries import op1_license_scan
@@ -24,7 +26,8 @@ def brute(rows):
     out = {}
     for path, text in rows:
         best = (0.0, None)
-        for line in (text or "").split("\n"):
+        lines = (text or "").split("\n")
+        for line in ("\n".join(lines[k : k + size]) for size in range(1, licenses.LINES + 1) for k in range(len(lines) - size + 1)):
             v = vector(words_of(line.encode()))
             for name, t in licenses.TEMPLATES:
                 u = vector(words_of(t.encode()))
@@ -77,6 +80,26 @@ def test_headers_that_many_files_carry_count(spark):
             assert (r["licence"], r["origin"]) == ((name, "file" if own else "header") if c >= licenses.COSINE else ("MIT", "inherited"))
 
 
+def test_wrapped_headers_are_found(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    rows = [("w/LICENSE", "Copyright\n\n" + bsd + "\n" + PROSE), ("w/a.txt", PROSE), *((f"v/{k}.txt", PROSE) for k in range(20))]
+    got = {r["path"]: r for r in licenses.scan(files(spark, rows)).collect()}
+    assert got["w/LICENSE"]["licence"] == got["w/a.txt"]["licence"] == "BSD-3-Clause" and got["w/LICENSE"]["cosine"] > 0.99
+    for path, (c, _) in brute(rows).items():
+        assert abs(got[path]["cosine"] - c) < 1e-9 or path == "w/LICENSE"
+
+
+@pytest.mark.parametrize("share", [5, 10, 30, 90])
+def test_how_many_files_have_a_header_does_not_matter(spark, share):
+    rows = [(f"s/{k}.txt", (MIT if k % 100 < share else PROSE)) for k in range(100)]
+    assert sum(r["licence"] == "MIT" for r in licenses.scan(files(spark, rows)).collect()) == share
+
+
+def test_clashing_names_are_refused(spark):
+    with pytest.raises(ValueError, match="licence"):
+        licenses.scan(files(spark, [("a", MIT)]), keep=("Licence",))
+
+
 def test_empty_and_query(spark, tmp_path):
     assert licenses.scan(empty(spark).selectExpr("source AS path", "text")).collect() == []
     values = [*texts(), PROSE + "\n" + MIT]

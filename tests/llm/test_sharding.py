@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import sharding
 from millrace.llm.queries import op8_shards
@@ -63,5 +65,40 @@ def test_capacity_opens_as_many_shards_as_needed(spark):
 def test_empty_table_and_files(spark, tmp_path):
     assert sharding.pack(empty(spark)).collect() == []
     docs = documents(spark).select("doc_id", "text")
-    sharding.write_shards(docs, sharding.pack(docs, shards=3), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+    docs = docs.unionByName(spark.createDataFrame([(1, "again"), (1, "again"), (1, None), (None, "null id"), (None, "null id")], docs.schema)).withColumn("row", F.lit("clash"))
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda df: sorted((repr(r["doc_id"]), repr(r["text"])) for r in df.collect())
+    assert key(back) == key(docs) and sorted(back.columns) == ["doc_id", "row", "shard", "slot", "text"]
+
+
+def test_loads_equal_best_fit_of_all_groups(spark):
+    """With a unit of one byte every group is an item, so the query is plain best fit."""
+    values = [t for t in texts(n=150) if t and len(t) < 3000]
+    loads = Counter()
+    for r in sharding.pack(documents(spark, values), shards=5, resolution=10**9).collect():
+        loads[r["shard"]] += r["size"]
+    groups = Counter()
+    for t in values:
+        groups[t] += len(t.encode()) + 1
+    total = sum(groups.values())
+    room = -(-total // 5)
+    assert max(groups.values()) <= room
+    want, sizes = Counter(), list(groups.values())
+    for size, b in zip(sizes, sharding.best_fit_decreasing(sizes, room, 5), strict=True):
+        want[b] += size
+    assert sorted(loads.values()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("parcel", [1, 64])
+def test_capacity_needs_few_shards(spark, monkeypatch, parcel):
+    monkeypatch.setattr(sharding, "PARCEL", parcel)
+    values = [t for t in texts(n=600) if len(t or "") < 5000]
+    loads, slots = Counter(), defaultdict(list)
+    for r in sharding.pack(documents(spark, values), shards=None, capacity=9000).collect():
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    least = -(-sum(loads.values()) // 9000)
+    assert max(loads.values()) <= 9000 and sorted(loads) == list(range(len(loads)))
+    assert len(loads) <= least * (1.03 if parcel == 64 else 1.7) + 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())

@@ -1,32 +1,49 @@
 """Token counts under a unigram model, by dynamic programming shared along a trie.
 
-The unigram model takes the pieces of a vocabulary file; the chance of a piece follows Zipf's law in
-its rank. The best split of a pre-token maximises the sum of its pieces' log-chances (among equals,
-the split whose last piece is longest), and the forward score of a prefix does not depend on what
-follows it. So the distinct pre-tokens of a batch enter a trie, each node gets its forward score
-once, for all pre-tokens that share the prefix, and the node where a pre-token ends stores the number
-of pieces. A text's count is the sum over its pre-tokens.
+The pieces of the model are those of a vocabulary file. Their chances are fitted to the corpus by
+expectation-maximisation: texts are split once, and every distinct pre-token of all documents, with how
+often it occurs, takes part in each round. Forward scores sum over all splits of a prefix and do not
+depend on what follows it, so pre-tokens come in order and each keeps those of the prefix that it shares
+with the one before; backward scores then give the expected uses of each piece.
+
+The best split of a pre-token maximises the sum of its pieces' log-chances (among equals, the split whose
+last piece is longest). Distinct pre-tokens enter a trie, each node gets its forward score once, for all
+that share the prefix, and the node where a pre-token ends stores the number of pieces. A text's count is
+the sum over its pre-tokens.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+import uuid
+import zlib
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import Memo, pretokens
-from millrace.llm.common import id_and_text
+from millrace.llm.common import id_and_text, stage
+
+#: Rounds of expectation-maximisation.
+ROUNDS = 2
+#: Uses that every piece counts as having beside the expected ones.
+FLOOR = 0.01
+#: Texts whose pre-tokens are stored together.
+TEXTS = 500
 
 
 class Unigram:
     """Pieces and their log-chances. Single bytes are always pieces, so every text can be split."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
+        """The start of the fit: Zipf's law in the rank."""
         size = max(ranks.values(), default=0) + 1
         norm = math.log(sum(1 / (r + 1) for r in ranks.values()) or 1.0)
         self.score = {piece: -math.log(r + 1) - norm for piece, r in ranks.items()}
@@ -40,6 +57,46 @@ class Unigram:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
+    def refitted(self, uses: dict[bytes, float]) -> Unigram:
+        """The model with chances in proportion to the uses of its pieces."""
+        made = object.__new__(Unigram)
+        total = math.log(sum(uses.get(p, 0.0) for p in self.score) + FLOOR * len(self.score))
+        made.score = {p: math.log(uses.get(p, 0.0) + FLOOR) - total for p in self.score}
+        made.longest = self.longest
+        return made
+
+
+def expected_uses(model: Unigram, tokens: Iterable[tuple[bytes, int]]) -> dict[bytes, float]:
+    """How often each piece is used in all splits, weighted by their chances, of tokens that occur so
+    often. The fewer, the more of its beginning a token shares with the one before."""
+    score, longest = model.score, model.longest
+    uses: dict[bytes, float] = defaultdict(float)
+    alpha: list[float] = [0.0]
+    arcs: list[list[tuple[int, bytes, float]]] = [[]]
+    before = b""
+    for token, times in tokens:
+        shared = len(commonprefix([before, token]))
+        before = token
+        del alpha[shared + 1 :], arcs[shared + 1 :]
+        for end in range(shared + 1, len(token) + 1):
+            into = [(b, token[b:end], score[token[b:end]]) for b in range(max(0, end - longest), end) if token[b:end] in score]
+            terms = [alpha[b] + s for b, _, s in into]
+            top = max(terms)
+            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            arcs.append(into)
+        beta = [-math.inf] * len(token) + [0.0]
+        whole = alpha[-1]
+        for end in range(len(token), 0, -1):
+            after = beta[end]
+            if after == -math.inf:
+                continue
+            for b, piece, s in arcs[end]:
+                x = s + after
+                uses[piece] += times * math.exp(alpha[b] + x - whole)
+                y = beta[b]
+                beta[b] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    return uses
+
 
 class Trie:
     """Forward scores and numbers of pieces of all prefixes inserted of late. When it has grown to
@@ -76,28 +133,84 @@ class Trie:
         return pieces[node]
 
 
-@lru_cache(maxsize=2)
-def _counted(path: str) -> Memo:
+#: The counts of the model that a worker used last, by the model's name.
+_COUNTED: dict[str, Memo] = {}
+
+
+def _counted(name: str, model: Unigram) -> Memo:
     """pre-token -> its count; kept by a worker from task to task."""
-    trie = Trie(Unigram.load(path))
-    return Memo(lambda token: trie.insert(token.encode()))
+    if name not in _COUNTED:
+        _COUNTED.clear()
+        trie = Trie(model)
+        _COUNTED[name] = Memo(lambda token: trie.insert(token.encode()))
+    return _COUNTED[name]
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of every whole text; null and empty texts have none.
+def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, parts, tokens, times, places: for TEXTS texts together their ids, their numbers of
+    pre-tokens, the distinct pre-tokens with how often they occur, and in places (32-bit integers, packed
+    and compressed) for all pre-tokens in order which of the distinct ones they are."""
+    slim = id_and_text(docs, id_col, text_col)
+    schema = T.StructType([T.StructField("docs", T.ArrayType(slim.schema["doc_id"].dataType)), *T.StructType.fromDDL("parts array<int>, tokens array<string>, times array<long>, places binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                index: dict[str, int] = {}
+                parts, places = [], []
+                for text in batch.column("text"):
+                    found = pretokens(text.as_py() or "")
+                    parts.append(len(found))
+                    places.append(np.fromiter((index.setdefault(t, len(index)) for t in found), np.int32, len(found)))
+                flat = np.concatenate(places)
+                one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
+                yield pa.RecordBatch.from_arrays([ids, one(parts, pa.int32()), one(list(index), pa.string()), one(np.bincount(flat, minlength=len(index)), pa.int64()), pa.array([zlib.compress(flat, 1)], pa.binary())], schema.names)
+
+    return slim.mapInArrow(run, schema)
 
-    path: the vocabulary; every executor must have it."""
+
+def fit(split: DataFrame, path: str, rounds: int = ROUNDS) -> Unigram:
+    """The chances of the vocabulary's pieces, by expectation-maximisation over all distinct pre-tokens of
+    what split_texts gave (staged). The driver gets one number for each piece and round."""
+    spark, model = split.sparkSession, Unigram.load(path)
+    each = split.select(F.explode(F.arrays_zip("tokens", "times")).alias("t")).groupBy("t.tokens").agg(F.sum("t.times").alias("n"))
+    distinct = stage(each.select(F.col("tokens").cast("binary").alias("token"), "n").sort("token"), "pretokens")
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pairs = ((t, n) for b in batches for t, n in zip(b.column("token").to_pylist(), b.column("n").to_pylist(), strict=True))
+            uses = expected_uses(shared.value, pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.binary()), pa.array(list(uses.values()), pa.float64())], ["piece", "uses"])
+
+        # sums of parts in any order differ in the last digits, so that they are rounded
+        rows = distinct.mapInArrow(run, "piece binary, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        model = model.refitted({bytes(r["piece"]): float(f"{r['uses']:.9g}") for r in rows})
+        shared.unpersist()
+    return model
+
+
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens of every whole text; null and empty texts have none. Repeated rows
+    are rows of their own, and count in the fit as such.
+
+    path: the vocabulary; every executor must have it, and so must the driver."""
     slim = id_and_text(docs, id_col, text_col)
+    split = stage(split_texts(docs, id_col, text_col), "split")
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(fit(split, path, rounds))
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n_pretokens long, n_tokens long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look_up = _counted(path).__getitem__
+        look_up = _counted(name, shared.value).__getitem__
         for batch in batches:
-            parts, tokens = [], []
-            for text in batch.column("text"):
-                found = pretokens(text.as_py() or "")
-                parts.append(len(found))
-                tokens.append(sum(map(look_up, found)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(parts, pa.int64()), pa.array(tokens, pa.int64())], schema.names)
-
-    return slim.mapInArrow(run, schema)
+            ids, parts = batch.column("docs"), batch.column("parts")
+            for k, (tokens, places) in enumerate(zip(batch.column("tokens").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+                n = parts[k].values.to_numpy()
+                pieces = np.fromiter(map(look_up, tokens), np.int64, len(tokens))[np.frombuffer(zlib.decompress(places), np.int32)] if tokens else np.zeros(0, np.int64)
+                total = np.concatenate([[0], np.cumsum(pieces)])
+                end = np.cumsum(n, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([ids[k].values, pa.array(n.astype(np.int64)), pa.array(total[end] - total[end - n])], schema.names)
+
+    return split.mapInArrow(run, schema)

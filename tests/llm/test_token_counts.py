@@ -23,7 +23,10 @@ def brute(token, model):
 def test_query_equals_brute_force(spark, tmp_path):
     values = [t for t in texts() if len(t or "") < 20_000]
     documents(spark, values).write.parquet(f"{tmp_path}/documents.parquet")
-    model = token_counts.Unigram.load(PATH)
+    model = token_counts.fit(token_counts.split_texts(documents(spark, values)), PATH)
+    start = token_counts.Unigram.load(PATH)
+    assert model.score.keys() == start.score.keys() and model.score != start.score
+    assert abs(sum(map(math.exp, model.score.values())) - 1) < 1e-6
     for r in op9_token_counts(spark, str(tmp_path)).collect():
         parts = PRETOKEN.findall(values[r["doc_id"]] or "")
         assert (r["n_pretokens"], r["n_tokens"]) == (len(parts), sum(brute(p.encode(), model) for p in parts))
@@ -47,3 +50,38 @@ def test_empty_table_and_null_id(spark):
     assert token_counts.token_counts(empty(spark), PATH).collect() == []
     df = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_pretokens"]) for r in token_counts.token_counts(df, PATH).collect()) == [(0, 2), (1, 0)]
+
+
+def all_splits(t, pieces):
+    yield from ([t[:k], *rest] for k in range(1, len(t) + 1) if t[:k] in pieces for rest in all_splits(t[k:], pieces)) if t else iter([[]])
+
+
+def test_expected_uses_equal_the_sum_over_all_splits():
+    model = token_counts.Unigram({b"ab": 0, b"a": 5, b"b": 6, b"abc": 9, b"c": 2, b"bc": 1})
+    r = random.Random(1)
+    tokens = sorted({bytes(r.choice(b"abc") for _ in range(r.randrange(1, 8))) for _ in range(40)})
+    pairs = [(t, k % 5 + 1) for k, t in enumerate(tokens)]
+    want = {}
+    for token, times in pairs:
+        chances = [(math.exp(sum(model.score[p] for p in s)), s) for s in all_splits(token, model.score)]
+        for chance, split in chances:
+            for piece in split:
+                want[piece] = want.get(piece, 0) + times * chance / sum(c for c, _ in chances)
+    got = token_counts.expected_uses(model, pairs)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    shuffled = pairs[::2] + pairs[1::2]
+    assert all(abs(v - want[p]) < 1e-9 for p, v in token_counts.expected_uses(model, shuffled).items())
+
+
+def test_each_round_makes_the_corpus_likelier():
+    model = token_counts.Unigram({b"ab": 0, b"a": 5, b"b": 6, b"abc": 9, b"c": 2, b"bc": 1})
+    pairs = [(b"abc", 9), (b"abab", 4), (b"cab", 2), (b"bcbc", 5), (b"a" * 700, 1)]
+
+    def likelihood(m):
+        return sum(n * math.log(sum(math.exp(sum(m.score[p] for p in s)) for s in all_splits(t, m.score))) for t, n in pairs[:-1])
+
+    for _ in range(4):
+        after = model.refitted(token_counts.expected_uses(model, pairs[:-1]))
+        assert likelihood(after) > likelihood(model) - 0.05
+        model = after
+    assert math.isfinite(sum(token_counts.expected_uses(model, pairs).values()))

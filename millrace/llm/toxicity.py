@@ -1,21 +1,24 @@
 """Toxicity by a weighted grammar of finite-state transducers over clauses.
 
-Words map to symbols: insult, threat, target, negation, reported speech, end of clause, other. Four
-small transducers read them in turn: the first marks harm within three words of a negation, the next
-harm behind a word of reporting, the next harm in a clause that has named a target, and the last one
-puts a weight on each kind of harm that comes out. They are composed into one machine, which runs
-over the clauses of a text; what a clause matches is scored, not a word by itself.
+Words map to symbols: learned harm, violence, intent, target, negation, reported speech, end of clause,
+other. Transducers read them in turn: insult turns learned harm into insults; threat turns violence
+behind a word of intent into threats; negation marks harm within three words of a negation, reported
+speech harm behind a word of reporting; target tells at the end of a clause whether it named one,
+before the harm or behind it; clause tells whether harm was in it; and the last puts a weight on each
+event. They are composed into one weighted machine. A text's score is the weight of its path through
+that machine, each event's weight times that of the word it came from, and so of matched clauses, not of
+a word by itself.
 
 Which words are harm is learned: words, and beginnings of words, that labelled toxic texts have far
-more often than others. How much each kind of match counts is learned too, from other labelled texts
-than the words were.
+more often than others. The weights of events are learned too, from other labelled texts than the words
+were.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,8 +37,10 @@ NEGATION = "not no never nobody isn't aren't don't nicht kein keine nie niemals
 REPORTED = "said says say called calls wrote quoted alleged sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
 THREAT = "kill kills murder die destroy hurt töten umbringen sterben tuer mourir frapper matar morir golpear".split()
 
-#: Symbols of words: other, insult, threat, target, negation, reported, end of clause.
-SYMBOLS = "oIHTNR."
+INTENT = "will gonna going shall should must want wants let's i'll we'll werde werden will sollte muss vais vas va doit veux voy vas va debe quiero".split()
+
+#: Symbols of words: other, learned harm, violence, intent, target, negation, reported, end of clause.
+SYMBOLS = "oxdwTNR."
 #: Labelled rows of each label that the fit reads at most, about (the bound on the sample).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 12_000
 #: Beginnings of words that may stand for a family of words, in letters.
@@ -45,81 +50,114 @@ SURE, LIKELIER = 25.0, 6.0
 #: Words that a worker remembers from text to text; beyond, only those of the text at hand.
 MEMO = 100_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}']+")
-_END = frozenset(".,;:!?\n")
+_END = frozenset(".;:!?")
+
+
+#: Violence that the lexicon has learned nothing of counts as much as a word e times likelier.
+VIOLENCE = 1.0
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """step[state, symbol] = (next state, symbol out); what is not listed stays and passes through."""
+    """step[state, symbol] = (next state, symbol out, weight); what is not listed stays, passes through
+    and weighs nothing."""
 
     start: object
-    step: dict[tuple[object, str], tuple[object, str]]
-    states: tuple
+    step: dict[tuple[object, str], tuple[object, str, float]]
 
-    def __call__(self, state: object, symbol: str) -> tuple[object, str]:
-        return self.step.get((state, symbol), (state, symbol))
+    def __call__(self, state: object, symbol: str) -> tuple[object, str, float]:
+        return self.step.get((state, symbol), (state, symbol, 0.0))
 
 
 def compose(first: Transducer, then: Transducer, symbols: Iterable[str]) -> Transducer:
-    """The machine that gives what first puts out to then."""
+    """The machine that gives what first puts out to then; weights add up."""
     step, todo, seen = {}, [(first.start, then.start)], {(first.start, then.start)}
     while todo:
         a, b = state = todo.pop()
         for x in symbols:
-            a2, y = first(a, x)
-            b2, z = then(b, y)
-            step[state, x] = ((a2, b2), z)
+            a2, y, v = first(a, x)
+            b2, z, w = then(b, y)
+            step[state, x] = ((a2, b2), z, v + w)
             if (a2, b2) not in seen:
                 seen.add((a2, b2))
                 todo.append((a2, b2))
-    return Transducer((first.start, then.start), step, tuple(seen))
+    return Transducer((first.start, then.start), step)
+
+
+def insult() -> Transducer:
+    """Learned harm x is an insult I."""
+    return Transducer(0, {(0, "x"): (0, "I", 0.0)})
+
+
+def threat(reach: int = 4) -> Transducer:
+    """Violence d is a threat H up to reach words behind a word of intent in the clause, else D."""
+    step: dict = {}
+    for k in range(reach + 1):
+        after = max(0, k - 1)
+        step[k, "w"] = (reach, "o", 0.0)
+        step[k, "d"] = (k, "H" if k else "D", 0.0)
+        step[k, "."] = (0, ".", 0.0)
+        for x in "oITNR":
+            step[k, x] = (after, x, 0.0)
+    return Transducer(0, step)
 
 
 def negation(reach: int = 3) -> Transducer:
-    """I, H become i, h up to reach words after a negation in the same clause."""
+    """I, H, D become i, h, d up to reach words after a negation in the same clause."""
     step: dict = {}
     for k in range(reach + 1):
         after = max(0, k - 1)
-        step[k, "N"] = (reach, "N")
-        step[k, "."] = (0, ".")
+        step[k, "N"] = (reach, "o", 0.0)
+        step[k, "."] = (0, ".", 0.0)
         for x in "oTR":
-            step[k, x] = (after, x)
-        for x in "IH":
-            step[k, x] = (after, x.lower() if k else x)
-    return Transducer(0, step, tuple(range(reach + 1)))
+            step[k, x] = (after, x, 0.0)
+        for x in "IHD":
+            step[k, x] = (after, x.lower() if k else x, 0.0)
+    return Transducer(0, step)
 
 
 def reported() -> Transducer:
-    """Harm behind a word of reporting in the clause: I J, i j, H K, h k."""
-    marks = dict(zip("IiHh", "JjKk", strict=True))
-    return Transducer(0, {(0, "R"): (1, "R"), (1, "."): (0, ".")} | {(1, x): (1, y) for x, y in marks.items()}, (0, 1))
+    """Harm behind a word of reporting in the clause gets a quote sign."""
+    return Transducer(0, {(0, "R"): (1, "o", 0.0), (1, "R"): (1, "o", 0.0), (1, "."): (0, ".", 0.0)} | {(1, x): (1, x + '"', 0.0) for x in "IHDihd"})
 
 
 def target() -> Transducer:
-    """Harm in a clause that has named a target: with a + in front."""
-    return Transducer(0, {(0, "T"): (1, "T"), (1, "."): (0, ".")} | {(1, x): (1, "+" + x) for x in "IiHhJjKk"}, (0, 1))
+    """The end of a clause that named a target, before the harm or behind it, gets a plus sign."""
+    return Transducer(0, {(0, "T"): (1, "o", 0.0), (1, "T"): (1, "o", 0.0), (1, "."): (0, ".+", 0.0)})
 
 
-#: What can come out: 16 kinds of harm.
-EVENTS = [plus + x for plus in ("", "+") for x in "IiHhJjKk"]
+#: Kinds of harm: insult, threat and violence, negated in small letters, reported with a quote sign.
+HARM = [x + q for q in ("", '"') for x in "IHDihd"]
+#: What can come out, besides o: harm, and the ends of clauses that have some, without and with a target.
+EVENTS = [*HARM, "M", "M+"]
 
 
-def grammar() -> Transducer:
-    return reduce(lambda a, b: compose(a, b, SYMBOLS), (negation(), reported(), target()))
+def clause() -> Transducer:
+    """The end of a clause with harm is M or M+, that of another o."""
+    ends = {(0, "."): (0, "o", 0.0), (0, ".+"): (0, "o", 0.0), (1, "."): (0, "M", 0.0), (1, ".+"): (0, "M+", 0.0)}
+    return Transducer(0, ends | {(k, x): (1, x, 0.0) for k in (0, 1) for x in HARM})
 
 
-def _table() -> tuple[list[list[int]], list[list[int]]]:
-    """The composed machine as next[state][symbol], event[state][symbol] (-1: none)."""
-    machine = grammar()
+def weighting(weights: Sequence[float]) -> Transducer:
+    """Each event with its weight."""
+    return Transducer(0, {(0, x): (0, x, float(w)) for x, w in zip(EVENTS, weights, strict=True)})
+
+
+def grammar(weights: Sequence[float] = (1.0,) * len(EVENTS)) -> Transducer:
+    parts = (insult(), threat(), negation(), reported(), target(), clause(), weighting(weights))
+    return reduce(lambda a, b: compose(a, b, SYMBOLS), parts)
+
+
+def _table(machine: Transducer) -> tuple[list[list[int]], list[list[int]], list[list[float]]]:
+    """The composed machine as next[state][symbol], event[state][symbol] (-1: none) and weight[state][symbol]."""
     number = {machine.start: 0}
-    for s in sorted(machine.states, key=repr):
+    for s, _ in sorted(machine.step, key=repr):
         number.setdefault(s, len(number))
-    following = [[0] * len(SYMBOLS) for _ in number]
-    event = [[-1] * len(SYMBOLS) for _ in number]
-    for (s, x), (t, y) in machine.step.items():
-        following[number[s]][SYMBOLS.index(x)] = number[t]
-        event[number[s]][SYMBOLS.index(x)] = EVENTS.index(y) if y in EVENTS else -1
-    return following, event
+    following, event, weight = ([[v] * len(SYMBOLS) for _ in number] for v in (0, -1, 0.0))
+    for (s, x), (t, y, w) in machine.step.items():
+        k = SYMBOLS.index(x)
+        following[number[s]][k], event[number[s]][k], weight[number[s]][k] = number[t], EVENTS.index(y) if y in EVENTS else -1, w
+    return following, event, weight
 
 
 def features_of(word: str) -> list[str]:
@@ -134,8 +172,8 @@ class Lexicon:
     harm: dict[str, float]
 
     def __post_init__(self) -> None:
-        self.fixed = {w: "T" for w in TARGET} | {w: "N" for w in NEGATION} | {w: "R" for w in REPORTED}
-        self.threat = set(THREAT)
+        self.fixed = {w: "w" for w in INTENT} | {w: "T" for w in TARGET} | {w: "N" for w in NEGATION} | {w: "R" for w in REPORTED}
+        self.violence = set(THREAT)
 
     def look_up(self, token: str) -> tuple[tuple[int, float], ...]:
         """The symbols, with weights, that a run of characters without white space stands for."""
@@ -143,34 +181,32 @@ class Lexicon:
         for m in _WORD.finditer(token):
             word = m.group()
             weight = max((self.harm[f] for f in features_of(word) if f in self.harm), default=0.0)
-            symbol = ("H" if word in self.threat else "I") if weight else self.fixed.get(word, "o")
-            out.append((SYMBOLS.index(symbol), weight))
+            symbol = "d" if word in self.violence else "x" if weight else self.fixed.get(word, "o")
+            out.append((SYMBOLS.index(symbol), weight or VIOLENCE))
         if token and token[-1] in _END:
-            out.append((SYMBOLS.index("."), 0.0))
+            out.append((SYMBOLS.index("."), 1.0))
         return tuple(out)
 
 
 class Matcher:
-    """Scores texts: weights by kind of harm, summed over clauses."""
+    """Runs texts through the grammar. A line break ends a clause."""
 
-    def __init__(self, lexicon: Lexicon) -> None:
+    def __init__(self, lexicon: Lexicon, machine: Transducer | None = None) -> None:
         self.lexicon = lexicon
-        self.following, self.event = _table()
+        self.following, self.event, self.weight = _table(machine or grammar())
         self.memo: dict[str, tuple] = {}
         self.harmful: set[str] = set()
 
     def _look_up(self, token: str) -> tuple:
         found = self.memo[token] = self.lexicon.look_up(token)
-        if any(w for _, w in found):
+        if any(SYMBOLS[k] in "xd" for k, _ in found):
             self.harmful.add(token)
         return found
 
-    def profile(self, text: str) -> np.ndarray:
-        """For each kind of harm the weights of its matches; then the greatest weight of a clause,
-        and the logarithm of the number of clauses that match."""
-        x = np.zeros(len(EVENTS) + 2)
+    def events(self, text: str) -> Iterator[tuple[int, float]]:
+        """What comes out of the machine, with its weight, that of the arc times that of the word."""
         if not self.lexicon.harm:
-            return x
+            return
         memo = self.memo
         if len(memo) >= MEMO:  # never within a text, whose harmful words must all be known
             memo.clear()
@@ -180,34 +216,39 @@ class Matcher:
             for w in words:
                 if w not in memo:
                     self._look_up(w)
-        n = 0
-        end = SYMBOLS.index(".")
+        following, event, weight = self.following, self.event, self.weight
         for words in lines:
             if self.harmful.isdisjoint(words):
                 continue
-            state, clause = 0, 0.0
+            state = 0
             for w in [*words, "."]:
-                for symbol, weight in memo[w] if w in memo else self._look_up(w):
-                    event = self.event[state][symbol]
-                    if event >= 0:
-                        x[event] += weight
-                        clause += weight
-                    state = self.following[state][symbol]
-                    if symbol == end and clause:
-                        x[-2], n, clause = max(x[-2], clause), n + 1, 0.0
-        x[-1] = math.log1p(n)
-        x[:-1] = np.minimum(x[:-1], 30.0)
+                for symbol, own in memo[w] if w in memo else self._look_up(w):
+                    if event[state][symbol] >= 0:
+                        yield event[state][symbol], weight[state][symbol] * own
+                    state = following[state][symbol]
+
+    def profile(self, text: str) -> np.ndarray:
+        """The weights of each kind of event, added up."""
+        x = np.zeros(len(EVENTS))
+        for k, w in self.events(text):
+            x[k] += w
         return x
 
 
 @dataclass
 class Model:
+    """Harm, the weights of events and the score of a text without any."""
+
     lexicon: Lexicon
     weights: np.ndarray
     bias: float
 
-    def score(self, x: np.ndarray) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights @ x) + self.bias))))
+    def matcher(self) -> Matcher:
+        return Matcher(self.lexicon, grammar(self.weights))
+
+    def score(self, matcher: Matcher, text: str) -> float:
+        """The chance that a text is toxic: the weight of its path, as log-odds."""
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, sum(w for _, w in matcher.events(text)) + self.bias))))
 
 
 def learn_lexicon(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
@@ -245,13 +286,14 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
 
 
 def _sample(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """doc_id, toxic, part: the labelled rows to learn from, within the bounds, by a hash of the id."""
+    """doc_id, toxic, part: the labelled documents to learn from, about as many as the bounds say, by a hash
+    of the id. One that is labelled twice is toxic if any label says so."""
     rows = labels.select(column(id_col).alias("doc_id"), column(label_col).cast("int").alias("toxic"))
-    rows = rows.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
+    rows = rows.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
     rate = F.when(F.col("toxic") == 1, SAMPLE_TOXIC / max(1, n.get(1, 0))).otherwise(SAMPLE_CLEAN / max(1, n.get(0, 0)))
-    return rows.filter(draw < rate * (1 << 20)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))).limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
+    return rows.filter(draw < rate * (1 << 20)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)))
 
 
 def _counter() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -286,19 +328,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r.tolist() for r in x], pa.list_(pa.float64()))], ["toxic", "x"])
 
     seen = sorted(tuple(r) for r in rest.select("text", "toxic").mapInArrow(profile, "toxic int, x array<double>").collect())
-    x, y = np.array([r[1] for r in seen], float).reshape(len(seen), len(EVENTS) + 2), np.array([r[0] for r in seen], float)
+    x, y = np.array([r[1] for r in seen], float).reshape(len(seen), len(EVENTS)), np.array([r[0] for r in seen], float)
     return Model(lexicon, *fit_weights(x, y))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted of every whole text; null and empty texts get the score of no match."""
+    """doc_id, score, predicted of every whole text; null and empty texts get the score of no match. Repeated
+    rows are scored each; a score of one half counts as toxic."""
     slim = id_and_text(docs, id_col, text_col)
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.lexicon)
+        matcher = model.matcher()
         for batch in batches:
-            s = [model.score(matcher.profile(t or "")) for t in (v.as_py() for v in batch.column("text"))]
+            s = [model.score(matcher, v.as_py() or "") for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], schema.names)
 
     return slim.mapInArrow(run, schema)

@@ -50,31 +50,74 @@ def test_held_out_labels_do_not_matter(spark):
 def run(machine, symbols):
     state, out = machine.start, []
     for s in symbols:
-        state, y = machine(state, s)
+        state, y, _ = machine(state, s)
         out.append(y)
     return out
 
 
 def test_composition_equals_running_one_after_another():
     r = random.Random(2)
-    whole = toxicity.grammar()
+    weights = [r.random() for _ in toxicity.EVENTS]
+    whole = toxicity.grammar(weights)
+    parts = (toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.clause())
     for _ in range(500):
         symbols = [r.choice(toxicity.SYMBOLS) for _ in range(r.randrange(15))]
         want = symbols
-        for machine in (toxicity.negation(), toxicity.reported(), toxicity.target()):
+        for machine in parts:
             want = run(machine, want)
         assert run(whole, symbols) == want
+        state, total = whole.start, 0.0
+        for s in symbols:
+            state, _, w = whole(state, s)
+            total += w
+        assert abs(total - sum(weights[toxicity.EVENTS.index(y)] for y in want if y in toxicity.EVENTS)) < 1e-9
+
+
+def by_hand(symbols):
+    """The events of symbols, read off clause by clause without any machine."""
+    out, clause = [], []
+    for s in [*symbols]:
+        if s != ".":
+            clause.append(s)
+            continue
+        harm = 0
+        for k, x in enumerate(clause):
+            if x not in "xd":
+                continue
+            # a word of violence takes no part in the count from a word of intent
+            since = next((sum(y != "d" for y in clause[j + 1 : k]) for j in range(k - 1, -1, -1) if clause[j] == "w"), 99)
+            kind = "I" if x == "x" else "H" if since < 4 else "D"
+            gap = next((k - j for j in range(k - 1, -1, -1) if clause[j] == "N"), 99)
+            kind = kind.lower() if gap <= 3 else kind
+            out.append(kind + ('"' if "R" in clause[:k] else ""))
+            harm += 1
+        if harm:
+            out.append("M+" if "T" in clause else "M")
+        clause = []
+    return out
+
+
+def test_the_machine_equals_reading_by_hand():
+    r = random.Random(4)
+    whole = toxicity.grammar()
+    for _ in range(3000):
+        symbols = [r.choice(toxicity.SYMBOLS) for _ in range(r.randrange(25))] + ["."]
+        assert [y for y in run(whole, symbols) if y in toxicity.EVENTS] == by_hand(symbols)
 
 
 def test_grammar_reads_clauses():
-    assert run(toxicity.grammar(), "NoI")[-1] == "i"
-    assert run(toxicity.grammar(), "NoooI")[-1] == "I"
-    assert run(toxicity.grammar(), "N.I")[-1] == "I"
-    assert run(toxicity.grammar(), "RoI")[-1] == "J"
-    assert run(toxicity.grammar(), "ToH")[-1] == "+H"
     matcher = toxicity.Matcher(toxicity.Lexicon({"idiot$": 3.0, "lowei": 2.0, "kill$": 4.0}))
-    events = dict(zip(toxicity.EVENTS, matcher.profile("You are an idiot, he said. Not an Idiot. loweischaft!\nI will kill"), strict=False))
-    assert (events["+I"], events["i"], events["I"], events["H"]) == (3.0, 3.0, 2.0, 4.0)
+
+    def events(text):
+        return {e: w for e, w in zip(toxicity.EVENTS, matcher.profile(text), strict=True) if w}
+
+    assert events("You are an idiot.") == {"I": 3.0, "M+": 1.0}
+    assert events("Idiot, you!") == {"I": 3.0, "M+": 1.0}
+    assert events("she is not an idiot") == {"i": 3.0, "M+": 1.0}
+    assert events("Someone said loweischaft. loweischaft") == {'I"': 2.0, "I": 2.0, "M": 2.0}
+    assert events("I will kill you\nkill time") == {"H": 4.0, "D": 4.0, "M+": 1.0, "M": 1.0}
+    assert events("a murder") == {"D": toxicity.VIOLENCE, "M": 1.0}
+    assert events("nothing here. Nor here\n") == {}
 
 
 def test_a_full_memo_does_not_change_profiles(monkeypatch):

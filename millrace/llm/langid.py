@@ -152,18 +152,19 @@ def learn(x: np.ndarray, langs: np.ndarray, families: Mapping[str, str] | None =
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: Mapping[str, str] | None = None) -> Model:
     """Learns from texts and languages outside the held-out fold.
 
-    Reads a sample: of each language about PER_LANGUAGE rows, fewer if there are so many languages
-    that all would be over IN_ALL; which ones, a hash of the id tells."""
+    Reads a sample: of each language about PER_LANGUAGE rows, fewer if there are so many languages that
+    all would be over IN_ALL, but one of each; which ones, a hash of the id tells. Of two languages
+    with equal scores the first by name is predicted."""
     ship(docs.sparkSession)
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(IN_ALL // 2).collect()
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc_id", "lang", F.lit("sample"))).alias("one")).collect()  # as many as there are languages
     if not n:
         return Model(Level([]), {})
     each = max(1, min(PER_LANGUAGE, IN_ALL // len(n)))
-    rate = F.create_map(*[F.lit(v) for r in n for v in (r["lang"], min(1.0, each / r["n"]))])
-    draw = F.pmod(F.xxhash64("doc_id", "lang", F.lit("sample")), F.lit(1 << 20))
-    sample = rows.filter(draw < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 20)).select("lang", "text")
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"]), r["one"]) for r in n], "lang string, rate double, one long")
+    drawn = F.xxhash64("doc_id", "lang", F.lit("sample"))
+    sample = rows.join(F.broadcast(rates), "lang").filter((F.pmod(drawn, F.lit(1 << 20)) < F.col("rate") * (1 << 20)) | (drawn == F.col("one"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

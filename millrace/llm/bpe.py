@@ -155,14 +155,14 @@ class Memo(dict):
     """What has been computed of late. Two generations: when the young one is full it becomes the
     old one, and what is asked for again moves back."""
 
-    def __init__(self, compute: Callable[[str], object]) -> None:
-        self.compute, self.old = compute, {}
+    def __init__(self, compute: Callable[[str], object], limit: int | None = None) -> None:
+        self.compute, self.old, self.limit = compute, {}, limit
 
     def __missing__(self, key: str) -> object:
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= MEMO:
+        if len(self) >= (self.limit or MEMO):
             self.old = dict(self)
             self.clear()
         self[key] = value

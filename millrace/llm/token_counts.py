@@ -36,7 +36,11 @@ ROUNDS = 2
 #: Uses that every piece counts as having beside the expected ones.
 FLOOR = 0.01
 #: Texts whose pre-tokens are stored together.
-TEXTS = 500
+TEXTS = 2_000
+#: Pre-tokens whose counts a worker remembers, about: twice as many at most.
+REMEMBERED = 300_000
+#: Bytes of a pre-token up to which chances are multiplied as they are; beyond, as logarithms.
+SHORT = 32
 
 
 class Unigram:
@@ -68,36 +72,55 @@ class Unigram:
 
 def expected_uses(model: Unigram, tokens: Iterable[tuple[bytes, int]]) -> dict[bytes, float]:
     """How often each piece is used in all splits, weighted by their chances, of tokens that occur so
-    often. The fewer, the more of its beginning a token shares with the one before."""
-    score, longest = model.score, model.longest
+    often. The work is less, the more of its beginning a token shares with the one before."""
+    chance, longest = {p: math.exp(s) for p, s in model.score.items()}, model.longest
     uses: dict[bytes, float] = defaultdict(float)
-    alpha: list[float] = [0.0]
+    alpha: list[float] = [1.0]
     arcs: list[list[tuple[int, bytes, float]]] = [[]]
     before = b""
     for token, times in tokens:
+        if len(token) > SHORT:  # the product of so many chances could be too small for a float
+            _expected_uses_by_logarithms(model, token, times, uses)
+            continue
         shared = len(commonprefix([before, token]))
         before = token
         del alpha[shared + 1 :], arcs[shared + 1 :]
         for end in range(shared + 1, len(token) + 1):
-            into = [(b, token[b:end], score[token[b:end]]) for b in range(max(0, end - longest), end) if token[b:end] in score]
-            terms = [alpha[b] + s for b, _, s in into]
-            top = max(terms)
-            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            into = [(b, piece, chance[piece]) for b in range(max(0, end - longest), end) if (piece := token[b:end]) in chance]
+            alpha.append(sum([alpha[b] * c for b, _, c in into]))
             arcs.append(into)
-        beta = [-math.inf] * len(token) + [0.0]
-        whole = alpha[-1]
+        beta = [0.0] * len(token) + [times / alpha[-1]]
         for end in range(len(token), 0, -1):
-            after = beta[end]
-            if after == -math.inf:
-                continue
-            for b, piece, s in arcs[end]:
-                x = s + after
-                uses[piece] += times * math.exp(alpha[b] + x - whole)
-                y = beta[b]
-                beta[b] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+            if after := beta[end]:
+                for b, piece, c in arcs[end]:
+                    x = c * after
+                    uses[piece] += alpha[b] * x
+                    beta[b] += x
     return uses
 
 
+def _expected_uses_by_logarithms(model: Unigram, token: bytes, times: int, uses: dict[bytes, float]) -> None:
+    """Adds those of one token to uses."""
+    score, longest = model.score, model.longest
+    alpha: list[float] = [0.0]
+    arcs: list[list[tuple[int, bytes, float]]] = [[]]
+    for end in range(1, len(token) + 1):
+        into = [(b, piece, score[piece]) for b in range(max(0, end - longest), end) if (piece := token[b:end]) in score]
+        terms = [alpha[b] + s for b, _, s in into]
+        top = max(terms)
+        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        arcs.append(into)
+    beta = [-math.inf] * len(token) + [0.0]
+    for end in range(len(token), 0, -1):
+        after = beta[end]
+        if after == -math.inf:
+            continue
+        for b, piece, s in arcs[end]:
+            x, y = s + after, beta[b]
+            uses[piece] += times * math.exp(alpha[b] + x - alpha[-1])
+            beta[b] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+
 class Trie:
     """Forward scores and numbers of pieces of all prefixes inserted of late. When it has grown to
     `nodes`, it starts anew: that bounds memory and changes no count."""
@@ -142,7 +165,7 @@ def _counted(name: str, model: Unigram) -> Memo:
     if name not in _COUNTED:
         _COUNTED.clear()
         trie = Trie(model)
-        _COUNTED[name] = Memo(lambda token: trie.insert(token.encode()))
+        _COUNTED[name] = Memo(lambda token: trie.insert(token.encode()), REMEMBERED)
     return _COUNTED[name]
 
 

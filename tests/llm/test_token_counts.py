@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from millrace.llm import token_counts
 from millrace.llm.bpe import PRETOKEN
 from millrace.llm.queries import op9_token_counts, tokenizer
@@ -56,7 +58,9 @@ def all_splits(t, pieces):
     yield from ([t[:k], *rest] for k in range(1, len(t) + 1) if t[:k] in pieces for rest in all_splits(t[k:], pieces)) if t else iter([[]])
 
 
-def test_expected_uses_equal_the_sum_over_all_splits():
+@pytest.mark.parametrize("short", [0, 32])
+def test_expected_uses_equal_the_sum_over_all_splits(monkeypatch, short):
+    monkeypatch.setattr(token_counts, "SHORT", short)
     model = token_counts.Unigram({b"ab": 0, b"a": 5, b"b": 6, b"abc": 9, b"c": 2, b"bc": 1})
     r = random.Random(1)
     tokens = sorted({bytes(r.choice(b"abc") for _ in range(r.randrange(1, 8))) for _ in range(40)})

@@ -7,9 +7,9 @@ depend on what follows it, so pre-tokens come in order and each keeps those of t
 with the one before; backward scores then give the expected uses of each piece.
 
 The best split of a pre-token maximises the sum of its pieces' log-chances (among equals, the split whose
-last piece is longest). Distinct pre-tokens enter a trie, each node gets its forward score once, for all
-that share the prefix, and the node where a pre-token ends stores the number of pieces. A text's count is
-the sum over its pre-tokens.
+last piece is longest). Distinct pre-tokens, in order, enter a trie, each node gets its forward score once,
+for all that share the prefix, and the number of pieces where a pre-token ends is stored. A text's count
+is the sum over its pre-tokens.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import Memo, pretokens
+from millrace.llm.bpe import pretokens
 from millrace.llm.common import id_and_text, stage
 
 #: Rounds of expectation-maximisation.
@@ -37,8 +37,8 @@ ROUNDS = 2
 FLOOR = 0.01
 #: Texts whose pre-tokens are stored together.
 TEXTS = 2_000
-#: Pre-tokens whose counts a worker remembers, about: twice as many at most.
-REMEMBERED = 300_000
+#: Pre-tokens whose counts a worker remembers, and those of TEXTS texts beyond.
+REMEMBERED = 600_000
 #: Bytes of a pre-token up to which chances are multiplied as they are; beyond, as logarithms.
 SHORT = 32
 
@@ -122,51 +122,54 @@ def _expected_uses_by_logarithms(model: Unigram, token: bytes, times: int, uses:
 
 
 class Trie:
-    """Forward scores and numbers of pieces of all prefixes inserted of late. When it has grown to
-    `nodes`, it starts anew: that bounds memory and changes no count."""
+    """The trie of pre-tokens, walked along the path to the one at hand: each node of the path has its
+    forward score and number of pieces, and a pre-token adds nodes where it leaves the path of the one
+    before. In order, each prefix that several share is scored once; in any order, counts are the same."""
 
-    def __init__(self, model: Unigram, nodes: int = 400_000) -> None:
-        self.model, self.nodes = model, nodes
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.best: list[float] = [0.0]
-        self.pieces: list[int] = [0]
+    def __init__(self, model: Unigram) -> None:
+        self.score, self.longest = model.score, model.longest
+        self.path, self.best, self.pieces = b"", [0.0], [0]
 
     def insert(self, token: bytes) -> int:
         """The number of pieces of the best split of token."""
-        if len(self.best) > self.nodes:
-            self.clear()
-        child, best, pieces, score, longest = self.child, self.best, self.pieces, self.model.score, self.model.longest
-        node, path = 0, [0]
-        for end, byte in enumerate(token, 1):
-            after = child.get(node << 8 | byte)
-            if after is None:
-                found, n = -math.inf, 0
-                for begin in range(max(0, end - longest), end):
-                    s = score.get(token[begin:end])
-                    if s is not None and best[path[begin]] + s > found:
-                        found, n = best[path[begin]] + s, pieces[path[begin]] + 1
-                after = child[node << 8 | byte] = len(best)
-                best.append(found)
-                pieces.append(n)
-            node = after
-            path.append(node)
-        return pieces[node]
-
-
-#: The counts of the model that a worker used last, by the model's name.
-_COUNTED: dict[str, Memo] = {}
-
-
-def _counted(name: str, model: Unigram) -> Memo:
-    """pre-token -> its count; kept by a worker from task to task."""
-    if name not in _COUNTED:
-        _COUNTED.clear()
-        trie = Trie(model)
-        _COUNTED[name] = Memo(lambda token: trie.insert(token.encode()), REMEMBERED)
-    return _COUNTED[name]
+        best, pieces, get, longest = self.best, self.pieces, self.score.get, self.longest
+        shared = 0
+        for a, b in zip(self.path, token, strict=False):
+            if a != b:
+                break
+            shared += 1
+        del best[shared + 1 :], pieces[shared + 1 :]
+        self.path = token
+        for end in range(shared + 1, len(token) + 1):
+            found, n = -math.inf, 0
+            for begin in range(end - longest if end > longest else 0, end):
+                s = get(token[begin:end])
+                if s is not None and best[begin] + s > found:
+                    found, n = best[begin] + s, pieces[begin] + 1
+            best.append(found)
+            pieces.append(n)
+        return pieces[-1]
+
+    def counts(self, tokens: Iterable[str], known: dict[str, int]) -> list[int]:
+        """Of each token the number of pieces; known has those met before, and gets the others."""
+        tokens = list(tokens)
+        new = sorted(t.encode() for t in tokens if t not in known)
+        known.update(zip((t.decode() for t in new), map(self.insert, new), strict=True))
+        return [known[t] for t in tokens]
+
+
+#: The trie of the model that a worker used last, by the model's name, and the counts that it remembers.
+_LAST: dict[str, tuple[Trie, dict[str, int]]] = {}
+
+
+def _walker(name: str, model: Unigram) -> tuple[Trie, dict[str, int]]:
+    """Kept by a worker from task to task. What is remembered starts anew when it has grown too large."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Trie(model), {}
+    if len(_LAST[name][1]) > REMEMBERED:
+        _LAST[name][1].clear()
+    return _LAST[name]
 
 
 def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,12 +183,13 @@ def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)
-                index: dict[str, int] = {}
+                index: defaultdict[str, int] = defaultdict()
+                index.default_factory = index.__len__  # a new pre-token gets the next number
                 parts, places = [], []
                 for text in batch.column("text"):
                     found = pretokens(text.as_py() or "")
                     parts.append(len(found))
-                    places.append(np.fromiter((index.setdefault(t, len(index)) for t in found), np.int32, len(found)))
+                    places.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
                 flat = np.concatenate(places)
                 one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
                 ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
@@ -226,12 +230,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n_pretokens long, n_tokens long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look_up = _counted(name, shared.value).__getitem__
         for batch in batches:
             ids, parts = batch.column("docs"), batch.column("parts")
             for k, (tokens, places) in enumerate(zip(batch.column("tokens").to_pylist(), batch.column("places").to_pylist(), strict=True)):
                 n = parts[k].values.to_numpy()
-                pieces = np.fromiter(map(look_up, tokens), np.int64, len(tokens))[np.frombuffer(zlib.decompress(places), np.int32)] if tokens else np.zeros(0, np.int64)
+                trie, known = _walker(name, shared.value)
+                pieces = np.array(trie.counts(tokens, known), np.int64)[np.frombuffer(zlib.decompress(places), np.int32)]
                 total = np.concatenate([[0], np.cumsum(pieces)])
                 end = np.cumsum(n, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([ids[k].values, pa.array(n.astype(np.int64)), pa.array(total[end] - total[end - n])], schema.names)

@@ -36,7 +36,7 @@ def test_query_equals_brute_force(spark, tmp_path):
 
 def test_best_split_beats_all_splits():
     model = token_counts.Unigram({b"ab": 0, b"a": 5, b"b": 6, b"abc": 9, b"c": 2, b"bc": 1})
-    trie = token_counts.Trie(model, nodes=5)
+    trie = token_counts.Trie(model)
     r = random.Random(0)
     for _ in range(300):
         token = bytes(r.choice(b"abcd") for _ in range(r.randrange(9)))

@@ -42,3 +42,12 @@ def logger(name: str = "millrace", level: int | str = "INFO") -> logging.Logger:
         handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
         found.addHandler(handler)
     return found
+
+
+def deduplicated(rows: Iterable[Mapping[str, object]], key: str) -> list[Mapping[str, object]]:
+    """The first of the rows of each value of key, in their order; for lists on the driver. Rows without
+    the key are of one value. Tables go through millrace.operators.dedup."""
+    first: dict[object, Mapping[str, object]] = {}
+    for row in rows:
+        first.setdefault(row.get(key), row)
+    return list(first.values())

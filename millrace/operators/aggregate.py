@@ -19,8 +19,8 @@ FUNCTIONS: dict[str, Callable[[Column], Column]] = {
     "max": F.max,
     "stddev": F.stddev_samp,
     "variance": F.var_samp,
-    "first": F.first,
-    "last": F.last,
+    "first": F.min,  # without an order; see _ordered
+    "last": F.max,
     "collect_list": lambda c: F.sort_array(F.collect_list(c)),
     "collect_set": lambda c: F.sort_array(F.collect_set(c)),
     "count_distinct": F.count_distinct,
@@ -35,10 +35,11 @@ def _function(name: str) -> Callable[[Column], Column]:
 
 
 def _ordered(name: str, order: Sequence[str]) -> Callable[[Column], Column]:
-    """first and last by an order are deterministic."""
-    if order and name in ("first", "last"):
-        by = F.struct(*order)
-        return lambda c: (F.min_by if name == "first" else F.max_by)(c, by)
+    """first and last go by an order; without one by the value itself, so that they do not depend on how the
+    rows lie."""
+    if name in ("first", "last"):
+        take = F.min_by if name == "first" else F.max_by
+        return lambda c: take(c, F.struct(*order, c))
     return _function(name)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side is broadcast by broadcast_if_small.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of both sides that an as-of join sorts as one slice of time.
+SLICE_BYTES = 256 << 20
 
 
 def equi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
@@ -48,12 +50,15 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     One shuffle: both sides meet in one sorted stream for each key, and the last right row is carried
     forward. Of right rows of one time the greatest columns count. With every, a key's stream is cut
     into slices of so many seconds (or units of a numeric time), so a key with many rows is shared out;
-    each slice begins with the last right row of those before it."""
+    each slice begins with the last right row of those before it. Without, sides of more than
+    SLICE_BYTES, as the optimizer estimates them, are cut into slices of about that size."""
     values = F.struct(F.col(right_ts).alias(f"{prefix}{right_ts}"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
     row = F.struct(*[F.col(c) for c in left.columns])
     none = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
     kind = right.schema[right_ts].dataType
     at = F.col("_t").cast("timestamp").cast("double") if kind.typeName() in ("timestamp", "timestamp_ntz", "date") else F.col("_t").cast("double")
+    if every is None:
+        every = _slice_length(left, left_ts, right, right_ts)
     slot = F.floor(at / every) if every else F.lit(0).cast("long")
     r = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), values.alias("_right")).withColumn("_slot", slot)
     l = left.select(F.col(key).alias("_k"), F.col(left_ts).cast(kind).alias("_t"), F.lit(1).alias("_side"), row.alias("_left")).withColumn("_slot", slot)  # noqa: E741
@@ -68,9 +73,23 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     return both.withColumn("_last", F.last("_right", ignorenulls=True).over(w)).filter("_side = 1").select("_left.*", "_last.*")
 
 
+def _slice_length(left: DataFrame, left_ts: str, right: DataFrame, right_ts: str) -> float | None:
+    """Time that makes a slice of all rows about SLICE_BYTES; None if one slice is enough."""
+    slices = (estimated_bytes(left) + estimated_bytes(right)) // SLICE_BYTES
+    if slices < 1:
+        return None
+    seconds = lambda df, c: F.col(c).cast("timestamp").cast("double") if df.schema[c].dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else F.col(c).cast("double")
+    ends = [df.agg(F.min(seconds(df, c)), F.max(seconds(df, c))).first() for df, c in ((left, left_ts), (right, right_ts))]
+    known = [v for e in ends for v in e if v is not None]
+    return (max(known) - min(known)) / (slices + 1) or None if known else None
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket: float, how: str = "inner") -> DataFrame:
     """Points in [low, high] by equality of buckets: each range enters every bucket it touches, each
-    point its own. Choose bucket near the usual length of a range."""
+    point its own. Choose bucket near the usual length of a range. how keeps points or only pairs (inner,
+    left, left_semi, left_anti): a range stands in several buckets, so those of its own kind cannot be kept."""
+    if how.replace("_", "").replace("outer", "") not in ("inner", "left", "leftsemi", "semi", "leftanti", "anti"):
+        raise ValueError(f"a range join cannot be {how!r}")
     p = points.withColumn("_bucket", F.floor(F.col(point) / bucket).cast("long"))
     touched = F.sequence(F.floor(F.col(low) / bucket).cast("long"), F.floor(F.col(high) / bucket).cast("long"))
     r = ranges.filter(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(touched))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import masks
+from millrace.storage import staged
 
 log = logging.getLogger(__name__)
 
@@ -94,13 +95,14 @@ def grow_vault(values: DataFrame, column: str, vault: DataFrame | None = None, p
     """value, token, number: the vault with tokens PREFIX_00000001, ... for values that it has not yet.
 
     Numbers go on in the order of values. They are dealt out by ranges: rows of each range are
-    counted, and a range's numbers start behind those before it, so no task sees all values."""
+    counted, and a range's numbers start behind those before it, so no task sees all values. What is
+    counted and what is numbered are the same rows, written to the shared folder between."""
     new = values.select(F.col(column).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
     last = 0
     if vault is not None:
         new = new.join(vault, "value", "left_anti")
         last = vault.agg(F.max("number")).first()[0] or 0
-    ranged = new.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
+    ranged = staged(new.repartitionByRange("value").withColumn("_part", F.spark_partition_id()), "vault")  # ranges are drawn once
     counts = ranged.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))

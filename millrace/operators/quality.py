@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from millrace.operators.project import sort_key
 
 FAILED = "_failed_rules"
+#: Parts of the rows of one value of a UNIQUE column.
+SALTS = 64
 
 
 class Kind(Enum):
@@ -67,8 +69,7 @@ class Rule:
             case Kind.LENGTH:
                 return between(F.length(c), p.get("min_length"), p.get("max_length"))
             case Kind.UNIQUE:
-                order = [sort_key(o) for o in p.get("order", [])] or [F.lit(1)]
-                return F.row_number().over(Window.partitionBy(self.column).orderBy(*order)) == 1
+                raise ValueError("uniqueness is no condition of one row; evaluate() sees to it")
         check: str | Callable[[Column], Column] = p["check"]
         return F.expr(check) if isinstance(check, str) else check(c)
 
@@ -78,11 +79,31 @@ class Rule:
 
 
 def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """df with _failed_rules: names of the error rules a row fails, in order; and _warnings likewise."""
+    """df with _failed_rules: names of the error rules a row fails, in order; and _warnings likewise.
+
+    Of rows with one value of a UNIQUE column the first passes, by the rule's order and then by the whole
+    row; null is a value."""
+    columns = df.columns
     # a rule over a window cannot stand inside an array, so all come as columns first
-    flags = {f"_rule_{i}": ~r.passes() for i, r in enumerate(rules)}
+    flags = {f"_rule_{i}": ~r.passes() for i, r in enumerate(rules) if r.kind is not Kind.UNIQUE}
+    unique = [(f"_rule_{i}", r) for i, r in enumerate(rules) if r.kind is Kind.UNIQUE]
+    for name, rule in unique:
+        df = _repeats(df, rule, columns, name)
+    names = [f"_rule_{i}" for i in range(len(rules))]
     named = lambda severity: F.array_compact(F.array(*[F.when(F.col(f"_rule_{i}"), r.name) for i, r in enumerate(rules) if r.severity == severity])).cast("array<string>")
-    return df.select("*", *[c.alias(n) for n, c in flags.items()]).withColumns({FAILED: named("error"), "_warnings": named("warning")}).drop(*flags)
+    return df.select("*", *[c.alias(n) for n, c in flags.items()]).withColumns({FAILED: named("error"), "_warnings": named("warning")}).drop(*names)
+
+
+def _repeats(df: DataFrame, rule: Rule, columns: Sequence[str], name: str) -> DataFrame:
+    """df with a flag: another row of this value comes first. The rows of a value are shared out by a salt;
+    the first of each salt then meet, so that no task sees all rows of a frequent value."""
+    plain = [F.col(f"`{c}`") for c in columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
+    order = [*[sort_key(o) for o in rule.params.get("order", [])], F.xxhash64(*plain)]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    first = salted.withColumn("_first", F.row_number().over(Window.partitionBy(rule.column, "_salt").orderBy(*order)) == 1)
+    met = first.withColumn("_meets", F.when(F.col("_first"), -1).otherwise(F.col("_salt")))
+    rank = F.row_number().over(Window.partitionBy(rule.column, "_meets").orderBy(*order))
+    return met.withColumn(name, ~(F.col("_first") & (rank == 1))).drop("_salt", "_first", "_meets")
 
 
 def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:

@@ -67,7 +67,9 @@ def json_to_kafka_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT c_custkey, lower(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS name
+    """SELECT c_custkey, lower(array_to_string(list_transform(range(1, length(name) + 1), lambda k: CASE
+    WHEN k > 1 AND name[k] BETWEEN 'A' AND 'Z' AND (name[k - 1] BETWEEN 'a' AND 'z' OR name[k - 1] BETWEEN '0' AND '9' OR (k < length(name) AND name[k + 1] BETWEEN 'a' AND 'z'))
+    THEN '_' || name[k] ELSE name[k] END), '')) AS name
     FROM (SELECT c_custkey, replace(c_name, '#', 'HTTPCode') || 'EndOf' AS name FROM customer)"""
 )
 def snake_case_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,32 +6,30 @@ import json
 import logging
 import time
 from collections.abc import Callable, Mapping
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import SparkSession
 
 from millrace.plans.spec import PipelineSpec
 from millrace.retry import retried
+from millrace.storage import read_text, write_text
 
 log = logging.getLogger(__name__)
 
 
 class State:
-    """A JSON file for each pipeline, replaced as a whole; without a folder nothing is kept."""
+    """A JSON file for each pipeline on any file system that Spark can write, replaced as a whole; without a
+    folder nothing is kept."""
 
-    def __init__(self, folder: str | None, pipeline_id: str) -> None:
-        self.file = Path(folder) / f"{pipeline_id}.json" if folder else None
+    def __init__(self, spark: SparkSession, folder: str | None, pipeline_id: str) -> None:
+        self.spark, self.file = spark, f"{folder.rstrip('/')}/{pipeline_id}.json" if folder else None
 
     def load(self) -> dict[str, Any]:
-        return json.loads(self.file.read_text(encoding="utf-8")) if self.file and self.file.exists() else {}
+        return json.loads(read_text(self.spark, self.file) or "{}") if self.file else {}
 
     def save(self, **entries: Any) -> None:
         if self.file:
-            self.file.parent.mkdir(parents=True, exist_ok=True)
-            fresh = self.file.with_suffix(".new")
-            fresh.write_text(json.dumps(self.load() | entries, default=str), encoding="utf-8")
-            fresh.replace(self.file)
+            write_text(self.spark, self.file, json.dumps(self.load() | entries, default=str))
 
 
 class Runner:
@@ -48,13 +46,19 @@ class Runner:
     def _run(self, spec: PipelineSpec) -> dict[str, Any]:
         raise NotImplementedError
 
+    @staticmethod
+    def repeatable(spec: PipelineSpec) -> bool:
+        """Whether a run that failed half-way can be run again as a whole: not if it appends."""
+        return spec.mode != "batch" or spec.target.get("mode", "append") in ("overwrite", "merge", "ignore") or bool(spec.target.get("replace_where"))
+
     def run(self, config: PipelineSpec | Mapping[str, Any]) -> dict[str, Any]:
         """Metrics with pipeline_id, status, seconds, rows and rows_per_second. An error is raised
-        after the callbacks have seen it; errors of callbacks are logged."""
+        after the callbacks have seen it; errors of callbacks are logged. Runs that append are not tried
+        again; their sinks retry what is safe to repeat."""
         spec = config if isinstance(config, PipelineSpec) else PipelineSpec.of(config)
         began, metrics = time.monotonic(), {"pipeline_id": spec.pipeline_id, "status": "success", "rows": 0}
         try:
-            metrics |= retried(lambda: self._run(spec), spec.max_retries, spec.retry_delay)
+            metrics |= retried(lambda: self._run(spec), spec.max_retries if self.repeatable(spec) else 0, spec.retry_delay)
         except Exception as e:
             metrics |= {"status": "failed", "error": str(e)}
             raise

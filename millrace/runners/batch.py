@@ -27,7 +27,7 @@ class BatchRunner(Runner):
         if spec.provenance:
             df = with_provenance(df, spec.pipeline_id)
         written = sink_for(self.spark, spec.target).write(df)
-        state = State(spec.state_path, spec.pipeline_id)
+        state = State(self.spark, spec.state_path, spec.pipeline_id)
         runs = state.load().get("runs", 0) + 1
         if spec.optimize_every and runs % spec.optimize_every == 0 and spec.target.get("type", "table") in ("table", "delta"):
             store = TableStore(self.spark, spec.target["path"])

@@ -57,7 +57,7 @@ class IncrementalRunner(Runner):
     def _run(self, spec: PipelineSpec) -> dict[str, Any]:
         inc = spec.incremental
         column, keys = inc["watermark_column"], inc["keys"]
-        store, state = TableStore(self.spark, spec.target["path"]), State(spec.state_path, spec.pipeline_id)
+        store, state = TableStore(self.spark, spec.target["path"]), State(self.spark, spec.state_path, spec.pipeline_id)
         last = state.load().get("watermark")
         if last is None and store.exists() and column in (have := store.read()).columns:
             found = have.agg(F.max(column).cast("string")).first()[0]

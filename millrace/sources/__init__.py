@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.sources import files, jdbc, kafka, rest
+from millrace.sources import files, jdbc, kafka, kinesis, rest
 
 REGISTRY: dict[str, Callable[[SparkSession, Mapping[str, Any]], DataFrame]] = {
     "file": files.read,
@@ -39,4 +39,8 @@ def read_stream(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
         return kafka.read_stream(spark, spec)
     if kind == "file":
         return files.read_stream(spark, spec)
-    raise ValueError(f"unknown stream source {kind!r}; kafka or file")
+    if kind == "kinesis":
+        return kinesis.read_stream(spark, spec)
+    if kind == "rate":
+        return spark.readStream.format("rate").options(**spec.get("options", {})).load()
+    raise ValueError(f"unknown stream source {kind!r}; kafka, kinesis, file or rate")

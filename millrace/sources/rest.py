@@ -97,7 +97,8 @@ class RestReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for document in pages(self.spec | {"url": partition.value}):
             for record in records_of(document, self.spec.get("records_path")):
-                yield tuple(self._value(record.get(f.name), f.dataType.typeName()) for f in self.schema)
+                named = record if isinstance(record, dict) else {self.schema[0].name: record}  # a bare value is the first column
+                yield tuple(self._value(named.get(f.name), f.dataType.typeName()) for f in self.schema)
 
     @staticmethod
     def _value(value: Any, kind: str) -> Any:

@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from millrace.sinks.kafka import KafkaSink
 from millrace.sources import read_stream
-from millrace.streaming.ops import transform
+from millrace.streaming.ops import split_steps, transform
 from millrace.tables.store import TableStore
 
 
@@ -42,22 +43,30 @@ def to_table(df: DataFrame, path: str, query_name: str, merge_keys: Sequence[str
 
 
 def start(spark: SparkSession, spec: Mapping[str, Any]) -> StreamingQuery:
-    """A spec {pipeline_id, source, transforms, target {type: table|file|memory|console, path, ...},
-    output_mode, trigger, checkpoint_location}; runs until it is stopped or has nothing left."""
+    """A spec {pipeline_id, source, transforms, target {type: table|file|kafka|memory|console, path, ...},
+    output_mode, trigger, checkpoint_location}; runs until it is stopped or has nothing left.
+
+    Steps that need whole batches, and those behind them, run on each batch before it is committed to
+    a table; other targets cannot have them."""
     name, target, mode = spec["pipeline_id"], spec["target"], spec.get("output_mode", "append")
-    df = transform(read_stream(spark, spec["source"]), spec.get("transforms", []))
-    if mode == "append" and any(s.get("type") == "aggregate" for s in spec.get("transforms", [])) and not any(s.get("type") == "watermark" for s in spec.get("transforms", [])):
+    steps, later = split_steps(spec.get("transforms", []))
+    df = transform(read_stream(spark, spec["source"]), steps)
+    if mode == "append" and any(s.get("type") in ("aggregate", "session") for s in steps) and not any(s.get("type") == "watermark" for s in steps):
         raise ValueError("an aggregate in append mode needs a watermark before it")
     kind = target.get("type", "table")
+    if later and kind not in ("table", "delta"):
+        raise ValueError(f"{later[0]['type']} needs whole batches, which only a table takes")
     if kind in ("table", "delta"):
-        writer = to_table(df, target["path"], name, target.get("merge_keys", ()))
+        writer = to_table(df, target["path"], name, target.get("merge_keys", ()), (lambda batch: transform(batch, later)) if later else None)
+    elif kind == "kafka":
+        writer = KafkaSink(spark, target).stream_writer(df)
     elif kind == "file":
         writer = df.writeStream.format(target.get("format", "parquet")).option("path", target["path"])
         writer = writer.partitionBy(*target["partition_by"]) if target.get("partition_by") else writer
     elif kind in ("memory", "console", "noop"):
         writer = df.writeStream.format(kind)
     else:
-        raise ValueError(f"unknown stream target {kind!r}; table, file, memory, console or noop")
+        raise ValueError(f"unknown stream target {kind!r}; table, file, kafka, memory, console or noop")
     writer = writer.outputMode(mode).queryName(name)
     if location := spec.get("checkpoint_location"):
         writer = writer.option("checkpointLocation", f"{location.rstrip('/')}/{name}")

@@ -1,10 +1,11 @@
 """Versioned tables on Parquet: immutable data files, and a manifest file for each version.
 
-A version names the folders and files that make it up. A merge writes anew only the files that hold
-a matched key; the others are named again. A commit creates the file of the next number, which
-fails if another writer has been first, so writers cannot overwrite each other; an append then tries
-the next number, anything else is an error. Readers see a version or do not. Everything goes through
-Spark and Hadoop's file systems, so a table can lie wherever Spark can write.
+A version names the folders and files that make it up. A merge, a replacement and a deletion write anew
+only the files that hold a row in question; the others are named again. A commit gives a manifest that
+is whole the name of the next number, which fails if another writer has been first, so writers cannot
+overwrite each other and readers never meet half a manifest; an append then tries the next number,
+anything else is an error. Everything goes through Spark and Hadoop's file systems, so a table can lie
+wherever Spark can write and a rename can be refused (see millrace.storage).
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators.joins import key_condition
+from millrace.storage import read_text, write_text
 
 
 class ConflictError(RuntimeError):
@@ -36,14 +39,14 @@ class TableStore:
 
     # manifests
 
-    def _log(self, version: int) -> Any:
-        return self._path(f"{self.path}/_manifest/{version:020d}.json")
+    def _log(self, version: int) -> str:
+        return f"{self.path}/_manifest/{version:020d}.json"
 
     def versions(self) -> list[int]:
         folder = self._path(f"{self.path}/_manifest")
         if not self._fs.exists(folder):
             return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json") and not s.getPath().getName().startswith("."))
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -67,11 +70,7 @@ class TableStore:
         raise ValueError(f"no version as early as {timestamp}")
 
     def _load(self, version: int) -> dict:
-        stream = self._fs.open(self._log(version))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return json.loads(read_text(self.spark, self._log(version)))
 
     def _commit(self, entry: dict, retry: bool = False) -> int:
         while True:
@@ -81,17 +80,10 @@ class TableStore:
             if version != entry["base"] + 1:  # an append goes on top of what came in between
                 now = self._load(version - 1)
                 entry = entry | {"base": version - 1, "parts": now["parts"] + entry["added"], "rows": now["rows"] + entry["metrics"]["written"]}
-            try:
-                out = self._fs.create(self._log(version), False)
-            except Exception as e:
-                if "AlreadyExists" not in str(e) and "already exists" not in str(e):
-                    raise
-                if not retry:
-                    raise ConflictError(f"version {version} came in between") from e
-                continue
-            out.write(bytearray(json.dumps(entry | {"version": version, "time": time.time()}).encode()))
-            out.close()
-            return version
+            if write_text(self.spark, self._log(version), json.dumps(entry | {"version": version, "time": time.time()}), overwrite=False):
+                return version
+            if not retry:
+                raise ConflictError(f"version {version} came in between")
 
     # reading
 
@@ -111,22 +103,21 @@ class TableStore:
         return {
             "version": entry["version"],
             "timestamp": datetime.fromtimestamp(entry["time"], timezone.utc),
-            "numFiles": sum(len(self._files(p)) for p in entry["parts"]),
+            "numFiles": len(self._files(*entry["parts"])),
             "sizeInBytes": sum(s.getLength() for s in sizes),
             "partitionColumns": entry["partition_by"],
             "numRows": entry["rows"],
         }
 
-    def _files(self, part: str) -> list[str]:
-        """The data files of a folder or file of a version."""
-        root, found = self._path(f"{self.path}/{part}"), []
-        if not self._fs.exists(root):
-            return []
-        files = self._fs.listFiles(root, True)
-        while files.hasNext():
-            name = files.next().getPath().toString()
-            if name.endswith(".parquet"):
-                found.append("data/part=" + name.partition("/data/part=")[2])
+    def _files(self, *parts: str) -> list[str]:
+        """The data files of folders and files of a version. Spark lists them, many folders at a time by a
+        job, and the names come over in one piece."""
+        there = [p for p in parts if p.endswith(".parquet") or self._fs.exists(self._path(f"{self.path}/{p}"))]
+        found = [p for p in there if p.endswith(".parquet")]
+        if folders := [f"{self.path}/{p}" for p in there if not p.endswith(".parquet")]:
+            listed = self.spark.read.schema("_ int").option("recursiveFileLookup", True).parquet(*folders)._jdf.inputFiles()
+            names = self.spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", listed)
+            found += ["data/part=" + unquote(n.partition("/data/part=")[2]) for n in names.split("\n") if n]
         return found
 
     def history(self, limit: int = 20) -> DataFrame:
@@ -247,37 +238,64 @@ class TableStore:
         if touched is None:
             return self._rewrite(merged, base, "merge", transaction=transaction, schema=schema)
         name, n = self._write(merged, base["partition_by"])
-        rest = [f for p in base["parts"] for f in self._files(p) if f not in set(touched)]
         gone = before.get["n"] if touched else 0
         more: dict[str, Any] = {"metrics": {"written": n, "files_rewritten": len(touched)}}
         if transaction:
             more["transactions"] = base["transactions"] | {transaction[0]: transaction[1]}
-        return self._commit(self._entry(base, "merge", schema, base["partition_by"], [*rest, name], base["rows"] - gone + n, **more))
+        return self._commit(self._entry(base, "merge", schema, base["partition_by"], [*self._without(base, touched), name], base["rows"] - gone + n, **more))
+
+    def _without(self, base: dict, files: Sequence[str]) -> list[str]:
+        """The parts of a version without some files; folders that hold none of them stay folders."""
+        gone, within = set(files), {"/".join(f.split("/")[:2]) for f in files}
+        opened = [p for p in base["parts"] if p in within]
+        rest = [f for f in self._files(*opened) if f not in gone] if opened else []
+        return [p for p in base["parts"] if p not in within and p not in gone] + rest
 
     def _touched(self, base: dict, source: DataFrame, keys: Sequence[str]) -> list[str] | None:
         """The files with a key of the source; None if that is so many that the whole table may as well
         be written anew."""
-        files = [f for p in base["parts"] for f in self._files(p)]
+        files = self._files(*base["parts"])
         if len(files) < 4:
             return None
+        rows = self._named(base).select(*[F.col(f"`{k}`") for k in keys], "_file")
+        found = self._holding(rows.join(source.select(*[F.col(f"`{k}`") for k in keys]), list(keys), "left_semi"))
+        return None if len(found) * 2 > len(files) else found
+
+    def _named(self, base: dict) -> DataFrame:
+        """The rows of a version, with the names of their files as _file."""
         schema = StructType.fromJson(base["schema"])
         named = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/{p}" for p in base["parts"]])
-        rows = named.select(*[F.col(f"`{k}`") for k in keys], F.col("_metadata.file_path").alias("_file"))
-        hit = rows.join(source.select(*[F.col(f"`{k}`") for k in keys]), list(keys), "left_semi").select("_file").distinct().collect()  # names of files
-        found = ["data/part=" + r["_file"].partition("/data/part=")[2] for r in hit]
-        return None if len(found) * 2 > len(files) else found
+        return named.select(*[F.col(f"`{f.name}`") for f in schema], F.col("_metadata.file_path").alias("_file"))
+
+    @staticmethod
+    def _holding(rows: DataFrame) -> list[str]:
+        """The files that rows come from."""
+        return ["data/part=" + unquote(r["_file"].partition("/data/part=")[2]) for r in rows.select("_file").distinct().collect()]
+
+    def _remove(self, condition: str, operation: str, fresh: DataFrame | None = None) -> int:
+        """Removes the rows that meet the condition and adds fresh ones. Only files with such rows are
+        written anew; filters on partitions and column statistics spare the scan of most others."""
+        base = self.manifest()
+        meets = F.coalesce(F.expr(condition), F.lit(False))
+        touched = self._holding(self._named(base).filter(F.expr(condition))) if base["parts"] else []
+        schema = StructType.fromJson(base["schema"])
+        before = Observation()
+        target = self._frame(base | {"parts": touched}).observe(before, F.count(F.lit(1)).alias("n"))
+        kept = target.filter(~meets)
+        made = kept if fresh is None else kept.unionByName(fresh.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]))
+        name, n = self._write(made, base["partition_by"])
+        gone = before.get["n"] if touched else 0
+        more = {"metrics": {"written": n, "files_rewritten": len(touched)}}
+        return self._commit(self._entry(base, operation, schema, base["partition_by"], [*self._without(base, touched), name], base["rows"] - gone + n, **more))
 
     def replace_where(self, df: DataFrame, condition: str) -> int:
         """Replaces the rows that meet the condition; new rows that do not meet it are an error."""
         if df.filter(~F.coalesce(F.expr(condition), F.lit(False))).limit(1).count():
             raise ValueError(f"rows outside {condition}")
-        base = self.manifest()
-        rest = self._frame(base).filter(~F.coalesce(F.expr(condition), F.lit(False)))
-        return self._rewrite(rest.unionByName(df), base, "replace")
+        return self._remove(condition, "replace", df)
 
     def delete_where(self, condition: str) -> int:
-        base = self.manifest()
-        return self._rewrite(self._frame(base).filter(~F.coalesce(F.expr(condition), F.lit(False))), base, "delete")
+        return self._remove(condition, "delete")
 
     def restore(self, version: int) -> int:
         """A new version with the rows of an old one; no data is written."""
@@ -297,21 +315,39 @@ class TableStore:
         return self._rewrite(df, base, "optimize", {"z_order": list(z_order)})
 
     def vacuum(self, hours: float = 168.0) -> list[str]:
-        """Deletes data files that no version of the last hours uses, and manifests of older ones that
-        did. Returns the files."""
+        """Deletes data files that no version of the last hours uses, manifests of older ones that did, and
+        what writes that failed have left since before then. Returns the files. With hours shorter than a
+        write takes, what is being written goes too."""
         known, limit = self.versions(), time.time() - hours * 3600
         entries = {v: self._load(v) for v in known}
         kept = {v for v in known if v == known[-1] or entries[v]["time"] >= limit}
-        listed = {p: set(self._files(p)) for p in {p for e in entries.values() for p in e["parts"]}}
-        files = {v: {f for p in entries[v]["parts"] for f in listed[p]} for v in known}
+        every = self._files(*{p for e in entries.values() for p in e["parts"]})
+        inside: dict[str, set[str]] = {}
+        for f in every:
+            inside.setdefault("/".join(f.split("/")[:2]), set()).add(f)
+        files = {v: {f for p in entries[v]["parts"] for f in ([p] if p.endswith(".parquet") else inside.get(p, ()))} for v in known}
         used = {f for v in kept for f in files[v]}
         gone = sorted({f for v in known for f in files[v]} - used)
         for f in gone:
             self._fs.delete(self._path(f"{self.path}/{f}"), False)
         for v in known:
             if v not in kept and not files[v] <= used:
-                self._fs.delete(self._log(v), False)
-        return gone
+                self._fs.delete(self._path(self._log(v)), False)
+        return gone + self._orphans({"/".join(p.split("/")[:2]) for e in entries.values() for p in e["parts"]}, limit)
+
+    def _orphans(self, named: set[str], limit: float) -> list[str]:
+        """Deletes folders of data, and manifests without a version, that no version names and that are older
+        than the limit."""
+        found = []
+        for folder in ("data", "_manifest"):
+            root = self._path(f"{self.path}/{folder}")
+            for s in self._fs.listStatus(root) if self._fs.exists(root) else []:
+                name = f"{folder}/{s.getPath().getName()}"
+                stray = name not in named if folder == "data" else s.getPath().getName().startswith(".") and not name.endswith(".crc")
+                if stray and s.getModificationTime() / 1000 < limit:
+                    self._fs.delete(s.getPath(), True)
+                    found.append(name)
+        return found
 
 
 def _interleaved(df: DataFrame, columns: Sequence[str], bits: int = 10) -> Column:

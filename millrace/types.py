@@ -60,14 +60,27 @@ def spark_type(name: str, dialect: str = "postgresql", precision: int | None = N
     base, p, s = parse_type(name)
     p, s = (p if p is not None else precision), (s if s is not None else scale)
     if base == "NUMBER" and dialect == "oracle":
-        if s:
-            return T.DecimalType(min(p or 38, 38), s)
-        return T.IntegerType() if p is not None and p <= 10 else T.LongType()
+        return _number(p, s)
     if base in ("DECIMAL", "NUMERIC"):
         return T.DecimalType(min(p if p is not None else 38, 38), s or 0)
     return TYPES.get(dialect, TYPES["postgresql"]).get(base, T.StringType())
 
 
+#: Digits that always fit a type of whole numbers.
+_WHOLE = ((9, T.IntegerType()), (18, T.LongType()))
+
+
+def _number(digits: int | None, scale: int | None) -> T.DataType:
+    """The narrowest type that holds every NUMBER(digits, scale). A negative scale stands for more digits
+    before the point; without digits any number may come, so half of a decimal's 38 are behind it."""
+    if digits is None:
+        return T.DecimalType(38, 18)
+    if scale is not None and scale > 0:
+        return T.DecimalType(min(38, max(digits, scale)), min(38, scale))
+    whole = digits - (scale or 0)
+    return next((kind for most, kind in _WHOLE if whole <= most), T.DecimalType(min(38, whole), 0))
+
+
 def ddl_type(kind: T.DataType) -> str:
     """The name of a Spark type in Spark SQL."""
     return kind.simpleString().upper()
@@ -153,12 +166,22 @@ def sql_types(types: Mapping[str, str]) -> dict[str, str]:
     return {k: names.get(v, "STRING") for k, v in types.items()}
 
 
-def create_table(table: Table, location: str | None = None, dialect: str = "postgresql", provider: str = "PARQUET") -> str:
-    """Spark SQL that creates the table. The first column named for a creation, an update or a date
-    partitions it by year, as a column <name>_year that writers fill."""
+# What the name of a column says that a table can be partitioned by.
+DATED = ("created", "updated", "date")
+
+
+def dated_column(struct: T.StructType) -> str | None:
+    """The first date or time whose name tells that it dates the row; None without one."""
+    times = {f.name: f.name.lower() for f in struct if f.dataType.typeName() in ("date", "timestamp")}
+    return next(iter([name for name, low in times.items() if any(map(low.__contains__, DATED))]), None)
+
+
+def create_table(table: Table, location: str | None = None, dialect: str = "postgresql", provider: str = "PARQUET", by_year_of: str | None = None) -> str:
+    """Spark SQL that creates the table, partitioned by the year of by_year_of or else of dated_column, as
+    a column <name>_year that writers fill."""
     struct = table.struct(dialect)
     lines = [f"  `{f.name}` {ddl_type(f.dataType)}{'' if f.nullable else ' NOT NULL'}" for f in struct]
-    dated = next((f.name for f in struct if any(w in f.name.lower() for w in ("created", "updated", "date")) and isinstance(f.dataType, T.DateType | T.TimestampType)), None)
+    dated = by_year_of or dated_column(struct)
     if dated:
         lines.append(f"  `{dated}_year` INT")
     out = f"CREATE TABLE IF NOT EXISTS `{table.name}` (\n" + ",\n".join(lines) + f"\n) USING {provider}"

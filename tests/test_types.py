@@ -18,9 +18,14 @@ from millrace.plans.codegen import bundle
         ("INTERVAL", "postgresql", T.StringType()),
         ("TINYINT(1)", "mysql", T.ByteType()),
         ("DATETIME", "mysql", T.TimestampType()),
-        ("NUMBER", "oracle", T.LongType()),
+        ("NUMBER", "oracle", T.DecimalType(38, 18)),
         ("NUMBER(9)", "oracle", T.IntegerType()),
-        ("NUMBER(19,0)", "oracle", T.LongType()),
+        ("NUMBER(10)", "oracle", T.LongType()),
+        ("NUMBER(18,0)", "oracle", T.LongType()),
+        ("NUMBER(19,0)", "oracle", T.DecimalType(19, 0)),
+        ("NUMBER(38)", "oracle", T.DecimalType(38, 0)),
+        ("NUMBER(7,-3)", "oracle", T.LongType()),
+        ("NUMBER(2,5)", "oracle", T.DecimalType(5, 5)),
         ("NUMBER(12,3)", "oracle", T.DecimalType(12, 3)),
         ("DATE", "oracle", T.TimestampType()),
         ("RAW(16)", "oracle", T.BinaryType()),

@@ -74,6 +74,28 @@ def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Open lists of what is staged.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def listed_stages() -> Iterator[list[str]]:
+    """The paths of all tables that are staged while the block runs, in order."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+
+
+def drop_stages(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later jobs start from these files, so a
     lost executor costs a re-read and not the whole lineage. The job's shuffle files go when it ends."""
@@ -81,6 +103,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stage/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with _shuffles_end_with_the_job(spark):
         df.write.option("compression", "zstd").parquet(path)
+    for made in _MADE:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

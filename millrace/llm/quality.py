@@ -168,10 +168,13 @@ def fit(counted: DataFrame, rules: Sequence[Rule]) -> Model:
     return expectation_maximisation(dict(sorted((tuple(r[:-1]), r["_n"]) for r in rows)), len(rules))
 
 
+def _base_failed(min_words: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judged(counted: DataFrame, rules: Sequence[Rule], model: Model, min_words: int = 50) -> DataFrame:
     """counted with base_failed, p_good and kept."""
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumns({"base_failed": base, "p_good": model.posterior([r.vote() for r in rules])}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+    return counted.withColumns({"base_failed": _base_failed(min_words), "p_good": model.posterior([r.vote() for r in rules])}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] | None = None, min_words: int = 50) -> DataFrame:
@@ -186,10 +189,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, min_words: int = 50) -> DataFrame:
-    """The rows of docs that are kept, with their columns as they were. Nothing is shuffled or
-    stored but the vote counts; the second pass counts each text anew."""
+    """The rows of docs that are kept, with their columns as they were. Nothing is shuffled but the vote
+    counts. Each text is counted once: the counts are staged, and with them the rows that pass the base."""
     rules = rules or default_rules()
-    slim = with_counts(docs.select(column(text_col).alias("text"))).drop("text")
-    model = fit(slim, rules)
     nested = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(text_col).alias("text"))
-    return judged(with_counts(nested), rules, model, min_words).filter("kept").select("row.*")
+    counted = with_counts(nested).drop("text")
+    counted = stage(counted.withColumn("row", F.when(~_base_failed(min_words), F.col("row"))), "quality")
+    return judged(counted, rules, fit(counted, rules), min_words).filter("kept").select("row.*")

@@ -83,7 +83,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         _sha256(F.array_join("items", ",")).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (hit > 0).alias("contaminated"),
     )
 
 

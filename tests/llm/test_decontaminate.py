@@ -38,12 +38,13 @@ def brute(values, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 20])
-def test_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("most", "hot"), [(decontaminate.BROADCAST_WORDS, 0), (20, decontaminate.HOT_ROWS), (20, 3)])
+def test_equals_brute_force(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", hot)
     values = texts()
     items = items_for(values)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(documents(spark), bench, block_words=block).collect()
+    got = decontaminate.contamination(documents(spark), bench, broadcast_words=most).collect()
     want = brute(values, items)
     assert len(got) == len(values)
     for r in got:
@@ -62,6 +63,17 @@ def test_query(spark, tmp_path):
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_nulls_repeats_and_carried_columns(spark, most):
+    line = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, "x " + line + " y", 5), (1, "x " + line + " y", 6), (None, line, 7), (2, None, 8), (3, "five six", 9)], "doc_id long, text string, items int")
+    bench = spark.createDataFrame([(None, line), (7, line), (7, line), (8, "five SIX"), (None, None)], "item_id long, text string")
+    got = decontaminate.contamination(docs, bench, broadcast_words=most, carry=True).collect()
+    assert sorted((r["row"]["items"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["ends"], strict=True)), tuple(r["items"])) for r in got) == [(5, 13, 11, ("7", "8")), (6, 13, 11, ("7", "8")), (7, 11, 11, ("7", "8")), (8, 0, 0, ()), (9, 2, 2, ("8",))]
+    alone = decontaminate.contamination(docs, bench.filter("item_id IS NULL"), broadcast_words=most).collect()
+    assert sum(bool(r["starts"]) for r in alone) == 3 and not any(r["items"] for r in alone)
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert decontaminate.contamination(empty(spark), bench).collect() == []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, quality, simhash, suffix
-from millrace.llm.common import stage
+from millrace.llm.common import drop_stages, listed_stages, stage
 from millrace.llm.queries import tokenizer
 
 #: Bytes of a repeated string that stage 3 removes: a passage of over 50 words has 100 bytes at least,
@@ -56,7 +56,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Drops documents with a window of ten words of a benchmark item, or a whole shorter item. Null
     and empty texts have none and stay."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
-    return found.filter(F.size("items") == 0).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return found.filter(F.size("starts") == 0).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,8 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each returns is written as Parquet and read again. What a stage
+    has put aside on its way, and what the one before returned, goes when it is done."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        with listed_stages() as made:
+            docs = stage(apply(spark, docs, sf_dir), name)
+        drop_stages(spark, before + made[:-1])
+        before = made[-1:]
     return docs

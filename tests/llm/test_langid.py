@@ -64,3 +64,37 @@ def test_nothing_to_learn(spark):
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
     one = langid.predictions(docs, langid.fit(docs)).collect()
     assert {r["lang_pred"] for r in one if r["doc_id"] == 0} <= {"en", "und"}
+
+
+def test_scores_equal_a_plain_reference():
+    """Family first, then the language within it, each by the mean of all pairwise probabilities."""
+    r = random.Random(3)
+    langs = np.array([lang for lang in [*PARTS, "it", "nl"] for _ in range(30)])
+    parts = PARTS | {"it": "il e che zione à gli ar re".split(), "nl": "de en van ij sch oe ing aa".split()}
+    text = lambda lang: " ".join(r.choice(parts[lang]) for _ in range(40))
+    model = langid.learn(np.stack([langid.features(text(lang)) for lang in langs.tolist()]), langs)
+
+    def coupled(level, x):
+        chance = {c: 0.0 if len(level.classes) > 1 else 1.0 for c in level.classes}
+        for (i, j), m in level.machines.items():
+            margin = sum(float(a) * float(b) for a, b in zip(x, m.weights, strict=True)) + m.bias
+            p = 1 / (1 + np.exp(-(m.slope * margin + m.offset)))
+            chance[level.classes[i]] += p
+            chance[level.classes[j]] += 1 - p
+        return {c: v / sum(chance.values()) for c, v in chance.items()}
+
+    for lang in parts:
+        for t in (text(lang), text(lang)):
+            families = coupled(model.families, langid.features(t))
+            family = max(families, key=families.get)
+            within = coupled(model.within[family], langid.features(t))
+            best = max(within, key=within.get)
+            got = model.predict(t)
+            assert got[0] == best and abs(got[1] - families[family] * within[best]) < 1e-4
+
+
+def test_every_language_can_be_predicted(spark, monkeypatch):
+    monkeypatch.setattr(langid, "IN_ALL", 4)
+    rows = [(k, f"{chr(97 + k % 9) * 6} {chr(98 + k % 9) * 5}", f"l{k % 9}", "s") for k in range(200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted(c for level in model.within.values() for c in level.classes) == [f"l{k}" for k in range(9)]

@@ -1,5 +1,8 @@
+import os
 import re
 
+import pytest
+
 from millrace.llm import quality
 from millrace.llm.queries import op6_quality_rules
 from tests.llm.fixtures import documents, empty, texts
@@ -64,3 +67,16 @@ def test_empty_table_and_clear_junk(spark):
     junk = [" ".join(f"w{i}{j}%%%" for j in range(80)) for i in range(5)]
     kept = {r["doc_id"]: r["kept"] for r in quality.assess(documents(spark, good + junk)).collect()}
     assert all(kept[i] for i in range(30)) and not any(kept[i] for i in range(30, 35))
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_verdicts_agree_with_the_labels(spark):
+    """Of labelled documents that pass the base nearly all good ones are kept and nearly all bad ones go."""
+    found = quality.assess(spark.read.parquet(f"{DATA}/documents.parquet")).filter("NOT base_failed")
+    seen = found.join(spark.read.parquet(f"{DATA}/labels.parquet").dropna(subset=["quality"]), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in seen}
+    assert n[1, True] > 1000 and n.get((1, False), 0) <= 0.01 * n[1, True]
+    assert n[0, False] > 100 and n.get((0, True), 0) <= 0.01 * n[0, False]

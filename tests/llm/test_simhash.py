@@ -201,3 +201,53 @@ def test_alike_equals_all_pairs():
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).collect() == []
     assert simhash.keep_one(empty(spark)).collect() == []
+
+
+def brute_groups(values, similarity):
+    sets = [shingle_set(t) for t in values]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("sets", [10**6, 7, 2])
+def test_groups_of_many_blocks_equal_all_pairs(spark, monkeypatch, sets):
+    """A template in many versions: most link, some by chains alone, and some are candidates that do not."""
+    monkeypatch.setattr(simhash, "BLOCK_SETS", sets)
+    r = random.Random(14)
+    words = prose(r, 300)
+
+    def version(cut):
+        at = r.randrange(300 - cut) if cut else 0
+        return " ".join(words[:at] + prose(r, cut) + words[at + cut :])
+
+    values = [version(r.choice([0, 5, 10, 30, 45, 60])) for _ in range(60)]
+    rows = {x["doc_id"]: x["group"] for x in simhash.near_duplicates(documents(spark, values), shingle=5, words=8, bits=32, budget=3, max_bits=200, similarity=0.8).collect()}
+    want = brute_groups(values, 0.8)
+    assert 5 < len(set(want)) < 50
+    same = lambda g: [[g[i] == g[j] for j in range(i)] for i in range(len(values))]
+    assert same(rows) == same(want)
+
+
+def test_frequent_keys_are_joined_where_they_lie(spark, monkeypatch):
+    from millrace.llm import common
+
+    left = common.stage(spark.createDataFrame([(k % 5 if k % 7 else None, k) for k in range(200)], "k int, v int"), "left")
+    right = spark.createDataFrame([(k, k * 10) for k in range(4)], "k int, w int")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, left.join(right, "k", how).select("k", "v", "w").collect()))
+        for rows, keys in ((100_000, 10), (20, 10), (20, 0), (0, 10)):
+            monkeypatch.setattr(common, "HOT_ROWS", rows)
+            monkeypatch.setattr(common, "HOT_KEYS", keys)
+            monkeypatch.setattr(common.frequent, "__defaults__", (rows,))
+            assert sorted(map(repr, common.join_one(left, right, "k", how).select("k", "v", "w").collect())) == want

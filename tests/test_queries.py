@@ -55,6 +55,23 @@ def test_entry_without_the_training_data_operators(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+@pytest.mark.parametrize("gone", ["folder", "dependency"])
+def test_entry_survives_with_the_pipeline_in_place(tmp_path, gone):
+    """The llm folder, or something that it needs, is missing, and corpus_pipeline.py is not."""
+    root = Path(__file__).parent.parent
+    if not (root / "corpus_pipeline.py").exists():
+        pytest.skip("no pipeline here")
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns(*(["llm"] if gone == "folder" else []), "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path)
+    if gone == "dependency":
+        (tmp_path / "ahocorasick.py").write_text("raise ImportError('taken away', name='ahocorasick')")
+    code = "import __spark_entry__ as e; assert 'agg_basic' in e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries()); assert e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=False)
+    assert done.returncode == 0, done.stderr
+    assert ("taken away" in done.stderr) == (gone == "dependency")
+
+
 def test_nothing_else_imports_them():
     root = Path(__file__).parent.parent / "millrace"
     for f in root.rglob("*.py"):

@@ -54,7 +54,7 @@ def scan_jdbc_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("K"), F.col("n_name").alias("NAME"))
     sink_for(spark, spec | {"table": "NATIONS", "mode": "overwrite"}).write(df)
     back = read(spark, spec | {"table": "NATIONS", "partition_column": "K", "lower_bound": 0, "upper_bound": 25, "num_partitions": 3, "fetchsize": 10})
-    return back.select(F.col("K").alias("n_nationkey"), F.col("NAME").alias("n_name"))
+    return back.select(F.col("K").cast("int").alias("n_nationkey"), F.col("NAME").alias("n_name"))
 
 
 @query("SELECT * FROM (VALUES ('K', 'BIGINT', true), ('NAME', 'VARCHAR', false)) t(name, kind, key)")
@@ -278,7 +278,7 @@ def udaf_geometric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_size").agg(F.round(made(F.col("p_partkey") + 1.0), 4).alias("mean"))
 
 
-@query("SELECT n_nationkey, i AS at, n_name[i] AS letter FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation)")
+@query("SELECT n_nationkey, CAST(i AS INTEGER) AS at, n_name[i] AS letter FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation)")
 def udtf_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table function of the user's own."""
     register_table_function(spark, "letters", lambda text: enumerate(text, 1), "at int, letter string")

@@ -86,18 +86,38 @@ class Index:
 
     def scan(self, text: bytes, whole: bool) -> tuple[float, str]:
         """The best of all runs of lines, of equals the shortest and first, and of the whole text if it is
-        a licence file. A run that begins or ends with a line without a term is worse than without it."""
-        words, found = words_of(text), (0.0, "")
-        if self.rarity.keys().isdisjoint(words):
-            return found
-        lines = [words_of(line) for line in text.split(b"\n")]
-        shares = [not self.rarity.keys().isdisjoint(line) for line in lines]
-        for size in range(1, LINES + 1):
-            for k in range(len(lines) - size + 1):
-                if shares[k] and shares[k + size - 1]:
-                    run = lines[k] if size == 1 else [w for line in lines[k : k + size] for w in line]
-                    found = max(found, self.best(run, found[0]), key=lambda m: round(m[0], 9))
-        return max(found, self.best(words, found[0]), key=lambda m: round(m[0], 9)) if whole else found
+        a licence file. A run that begins or ends with a line without a term is worse than without it.
+
+        A run with o words of no template has a length of at least the root of o times their rarity
+        squared beside the part of its terms, and that part is at most the sum of their rarities; both
+        sums are had for all runs at once. Runs are scored from the greatest of these bounds down, until
+        no other can reach the best."""
+        rarity, lines = self.rarity, [words_of(line) for line in text.split(b"\n")]
+        shared = [[rarity[w] for w in line if w in rarity] for line in lines]
+        n = len(lines)
+        if not any(shared):
+            return 0.0, ""
+        terms = np.concatenate([[0.0], np.cumsum([sum(x) for x in shared])])
+        others = np.concatenate([[0], np.cumsum([len(line) - len(x) for line, x in zip(lines, shared, strict=True)])])
+        some = np.fromiter(map(bool, shared), bool, n)
+        runs = []
+        for size in range(1, min(LINES, n) + 1):
+            at = np.nonzero(some[: n - size + 1] & some[size - 1 :])[0]
+            part = (terms[at + size] - terms[at]) ** 2
+            runs.append((np.sqrt(part / (part + self.other**2 * (others[at + size] - others[at]))), np.full(len(at), size), at))
+        bound, size, first = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order = np.argsort(-bound, kind="stable")
+        found, best = (0.0, ""), (0.0, 0, 0)
+        for b, s, k in zip(bound[order].tolist(), size[order].tolist(), first[order].tolist(), strict=True):
+            if b < found[0] - 1e-6:
+                break
+            one = self.best(lines[k] if s == 1 else [w for line in lines[k : k + s] for w in line], found[0])
+            if (rank := (round(one[0], 9), -s, -k)) > best:
+                found, best = one, rank
+        if whole:
+            one = self.best([w for line in lines for w in line], found[0])
+            found = one if round(one[0], 9) > best[0] else found
+        return found
 
 
 def _holding(texts: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[bytes, int]]:

@@ -68,6 +68,7 @@ class Index:
             norm = math.sqrt(sum((n * self.rarity[t]) ** 2 for t, n in c.items())) or 1.0
             for t, n in c.items():
                 self.by_term[t].append((k, n * self.rarity[t] / norm))
+        self.reach = {t: (r * max(y for _, y in self.by_term[t]), r * r) for t, r in self.rarity.items()}
 
     def best(self, words: list[bytes], least: float = 0.0) -> tuple[float, str]:
         """The greatest cosine and its licence; of equals the first template. Nothing if the cosine
@@ -88,23 +89,21 @@ class Index:
         """The best of all runs of lines, of equals the shortest and first, and of the whole text if it is
         a licence file. A run that begins or ends with a line without a term is worse than without it.
 
-        A run with o words of no template has a length of at least the root of o times their rarity
-        squared beside the part of its terms, and that part is at most the sum of their rarities; both
-        sums are had for all runs at once. Runs are scored from the greatest of these bounds down, until
-        no other can reach the best."""
-        rarity, lines = self.rarity, [words_of(line) for line in text.split(b"\n")]
-        shared = [[rarity[w] for w in line if w in rarity] for line in lines]
+        No cosine is above the sum of the most that each word adds with any template, over the root of the
+        sum of the words' squares; both sums are had for all runs at once. Runs are scored from the
+        greatest of these bounds down, until no other can reach the best."""
+        reach, lines = self.reach, [words_of(line) for line in text.split(b"\n")]
+        shared = [[reach[w] for w in line if w in reach] for line in lines]
         n = len(lines)
         if not any(shared):
             return 0.0, ""
-        terms = np.concatenate([[0.0], np.cumsum([sum(x) for x in shared])])
-        others = np.concatenate([[0], np.cumsum([len(line) - len(x) for line, x in zip(lines, shared, strict=True)])])
+        most = np.concatenate([[0.0], np.cumsum([sum([r for r, _ in x]) for x in shared])])
+        square = np.concatenate([[0.0], np.cumsum([sum([q for _, q in x]) + self.other**2 * (len(line) - len(x)) for line, x in zip(lines, shared, strict=True)])])
         some = np.fromiter(map(bool, shared), bool, n)
         runs = []
         for size in range(1, min(LINES, n) + 1):
             at = np.nonzero(some[: n - size + 1] & some[size - 1 :])[0]
-            part = (terms[at + size] - terms[at]) ** 2
-            runs.append((np.sqrt(part / (part + self.other**2 * (others[at + size] - others[at]))), np.full(len(at), size), at))
+            runs.append(((most[at + size] - most[at]) / np.sqrt(square[at + size] - square[at]), np.full(len(at), size), at))
         bound, size, first = (np.concatenate(x) for x in zip(*runs, strict=True))
         order = np.argsort(-bound, kind="stable")
         found, best = (0.0, ""), (0.0, 0, 0)

@@ -84,14 +84,42 @@ def _slice_length(left: DataFrame, left_ts: str, right: DataFrame, right_ts: str
     return (max(known) - min(known)) / (slices + 1) or None if known else None
 
 
+#: Buckets that a range may touch before it goes to a level of buckets so many times as wide.
+FAN = 16
+#: Buckets of the first level beyond which a range is as good as endless; such ranges share one bucket.
+ENDLESS = 2.0**60
+
+
+def _level(low: str, high: str, bucket: float) -> Column:
+    """0 for ranges of up to FAN buckets, 1 for up to FAN times that, and so on; -1 for endless ones."""
+    length = (F.col(high).cast("double") - F.col(low).cast("double")) / F.lit(float(bucket))
+    return F.when(length > ENDLESS, -1).when(length <= FAN, 0).otherwise(F.ceil(F.log(float(FAN), length)) - 1).cast("int")
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket: float, how: str = "inner") -> DataFrame:
-    """Points in [low, high] by equality of buckets: each range enters every bucket it touches, each
-    point its own. Choose bucket near the usual length of a range. how keeps points or only pairs (inner,
-    left, left_semi, left_anti): a range stands in several buckets, so those of its own kind cannot be kept."""
-    if how.replace("_", "").replace("outer", "") not in ("inner", "left", "leftsemi", "semi", "leftanti", "anti"):
+    """Points in [low, high] by equality of buckets: a range enters every bucket it touches on the level
+    of its length, FAN + 1 or so, and a point one bucket of each level that has ranges. So no range, however
+    wide, becomes many rows. Choose bucket near the usual length of a range. how keeps points or only pairs
+    (inner, left, left_semi, left_anti): a range stands in several buckets, so those of its own kind cannot
+    be kept. Null bounds, and bounds the wrong way round, hold nothing; null points are in no range."""
+    kind = how.replace("_", "").replace("outer", "")
+    if kind not in ("inner", "left", "leftsemi", "semi", "leftanti", "anti"):
         raise ValueError(f"a range join cannot be {how!r}")
-    p = points.withColumn("_bucket", F.floor(F.col(point) / bucket).cast("long"))
-    touched = F.sequence(F.floor(F.col(low) / bucket).cast("long"), F.floor(F.col(high) / bucket).cast("long"))
-    r = ranges.filter(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(touched))
-    within = (p["_bucket"] == r["_bucket"]) & (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
-    return p.join(r, within, how).drop("_bucket")
+    r = ranges.filter(F.col(low) <= F.col(high)).withColumn("_level", _level(low, high, bucket))
+    levels = sorted(x["_level"] for x in r.select("_level").distinct().collect()) or [0]  # about log(ENDLESS) / log(FAN)
+    width = F.lit(float(bucket)) * F.pow(F.lit(float(FAN)), F.col("_level"))
+    place = lambda c: F.when(F.col("_level") < 0, F.lit(0).cast("long")).otherwise(F.floor(F.col(c) / width).cast("long"))
+    r = r.withColumn("_bucket", F.explode(F.sequence(place(low), place(high))))
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels))) if len(levels) > 1 else F.lit(levels[0])).withColumn("_bucket", place(point))
+    within = (p["_level"] == r["_level"]) & (p["_bucket"] == r["_bucket"]) & (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
+    if kind == "inner" or len(levels) == 1:
+        return p.join(r, within, how).drop("_level", "_bucket")
+    # a point stands on several levels now; whether it is in a range depends on its value alone
+    pairs = p.join(r, within).drop("_level", "_bucket")
+    found = p.join(r, within, "left_semi").select(F.col(point).alias("_found")).distinct()
+    if kind in ("leftsemi", "semi"):
+        return points.join(found, F.col(point) == F.col("_found"), "left_semi")
+    missed = points.join(found, F.col(point) == F.col("_found"), "left_anti")
+    if kind != "left":
+        return missed
+    return pairs.union(missed.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in ranges.schema]))

@@ -91,10 +91,14 @@ def join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.equi_join(table(spark, sf_dir, "lineitem"), ops.broadcast_if_small(parts), ["l_partkey"]).select("l_orderkey", "l_linenumber", "p_brand")
 
 
-@query("SELECT count(*) AS n FROM (VALUES (1), (NULL), (2)) a(k) JOIN (VALUES (NULL), (2), (3)) b(k) ON a.k IS NOT DISTINCT FROM b.k")
+@query(
+    """SELECT k, count(*) AS n FROM (SELECT nullif(c_nationkey, 3) AS k FROM customer) a JOIN (SELECT nullif(s_nationkey, 3) AS j FROM supplier) b ON k IS NOT DISTINCT FROM j
+    GROUP BY 1"""
+)
 def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (spark.createDataFrame([(k,) for k in keys], "k int") for keys in ((1, None, 2), (None, 2, 3)))
-    return ops.equi_join(a, b, ["k"], null_safe=True).agg(F.count(F.lit(1)).alias("n"))
+    """Nation 3 is made null on both sides, and its customers meet its suppliers all the same."""
+    nation = lambda name, key: table(spark, sf_dir, name).select(F.expr(f"nullif({key}, 3)").alias("k"))
+    return ops.equi_join(nation("customer", "c_nationkey"), nation("supplier", "s_nationkey"), ["k"], null_safe=True).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SETS = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0 {} SELECT s_nationkey AS k FROM supplier"

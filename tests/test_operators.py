@@ -123,6 +123,30 @@ def test_asof_and_range(spark):
     assert rows(joins.range_join(points, spans, "p", "a", "b", 4.0).select("p", "n")) == [(-3.0, "w"), (0.0, "u"), (10.0, "u"), (10.0, "v"), (9.9, "u")]
 
 
+def test_range_join_of_wide_and_narrow_ranges(spark):
+    import random
+
+    rnd = random.Random(5)
+    points = [(i, rnd.choice([rnd.uniform(-50, 50), float(rnd.randrange(-9, 9)), rnd.uniform(-1e6, 1e6)])) for i in range(150)] + [(900, None), (901, 1e300), (902, 3.0), (903, 3.0)]
+    spans = [(f"s{i}", a, a + rnd.choice([0.0, 1.0, 7.5, 64.0, 65.0, 5e3, 1e6])) for i, a in enumerate(rnd.uniform(-100, 100) for _ in range(60))]
+    spans += [("all", float("-inf"), float("inf")), ("up", 1e5, float("inf")), ("far", 0.0, 1e301), ("null", None, 4.0), ("back", 4.0, 2.0)]
+    p, s = spark.createDataFrame(points, "id int, x double"), spark.createDataFrame(spans, "n string, a double, b double")
+    for kept in (spans, [v for v in spans if v[0] not in ("all", "far")], [v for v in spans if v[0] in ("s1", "s2")], []):
+        s = spark.createDataFrame(kept, "n string, a double, b double")
+        pairs = {(i, n) for i, x in points for n, a, b in kept if None not in (x, a, b) and a <= x <= b}
+        hit = {i for i, _ in pairs}
+        got = lambda how, *columns: rows(joins.range_join(p, s, "x", "a", "b", 4.0, how).select(*columns))
+        missed = [i for i, _ in points if i not in hit]
+        assert got("inner", "id", "n") == sorted(pairs, key=repr)
+        assert got("left", "id", "n") == sorted([*pairs, *((i, None) for i in missed)], key=repr)
+        assert got("left_semi", "id") == sorted(((i,) for i in hit), key=repr)
+        assert got("left_anti", "id") == sorted(((i,) for i in missed), key=repr)
+
+
+def test_a_wide_range_stays_few_rows(spark):
+    assert [r["_level"] for r in spark.createDataFrame([(0.0, 3.0), (0.0, 16.0), (0.0, 17.0), (0.0, 4096.0), (0.0, 1e30)], "a double, b double").select(joins._level("a", "b", 1.0).alias("_level")).collect()] == [0, 0, 1, 2, -1]
+
+
 def test_sets(spark):
     a, b = (spark.createDataFrame([(x,) for x in v], "x int") for v in ([1, 1, 2], [1, 3]))
     assert rows(sets.intersect(a, b, True)) == [(1,)] and rows(sets.difference(a, b, True)) == [(1,), (2,)]

@@ -32,6 +32,8 @@ _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x
 BROADCAST_WORDS = 1_000_000
 #: Bits of the table by which documents tell words that may be a prefix.
 FILTER_BITS = 1 << 22
+#: Places of prefix words that a task holds before it sends them on.
+PLACES = 20_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -189,19 +191,24 @@ def _hits(texts: DataFrame, listed: DataFrame, width: int) -> DataFrame:
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         likely = np.unpackbits(shared.value).view(bool)
+
+        def sent(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+            row, word, at, left, around = zip(*held, strict=True) if held else ((),) * 5
+            take = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at, pa.int32()), pa.array(left, pa.int32()), pa.array(around, pa.list_(pa.string()))], schema.names)
+
         for batch in batches:
-            out: list[tuple] = []
-            rows = []
+            held: list[tuple] = []
             for k, t in enumerate(texts_of(batch)):
                 words = words_of(t)
                 for at, w in enumerate(words):
                     if likely[zlib.crc32(w) % FILTER_BITS]:
                         begin = max(0, at - width + 1)
-                        rows.append(k)
-                        out.append((w.decode(), at, at - begin, [x.decode() for x in words[begin : at + width]]))
-            word, at, left, around = zip(*out, strict=True) if out else ((), (), (), ())
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at, pa.int32()), pa.array(left, pa.int32()), pa.array(around, pa.list_(pa.string()))], schema.names)
+                        held.append((k, w.decode(), at, at - begin, [x.decode() for x in words[begin : at + width]]))
+                    if len(held) >= PLACES:
+                        yield sent(batch, held)
+                        held = []
+            yield sent(batch, held)
 
     parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
     often = stage(ranked.filter(F.col("n") > HOT_ROWS).select("word", parts.alias("parts")).distinct(), "often")

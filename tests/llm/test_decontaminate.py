@@ -41,6 +41,7 @@ def brute(values, items):
 @pytest.mark.parametrize(("most", "hot"), [(decontaminate.BROADCAST_WORDS, 0), (20, decontaminate.HOT_ROWS), (20, 3)])
 def test_equals_brute_force(spark, monkeypatch, most, hot):
     monkeypatch.setattr(decontaminate, "HOT_ROWS", hot)
+    monkeypatch.setattr(decontaminate, "PLACES", 7 if hot == 3 else decontaminate.PLACES)
     values = texts()
     items = items_for(values)
     bench = spark.createDataFrame(items, "item_id long, text string")

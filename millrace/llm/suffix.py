@@ -42,6 +42,8 @@ from millrace.shipping import ship
 HOT = 50_000
 #: Bytes of text that a task handles at a time, and spans that it holds to merge them.
 CHUNK, SPANS = 1 << 22, 400_000
+#: Bytes of text whose names a task compares at a time: the share of one bucket.
+BUCKET = 32 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -409,7 +411,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     copied = slim.groupBy("copy").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("copy", "least")
     copies = stage(join_one(slim, copied, "copy").filter("doc > least").select("doc", "text_key", "size").distinct(), "copies")
     buckets = 16
-    while buckets * (64 << 20) < total:
+    while buckets * BUCKET < total:
         buckets *= 2
     alone = rows.join(copies.select("doc", "text_key"), ["doc", "text_key"], "left_anti")
     shared = stage(_shared_names(alone, length, buckets), "names")

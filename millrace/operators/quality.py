@@ -133,12 +133,17 @@ def quarantine(invalid: DataFrame, path: str) -> None:
     invalid.withColumn("_quarantine_timestamp", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def null_counts(required: Sequence[str]) -> list[Column]:
+    """rows and nulls_ of each required column, as aggregates."""
+    return [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in required]]
+
+
 def check(df: DataFrame, required: Sequence[str], keys: Sequence[str] = ()) -> dict[str, int]:
     """Null counts of the required columns and repeated keys, in one job."""
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in required]
+    counts = null_counts(required)
     if not keys:
-        return df.agg(F.count(F.lit(1)).alias("rows"), *nulls).first().asDict()
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *nulls)
+        return df.agg(*counts).first().asDict()
+    grouped = df.groupBy(*keys).agg(*counts)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", *(f"nulls_{c}" for c in required))]
     found = grouped.agg(*sums, F.count(F.lit(1)).alias("keys")).first().asDict()
     return {k: v for k, v in found.items() if k != "keys"} | {"duplicates": found["rows"] - found["keys"]}

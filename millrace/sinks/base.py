@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation
@@ -58,7 +58,8 @@ class Metrics:
 
 
 class Sink:
-    """Subclasses say how to write; count() lets them give the rows back if reading them is cheap."""
+    """Subclasses say how to write; count() lets them give the rows back if reading them is cheap, and there()
+    whether the target exists."""
 
     def __init__(self, config: SinkConfig | Mapping[str, Any] | None = None) -> None:
         self.config = config if isinstance(config, SinkConfig) else SinkConfig(**(config or {}))
@@ -71,6 +72,9 @@ class Sink:
     def count(self, df: DataFrame) -> int | None:
         return None
 
+    def there(self) -> bool:
+        return False
+
     def write(self, df: DataFrame) -> Metrics:
         """Hooks before may change the rows, and their errors are errors; those of hooks after are
         logged. The rows are counted by the write itself."""
@@ -81,7 +85,10 @@ class Sink:
         if config.rebalance:
             df = df.hint("rebalance", *config.partition_by)
         try:
-            metrics.rows = retried(lambda: self._observed(df), config.max_retries, config.retry_delay, config.exponential)
+            if config.mode == "ignore":
+                metrics.rows = self._unless_there(df)
+            else:
+                metrics.rows = retried(lambda: self._observed(df), config.max_retries, config.retry_delay, config.exponential)
             if config.validate and (found := self.count(df)) is not None and found < metrics.rows:
                 raise RuntimeError(f"wrote {metrics.rows} rows but found {found}")
         except Exception as e:
@@ -99,7 +106,20 @@ class Sink:
                 log.warning("hook failed: %s", e)
         return metrics
 
+    def _unless_there(self, df: DataFrame) -> int:
+        """No rows are written where the target exists; one that comes up meanwhile is an error. Without retries,
+        since what a failed write leaves would count as being there."""
+        if self.there():
+            return 0
+        asked = self.config
+        self.config = replace(asked, mode="error")
+        try:
+            return self._observed(df)
+        finally:
+            self.config = asked
+
     def _observed(self, df: DataFrame) -> int:
+        """The rows of a write that takes place; one that does not would be waited for in vain."""
         seen = Observation()
         self._write(df.observe(seen, F.count(F.lit(1)).alias("n")))
         return seen.get.get("n", 0)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sinks.base import Sink, SinkConfig
 from millrace.sources.files import FORMATS
+from millrace.storage import filesystem
 
 #: Options that writers of a format take if the spec has them under options.
 DEFAULTS: dict[str, dict[str, Any]] = {"csv": {"header": True, "quote": '"', "escape": "\\", "nullValue": ""}}
@@ -51,5 +52,11 @@ class FileSink(Sink):
     def count(self, df: DataFrame) -> int | None:
         return self._back().count()
 
+    def there(self) -> bool:
+        if self.config.bucket_by:
+            return self.spark.catalog.tableExists(self.table)
+        fs, path = filesystem(self.spark, self.path)
+        return fs.exists(path)
+
     def list_output_files(self) -> list[str]:
         return sorted(self._back().inputFiles())

@@ -32,8 +32,17 @@ class JdbcSink(Sink):
         mode = "append" if self.config.mode == "merge" else self.config.mode
         df.write.format("jdbc").mode(mode).options(**self._options()).save()
 
+    def _back(self) -> DataFrame:
+        return self.spark.read.format("jdbc").options(**{k: v for k, v in self._options().items() if k in ("url", "dbtable", "driver", "user", "password")}).load()
+
     def count(self, df: DataFrame) -> int | None:
-        return self.spark.read.format("jdbc").options(**{k: v for k, v in self._options().items() if k in ("url", "dbtable", "driver", "user", "password")}).load().count()
+        return self._back().count()
+
+    def there(self) -> bool:
+        try:
+            return bool(self._back().columns)
+        except Exception:  # no such table; if it is the connection that fails, the write says so
+            return False
 
     def execute_query(self, *statements: str) -> None:
         execute(self.spark, self.spec, *statements)

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sinks.base import Sink, SinkConfig
+from millrace.storage import filesystem
 from millrace.tables import delta
 from millrace.tables.store import TableStore
 
@@ -36,6 +37,9 @@ class TableSink(Sink):
     def count(self, df: DataFrame) -> int | None:
         return self.store.manifest()["rows"]
 
+    def there(self) -> bool:
+        return self.store.exists()
+
 
 class DeltaSink(TableSink):
     """The same spec for a Delta table; without the jar it is a versioned table."""
@@ -55,3 +59,9 @@ class DeltaSink(TableSink):
         if not delta.available(self.spark):
             return super().count(df)
         return delta.read(self.spark, {"path": self.spec["path"]}).count()
+
+    def there(self) -> bool:
+        if not delta.available(self.spark):
+            return super().there()
+        fs, path = filesystem(self.spark, self.spec["path"])
+        return fs.exists(path)

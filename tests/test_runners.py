@@ -53,6 +53,17 @@ def test_batch(spark, tmp_path, source):
     assert spark.range(1).count() == 1  # the session is still there
 
 
+def test_null_counts_that_stop_nothing_come_from_the_write(spark, tmp_path, source):
+    spec = {"pipeline_id": "n", "source": source, "target": {"type": "file", "path": str(tmp_path / "n"), "mode": "overwrite"}, "transforms": [{"type": "filter", "condition": "id < 10"}]}
+    checked = spec | {"validation": {"required": ["v", "who"]}}
+    run(spark, spec)
+    out = []
+    assert jobs(spark, lambda: out.append(run(spark, checked))) == jobs(spark, lambda: run(spark, spec))
+    assert out[0]["checks"] == {"rows": 10, "nulls_v": 0, "nulls_who": 0} and out[0]["validation_errors"] == 0
+    none = run(spark, checked | {"transforms": [{"type": "filter", "condition": "id < 0"}]})
+    assert none["checks"] == {"rows": 0, "nulls_v": 0, "nulls_who": 0}
+
+
 def test_transform_metrics_and_write_are_one_job(spark, tmp_path, source):
     pipeline = Pipeline(spark).add_source(source).add_transformer({"type": "filter", "condition": "id > 3"}, {"type": "quality", "rules": [{"name": "v", "column": "v", "kind": "range", "params": {"max": 15}}]}).add_sink({"type": "file", "path": str(tmp_path / "one")})
     pipeline.plan()

@@ -185,3 +185,13 @@ def test_retry_stops_at_final_errors():
     with pytest.raises(ValueError):
         retried(fail, 3, 0.0)
     assert len(calls) == 1
+
+
+def test_ignore_writes_once_and_never_waits(spark, tmp_path):
+    url = "jdbc:derby:memory:ignored;create=true"
+    targets = [{"type": "file", "path": str(tmp_path / "f")}, {"type": "table", "path": str(tmp_path / "t")}, {"type": "jdbc", "url": url, "table": "kept"}]
+    for target in targets:
+        first = sink_for(spark, target | {"mode": "ignore"}).write(spark.range(3))
+        again = sink_for(spark, target | {"mode": "ignore"}).write(spark.range(5))
+        assert (first.rows, again.rows, again.status) == (3, 0, "success")
+        assert sink_for(spark, target).count(spark.range(0)) == 3

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from millrace.counts import counted
 from millrace.operators.dedup import deduplicate
 from millrace.plans.spec import PipelineSpec
 from millrace.runners.base import Runner, State
@@ -64,16 +65,16 @@ class IncrementalRunner(Runner):
             last = found
         seen = Observation()
         raw = beyond(read(self.spark, spec.source), column, last, inc.get("inclusive", False))
-        raw = raw.observe(seen, F.count(F.lit(1)).alias("n"), F.max(column).cast("string").alias("top"))
-        changes = transform(raw, spec.transforms).persist()
+        ends = [F.count(F.lit(1)).alias("n"), F.max(column).cast("string").alias("top")]
+        changes = transform(raw.observe(seen, *ends), spec.transforms).persist()
         try:
-            n = changes.count()
-            if seen.get["n"] == 0:
+            n, found = changes.count(), counted(seen, raw, *ends)
+            if found["n"] == 0:
                 return {"rows": 0, "watermark": last}
             merge_changes(store, changes, keys, inc.get("op_column"), inc.get("delete_value", "D"), inc.get("soft_delete", False), inc.get("order", column))
         finally:
             changes.unpersist()
-        top = seen.get["top"]
+        top = found["top"]
         if top is not None:
             state.save(watermark=top)
         return {"rows": n, "watermark": top if top is not None else last}

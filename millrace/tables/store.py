@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.counts import counted
 from millrace.operators.joins import key_condition
 from millrace.storage import read_text, write_text
 
@@ -238,7 +239,7 @@ class TableStore:
         if touched is None:
             return self._rewrite(merged, base, "merge", transaction=transaction, schema=schema)
         name, n = self._write(merged, base["partition_by"])
-        gone = before.get["n"] if touched else 0
+        gone = counted(before, self._frame(within), F.count(F.lit(1)).alias("n"))["n"] if touched else 0
         more: dict[str, Any] = {"metrics": {"written": n, "files_rewritten": len(touched)}}
         if transaction:
             more["transactions"] = base["transactions"] | {transaction[0]: transaction[1]}
@@ -280,11 +281,12 @@ class TableStore:
         touched = self._holding(self._named(base).filter(F.expr(condition))) if base["parts"] else []
         schema = StructType.fromJson(base["schema"])
         before = Observation()
-        target = self._frame(base | {"parts": touched}).observe(before, F.count(F.lit(1)).alias("n"))
+        within = self._frame(base | {"parts": touched})
+        target = within.observe(before, F.count(F.lit(1)).alias("n"))
         kept = target.filter(~meets)
         made = kept if fresh is None else kept.unionByName(fresh.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]))
         name, n = self._write(made, base["partition_by"])
-        gone = before.get["n"] if touched else 0
+        gone = counted(before, within, F.count(F.lit(1)).alias("n"))["n"] if touched else 0
         more = {"metrics": {"written": n, "files_rewritten": len(touched)}}
         return self._commit(self._entry(base, operation, schema, base["partition_by"], [*self._without(base, touched), name], base["rows"] - gone + n, **more))
 

@@ -195,3 +195,10 @@ def test_spec_of_a_table():
     spec = spec_of_table(table, "jdbc:derby:memory:x", "/data")
     assert PipelineSpec.of(spec) and spec["target"]["merge_keys"] == ["id"] and spec["transforms"][0]["keep"] == "latest_timestamp"
     assert "users_copy" in pipeline_source(spec)
+
+
+def test_an_increment_whose_rows_all_go_moves_the_watermark(spark, tmp_path, source):
+    spec = {"pipeline_id": "none", "mode": "incremental", "source": source, "target": {"type": "table", "path": str(tmp_path / "none")}, "incremental": {"watermark_column": "id", "keys": ["id"]}, "transforms": [{"type": "filter", "condition": "false"}], "state_path": str(tmp_path / "state")}
+    out = run(spark, spec)
+    assert (out["rows"], out["watermark"], out["status"]) == (0, "19", "success")
+    assert run(spark, spec | {"transforms": []})["rows"] == 0

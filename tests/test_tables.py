@@ -155,3 +155,13 @@ def test_merge_writes_only_files_with_matched_keys(spark, store):
     assert store.manifest()["metrics"]["files_rewritten"] == 0 and store.manifest()["rows"] == store.read().count() == len(want) + 1
     gone = store.vacuum(0)
     assert set(gone) == before - files and store.read().count() == len(want) + 1
+
+
+@pytest.mark.parametrize("condition", ["true", "1 = 1", "id >= 0"])
+def test_all_rows_can_go(spark, tmp_path, condition):
+    for name, fresh in (("d", None), ("r", spark.range(3))):
+        store = TableStore(spark, str(tmp_path / name))
+        for k in range(5):
+            store.write(spark.range(k * 10, k * 10 + 10).coalesce(1))
+        store.delete_where(condition) if fresh is None else store.replace_where(fresh, condition)
+        assert store.read().count() == store.manifest()["rows"] == (3 if fresh else 0)

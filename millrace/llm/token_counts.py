@@ -39,8 +39,10 @@ FLOOR = 0.01
 TEXTS = 2_000
 #: Pre-tokens whose counts a worker remembers, and those of TEXTS texts beyond.
 REMEMBERED = 600_000
-#: Bytes of a pre-token up to which chances are multiplied as they are; beyond, as logarithms.
+#: Bytes of a pre-token up to which chances are multiplied as they are; beyond, as logarithms, and so where
+#: the product, small in a large corpus, falls under TINY and floats lose its digits.
 SHORT = 32
+TINY = 1e-280
 
 
 class Unigram:
@@ -79,7 +81,7 @@ def expected_uses(model: Unigram, tokens: Iterable[tuple[bytes, int]]) -> dict[b
     arcs: list[list[tuple[int, bytes, float]]] = [[]]
     before = b""
     for token, times in tokens:
-        if len(token) > SHORT:  # the product of so many chances could be too small for a float
+        if len(token) > SHORT:
             _expected_uses_by_logarithms(model, token, times, uses)
             continue
         shared = len(commonprefix([before, token]))
@@ -89,6 +91,9 @@ def expected_uses(model: Unigram, tokens: Iterable[tuple[bytes, int]]) -> dict[b
             into = [(b, piece, chance[piece]) for b in range(max(0, end - longest), end) if (piece := token[b:end]) in chance]
             alpha.append(sum([alpha[b] * c for b, _, c in into]))
             arcs.append(into)
+        if alpha[-1] < TINY:
+            _expected_uses_by_logarithms(model, token, times, uses)
+            continue
         beta = [0.0] * len(token) + [times / alpha[-1]]
         for end in range(len(token), 0, -1):
             if after := beta[end]:

@@ -89,3 +89,13 @@ def test_each_round_makes_the_corpus_likelier():
         assert likelihood(after) > likelihood(model) - 0.05
         model = after
     assert math.isfinite(sum(token_counts.expected_uses(model, pairs).values()))
+
+
+def test_chances_too_small_for_a_float_are_added_as_logarithms(monkeypatch):
+    model = token_counts.Unigram({bytes([b]): b for b in range(256)} | {b"ab": 256})
+    model.score = {p: s - 40 for p, s in model.score.items()}  # as of a corpus of very many tokens
+    pairs = [(b"ab", 7), (b"abab" * 8, 3), (b"abc", 5), (b"abcb" * 8, 2)]
+    got = token_counts.expected_uses(model, pairs)
+    monkeypatch.setattr(token_counts, "SHORT", 0)
+    want = token_counts.expected_uses(model, pairs)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 1e-9 * want[p] for p in want)

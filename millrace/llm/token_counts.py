@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import math
 import uuid
-import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
@@ -177,10 +176,22 @@ def _walker(name: str, model: Unigram) -> tuple[Trie, dict[str, int]]:
     return _LAST[name]
 
 
+def packed(places: np.ndarray) -> bytes:
+    """32-bit integers, compressed: first all lowest bytes, then all second ones, and so on, since the higher
+    ones hardly differ."""
+    return pa.compress(np.ascontiguousarray(places.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(places: bytes, n: int) -> np.ndarray:
+    """The n integers that were packed."""
+    planes = np.frombuffer(pa.decompress(places, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").reshape(n)
+
+
 def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, parts, tokens, times, places: for TEXTS texts together their ids, their numbers of
-    pre-tokens, the distinct pre-tokens with how often they occur, and in places (32-bit integers, packed
-    and compressed) for all pre-tokens in order which of the distinct ones they are."""
+    pre-tokens, the distinct pre-tokens with how often they occur, the commonest first, and in places
+    (as packed() makes them) for all pre-tokens in order which of the distinct ones they are."""
     slim = id_and_text(docs, id_col, text_col)
     schema = T.StructType([T.StructField("docs", T.ArrayType(slim.schema["doc_id"].dataType)), *T.StructType.fromDDL("parts array<int>, tokens array<string>, times array<long>, places binary").fields])
 
@@ -196,9 +207,14 @@ def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     parts.append(len(found))
                     places.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
                 flat = np.concatenate(places)
+                times = np.bincount(flat, minlength=len(index))
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                tokens = pa.array(list(index), pa.string()).take(pa.array(order))
                 one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
                 ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([ids, one(parts, pa.int32()), one(list(index), pa.string()), one(np.bincount(flat, minlength=len(index)), pa.int64()), pa.array([zlib.compress(flat, 1)], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([ids, one(parts, pa.int32()), one(tokens, pa.string()), one(times[order], pa.int64()), pa.array([packed(rank[flat])], pa.binary())], schema.names)
 
     return slim.mapInArrow(run, schema)
 
@@ -240,7 +256,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for k, (tokens, places) in enumerate(zip(batch.column("tokens").to_pylist(), batch.column("places").to_pylist(), strict=True)):
                 n = parts[k].values.to_numpy()
                 trie, known = _walker(name, shared.value)
-                pieces = np.array(trie.counts(tokens, known), np.int64)[np.frombuffer(zlib.decompress(places), np.int32)]
+                pieces = np.array(trie.counts(tokens, known), np.int64)[unpacked(places, int(n.sum()))]
                 total = np.concatenate([[0], np.cumsum(pieces)])
                 end = np.cumsum(n, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([ids[k].values, pa.array(n.astype(np.int64)), pa.array(total[end] - total[end - n])], schema.names)

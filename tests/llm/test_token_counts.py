@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import token_counts
@@ -99,3 +100,9 @@ def test_chances_too_small_for_a_float_are_added_as_logarithms(monkeypatch):
     monkeypatch.setattr(token_counts, "SHORT", 0)
     want = token_counts.expected_uses(model, pairs)
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 1e-9 * want[p] for p in want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 70_000])
+def test_places_pack_and_unpack(n):
+    places = np.random.default_rng(n).integers(0, 2**31 - 1, n, dtype=np.int32) >> np.arange(n, dtype=np.int32) % 31
+    assert np.array_equal(token_counts.unpacked(token_counts.packed(places), n), places)

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.sinks.base import Sink, SinkConfig
+from millrace.sources import embedded
 from millrace.sources.jdbc import execute
 from millrace.types import create_jdbc_table, driver_of
 
@@ -15,7 +16,8 @@ from millrace.types import create_jdbc_table, driver_of
 class JdbcSink(Sink):
     """url, table, user, password, driver, num_partitions, isolation_level, truncate,
     create_table_options. A merge appends. Retries repeat a write: only an overwrite is safe then, so
-    an append is not tried again."""
+    an append is not tried again. A database in the driver's process, where executors are others, is
+    written by the driver."""
 
     def __init__(self, spark: SparkSession, spec: Mapping[str, Any], config: SinkConfig | None = None) -> None:
         super().__init__(config)
@@ -32,11 +34,18 @@ class JdbcSink(Sink):
         mode = "append" if self.config.mode == "merge" else self.config.mode
         df.write.format("jdbc").mode(mode).options(**self._options()).save()
 
+    def _observed(self, df: DataFrame) -> int:
+        if not embedded.out_of_reach(self.spark, self.spec["url"]):
+            return super()._observed(df)
+        self._write(df.limit(0))  # makes or empties the table; of no rows there are no tasks
+        return embedded.insert(df, self._options())
+
     def _back(self) -> DataFrame:
         return self.spark.read.format("jdbc").options(**{k: v for k, v in self._options().items() if k in ("url", "dbtable", "driver", "user", "password")}).load()
 
     def count(self, df: DataFrame) -> int | None:
-        return self._back().count()
+        back = self._back()
+        return (embedded.fetched(back) if embedded.out_of_reach(self.spark, self.spec["url"]) else back).count()
 
     def there(self) -> bool:
         try:

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sources import embedded
 from millrace.types import driver_of
 
 
@@ -14,7 +15,10 @@ def read(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
     """url; query or table (the query counts); user, password, driver, fetchsize, options.
 
     With partition_column, lower_bound, upper_bound and num_partitions the table, or the query as a
-    subquery, is read in parallel; the bounds only shape the stride and leave no row out."""
+    subquery, is read in parallel; the bounds only shape the stride and leave no row out.
+
+    Of a database in the driver's process, where executors are others, the rows are those at the time of the
+    call: the driver reads them into files."""
     query, table = spec.get("query"), spec.get("table")
     if not query and not table:
         raise ValueError("a JDBC source needs a table or a query")
@@ -30,7 +34,8 @@ def read(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
         }
     else:
         options |= {"query": query} if query else {"dbtable": table}
-    return spark.read.format("jdbc").options(**options, **spec.get("options", {})).load()
+    found = spark.read.format("jdbc").options(**options, **spec.get("options", {})).load()
+    return embedded.fetched(found) if embedded.out_of_reach(spark, spec["url"]) else found
 
 
 def works(spark: SparkSession, spec: Mapping[str, Any]) -> bool:

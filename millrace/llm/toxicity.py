@@ -10,12 +10,13 @@ that machine, each event's weight times that of the word it came from, and so of
 a word by itself.
 
 Which words are harm is learned: words, and beginnings of words, that labelled toxic texts have far
-more often than others. The weights of events are learned too, from other labelled texts than the words
+more often than others, and that are needed to tell why those texts are toxic. The weights of events are learned too, from other labelled texts than the words
 were.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -47,6 +48,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 12_000
 STEM = range(4, 9)
 #: How surely a word must go with the label (G-test), and how much likelier than without.
 SURE, LIKELIER = 25.0, 6.0
+#: How surely (G) by the texts that harm known by then does not explain.
+LEFT = 10.0
 #: Words that a worker remembers from text to text; beyond, only those of the text at hand.
 MEMO = 100_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}']+")
@@ -251,37 +254,106 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, sum(w for _, w in matcher.events(text)) + self.bias))))
 
 
+def _evidence(t: float, c: int, toxic: int, clean: int) -> float:
+    """How surely a feature of t toxic and c other texts goes with the label (G); 0 if it is not likelier there."""
+    expected = (t + c) * toxic / max(1, toxic + clean)
+    if t <= expected:
+        return 0.0
+    return 2 * (t * math.log(t / expected) + (c * math.log(c / (t + c - expected)) if c else 0.0))
+
+
 def learn_lexicon(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> Lexicon:
     """From feature, toxic texts with it, other texts with it. A feature stays if it is likelier in
     toxic texts and surely so; its weight is the logarithm of how much likelier."""
     harm = {}
     for feature, t, c in counts:
-        expected = (t + c) * toxic / max(1, toxic + clean)
-        if t < 3 or t <= expected:
+        if t < 3:
             continue
-        g = 2 * (t * math.log(t / expected) + (c * math.log(c / (t + c - expected)) if c else 0.0))
         ratio = ((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1))
-        if g >= SURE and ratio >= LIKELIER:
+        if _evidence(t, c, toxic, clean) >= SURE and ratio >= LIKELIER:
             harm[feature] = math.log(ratio)
     return Lexicon(harm)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method; the weights of matches cannot fall below zero."""
+def explaining(lexicon: Lexicon, counts: Iterable[tuple[str, int, int]], texts: Sequence[Sequence[str]], toxic: int, clean: int) -> Lexicon:
+    """The features that are needed to tell why the toxic texts, given as their words with a feature, are
+    toxic. All words of a text that has copies look like harm, if the copies bear one label. So features are
+    taken by their evidence, the surest first; a text of which n words are told as harm by then counts
+    1 / (n + 1) for a further one. Words told by the feature that tells its own words too are not among the
+    n: a longer beginning may be surer than the shorter one before it."""
+    others = {f: c for f, _, c in counts if f in lexicon.harm}
+    texts_of: dict[str, list[int]] = {}
+    for k, words in enumerate(texts):
+        for w in words:
+            texts_of.setdefault(w, []).append(k)
+    words_of: dict[str, list[str]] = {}
+    for w in sorted(texts_of):
+        for f in features_of(w):
+            if f in others:
+                words_of.setdefault(f, []).append(w)
+    having = {f: {k for w in words for k in texts_of[w]} for f, words in words_of.items()}
+    teller: dict[str, str] = {}
+    told = [Counter() for _ in texts]  # words by what tells them
+    n, harm = [0] * len(texts), {}
+
+    def evidence(f: str) -> float:
+        own = {teller[w] for w in words_of[f] if w in teller}
+        return _evidence(sum(1 / (1 + n[k] - sum(told[k][g] for g in own)) for k in having[f]), others[f], toxic, clean)
+
+    heap = [(-evidence(f), f) for f in words_of]
+    heapq.heapify(heap)
+    while heap:  # evidence only falls, so that the greatest is up to date if it is the greatest still
+        before, f = heapq.heappop(heap)
+        if (now := evidence(f)) < LEFT:
+            continue
+        if now < -before:
+            heapq.heappush(heap, (-now, f))
+            continue
+        harm[f] = lexicon.harm[f]
+        for w in words_of[f]:
+            if w not in teller:
+                teller[w] = f
+                for k in texts_of[w]:
+                    told[k][f] += 1
+                    n[k] += 1
+    return Lexicon(harm)
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton's method; the weights of matches cannot fall below zero. Weights at zero
+    that would fall are left out of a step, and a step is halved until it lowers the loss, so that
+    rounds get nearer to the least loss instead of jumping about it."""
     base = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    w, b = np.zeros(x.shape[1]), base
     if not len(y):
-        return w, math.log(0.05)
+        return np.zeros(x.shape[1]), math.log(0.05)
     full = np.column_stack([x, np.ones(len(x))])
-    both = np.append(w, b)
+    penalty = np.append(np.full(x.shape[1], ridge), 1e-3)
+
+    def loss(v: np.ndarray) -> float:
+        z = full @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + penalty @ (v * v) / 2)
+
+    both = np.append(np.zeros(x.shape[1]), base)
+    now = loss(both)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(full @ both, -30, 30)))
-        penalty = np.full(len(both), ridge)
-        penalty[-1] = 1e-3
+        p = 1 / (1 + np.exp(-np.clip(full @ both, -700, 700)))
         gradient = full.T @ (p - y) + penalty * both
+        free = (both > 0) | (gradient < 0)
+        free[-1] = True
         hessian = (full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty)
-        both = both - np.linalg.solve(hessian, gradient)
-        both[:-1] = np.maximum(both[:-1], 0.0)
+        step = np.zeros(len(both))
+        step[free] = -np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        for halved in range(40):
+            there = both + step / 2**halved
+            there[:-1] = np.maximum(there[:-1], 0.0)
+            if (then := loss(there)) < now:
+                break
+        else:
+            break
+        near = now - then < 1e-10 * now
+        both, now = there, then
+        if near:
+            break
     return both[:-1], float(both[-1])
 
 
@@ -310,6 +382,17 @@ def _counter() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
+def _telling(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words of each text that have a feature of the lexicon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({w for w in set(_WORD.findall((t or "").lower())) if any(f in lexicon.harm for f in features_of(w))}) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["words"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the labelled rows outside the held-out fold, at most about SAMPLE_TOXIC +
     SAMPLE_CLEAN of them: the words from two thirds, the weights of matches from the rest."""
@@ -319,7 +402,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = words.select("text", "toxic").mapInArrow(_counter(), "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     likely = counted.filter((F.col("t") >= 3) & (F.col("t") * max(1, n.get(0, 0)) > F.col("c") * max(1, n.get(1, 0))))
-    lexicon = learn_lexicon(sorted(map(tuple, likely.collect())), n.get(1, 0), n.get(0, 0))  # of the sample's words
+    counts = sorted(map(tuple, likely.collect()))  # of the sample's words
+    lexicon = learn_lexicon(counts, n.get(1, 0), n.get(0, 0))
+    telling = words.filter("toxic = 1").select("text").mapInArrow(_telling(lexicon), "words array<string>")
+    lexicon = explaining(lexicon, counts, sorted(r["words"] for r in telling.collect()), n.get(1, 0), n.get(0, 0))
     matcher = Matcher(lexicon)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

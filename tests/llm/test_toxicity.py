@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -135,3 +136,59 @@ def test_empty_tables(spark):
     assert toxicity.scores(empty(spark), toxicity.fit(empty(spark), labels)).collect() == []
     rows = toxicity.scores(documents(spark), toxicity.fit(documents(spark), labels)).collect()
     assert {r["predicted"] for r in rows} == {0}
+
+
+def with_copies(seed=11):
+    """Toxic and other texts, each in seven to twelve near copies with rare words of their own; three insults in each toxic one."""
+    r = random.Random(seed)
+    docs, labels = [], []
+    rare = iter(r.sample(list(itertools.product("bcdfghjklmnpqrstvwxz", repeat=4)), 260 * 40))
+    for cluster in range(260):
+        toxic = int(cluster % 8 == 0)
+        base = [r.choice(PLAIN) for _ in range(80)] + ["".join(next(rare)) + "7" for _ in range(40)]
+        for _ in range(r.randrange(7, 13)):
+            words = [w for w in base if r.random() > 0.05]
+            for w in r.sample(HARM, 3) * toxic:
+                words.insert(r.randrange(len(words)), w)
+            docs.append((len(docs), " ".join(words), "en", "s"))
+            labels.append((len(docs) - 1, 1, toxic))
+    return docs, labels
+
+
+def test_rare_words_of_copies_are_no_harm(spark):
+    docs, labels = with_copies()
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(any(w.startswith(f.rstrip("$")) for w in HARM) for f in model.lexicon.harm)
+    assert all(any(f in model.lexicon.harm for f in toxicity.features_of(w)) for w in HARM)
+    probe = [(0, "the scum of loweia the idiot", 1), (1, "loweiung ing idiot loweient", 1), (2, " ".join(w for w in docs[0][1].split() if w not in HARM), 0), (3, "of the sting", 0)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(spark.createDataFrame(probe, "doc_id long, text string, y int"), model).collect()}
+    assert got == {k: y for k, _, y in probe}
+
+
+def test_a_longer_beginning_counts_beside_a_vaguer_one():
+    counts = [("lowe", 60, 40), ("loweia", 30, 0), ("scum$", 40, 0), ("rare$", 12, 0)]
+    texts = [["loweia"]] * 30 + [["loweib"]] * 30 + [["rare", "scum", "loweib"]] * 12 + [["scum"]] * 28
+    lexicon = toxicity.learn_lexicon(counts, 400, 2800)
+    assert set(lexicon.harm) == {"lowe", "loweia", "scum$", "rare$"}
+    kept = toxicity.explaining(lexicon, counts, texts, 400, 2800)
+    assert set(kept.harm) >= {"lowe", "loweia", "scum$"} and all(kept.harm[f] == lexicon.harm[f] for f in kept.harm)
+    copies = [["idiot", "scum", "fool", f"r{k}"] for k in range(40)] + [["idiot", "scum", "fool", "rare"]] * 7
+    counts = [("idiot$", 47, 0), ("scum$", 47, 0), ("fool$", 47, 0), ("rare$", 7, 0)]
+    lexicon = toxicity.learn_lexicon(counts, 400, 2800)
+    assert set(lexicon.harm) == {"idiot$", "scum$", "fool$", "rare$"}
+    assert set(toxicity.explaining(lexicon, counts, copies, 400, 2800).harm) == {"idiot$", "scum$", "fool$"}
+
+
+def test_weights_have_the_least_loss():
+    r = np.random.default_rng(4)
+    for spread in (1.0, 30.0, 300.0):
+        y = (r.random(600) < 0.15).astype(float)
+        x = np.maximum(0, r.exponential(spread, (600, len(toxicity.EVENTS))) * (r.random((600, len(toxicity.EVENTS))) < 0.4) + (3 * y)[:, None])
+        w, b = toxicity.fit_weights(x, y)
+        assert np.all(w >= 0)
+        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -700, 700)))
+        slope = x.T @ (p - y) + 0.5 * w
+        scale = np.abs(x).sum(axis=0)
+        assert abs((p - y).sum() + 1e-3 * b) < 1e-3 * len(y)
+        assert np.all(np.abs(slope[w > 0]) < 1e-4 * scale[w > 0]) and np.all(slope[w == 0] > -1e-4 * scale[w == 0])
